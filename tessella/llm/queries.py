@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import encode, hidden_dups, split
+from tessella.llm import broken, encode, hidden_dups, quality, sentences, split
 from tessella.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = broken.broken_pairs(table(spark, folder, "qa_pairs"), "pair_uid", "question", "answer", "lang")
+    return found.select("pair_uid", "defect").distinct()
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = table(spark, folder, "qa_pairs").select(F.lit("qa_pairs").alias("rec_set"), F.col("pair_uid").alias("id"), "question", "answer")
     lines = hidden_dups.parsed_lines(table(spark, folder, "qa_lines"), "line_id", "line").select(F.lit("qa_lines").alias("rec_set"), "id", "question", "answer")
@@ -36,12 +41,33 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("item.item_kind", "item.item_id", "piece_no", "start_char", "end_char", "piece").dropDuplicates(["item_kind", "item_id", "piece_no"])
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    scope = table(spark, folder, "sent_scope").select("pair_uid")
+    answers = table(spark, folder, "qa_pairs").select("pair_uid", "answer").where(F.col("answer").isNotNull()).join(scope, "pair_uid", "left_semi")
+    return sentences.sentence_units(answers, "pair_uid", "answer").select("pair_uid", "start_char").distinct()
+
+
+def p6_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    units = sentences.sentence_units(table(spark, folder, "qa_pairs"), "pair_uid", "answer")
+    return units.dropDuplicates(["pair_uid", "sentence_no"])
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    facts = quality.text_statistics(table(spark, folder, "documents"), "doc_id", "text")
+    return facts.where(F.col("kind").isNotNull() & (F.col("kind") != quality.PROSE)).select("doc_id", "kind")
+
+
+def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.text_statistics(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids}
+    found = (p2_found, p3_found, p4_found, p4_pieces, p6_found, p6_sentences, p7_ids, p9_found, p9_statistics)
+    return {query.__name__: query for query in found}
 
 
 _P3_WORDS = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')),
