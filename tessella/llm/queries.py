@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import broken, encode, hidden_dups, quality, sentences, split
+from tessella.llm import broken, encode, hidden_dups, near_dups, quality, sentences, split
 from tessella.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,21 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("item.item_kind", "item.item_id", "piece_no", "start_char", "end_char", "piece").dropDuplicates(["item_kind", "item_id", "piece_no"])
 
 
+def _near_items(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    answers = table(spark, folder, "qa_pairs").select(F.lit("answer").alias("item_kind"), F.col("pair_uid").alias("item_id"), F.col("answer").alias("text"))
+    chunks = table(spark, folder, "chunks").where(F.col("strategy") == "sentence").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), F.col("chunk_text").alias("text"))
+    return near_dups.near_duplicates(answers.unionByName(chunks), "item_kind", "item_id", "text", similarity=0.6, length=3, least=60)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.all_pairs(*_near_items(spark, folder)).withColumnRenamed("kind", "item_kind")
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    members, links = _near_items(spark, folder)
+    return near_dups.groups(members, links).select(F.col("kind").alias("item_kind"), F.col("id").alias("item_id"), "class_id", "group_id", "n_links")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     scope = table(spark, folder, "sent_scope").select("pair_uid")
     answers = table(spark, folder, "qa_pairs").select("pair_uid", "answer").where(F.col("answer").isNotNull()).join(scope, "pair_uid", "left_semi")
@@ -66,7 +81,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p2_found, p3_found, p4_found, p4_pieces, p6_found, p6_sentences, p7_ids, p9_found, p9_statistics)
+    found = (p2_found, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_sentences, p7_ids, p9_found, p9_statistics)
     return {query.__name__: query for query in found}
 
 
