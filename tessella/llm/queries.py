@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import broken, encode, hidden_dups, near_dups, quality, sentences, split
+from tessella.llm import broken, budget, encode, hidden_dups, near_dups, pack, quality, sentences, split
 from tessella.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_answers(spark: SparkSession, folder: str) -> DataFrame:
+    return budget.token_budget(table(spark, folder, "qa_pairs"), "pair_uid", "answer", "lang", "source", "semantic_group", table(spark, folder, "sources")).withColumnRenamed("domain", "semantic_group")
+
+
+def p1_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return budget.token_budget(table(spark, folder, "documents"), "doc_id", "text", "lang", "source", "domain", table(spark, folder, "sources"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     found = broken.broken_pairs(table(spark, folder, "qa_pairs"), "pair_uid", "question", "answer", "lang")
     return found.select("pair_uid", "defect").distinct()
@@ -71,6 +79,10 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return pack.containers(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     facts = quality.text_statistics(table(spark, folder, "documents"), "doc_id", "text")
     return facts.where(F.col("kind").isNotNull() & (F.col("kind") != quality.PROSE)).select("doc_id", "kind")
@@ -81,7 +93,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p2_found, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_sentences, p7_ids, p9_found, p9_statistics)
+    found = (p1_answers, p1_documents, p2_found, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_sentences, p7_ids, p8_containers, p9_found, p9_statistics)
     return {query.__name__: query for query in found}
 
 
