@@ -36,3 +36,16 @@ def settle(df: DataFrame) -> DataFrame:
         folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessella-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def union_all(first: DataFrame, *others: DataFrame, missing: bool = False) -> DataFrame:
+    """Rows of all by column name; with ``missing``, absent columns are null.
+
+    Spark 4.1 may zip the partitions of a union's children that are partitioned alike, which fails if adaptive execution
+    coalesces them differently; the session setting for that is switched off here.
+    """
+    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    out = first
+    for other in others:
+        out = out.unionByName(other, allowMissingColumns=missing)
+    return out
