@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import settle  # noqa: F401  (re-exported for the operators)
+from tessella.session import settle, union_all  # noqa: F401  (re-exported for the operators)
 
 #: Characters that separate words: white space, control, format and punctuation characters.
 JVM_SEPARATORS = r"[\p{Z}\p{Cc}\p{Cf}\p{P}]+"
@@ -67,7 +67,7 @@ def clean_source(df: DataFrame, column: str, sources: DataFrame) -> DataFrame:
     """
     codes = sources.select(F.lower(F.trim("source")).alias("_spelling"), F.col("source").alias("_code"))
     titles = sources.select(F.lower(F.trim("title")).alias("_spelling"), F.col("source").alias("_code"))
-    spellings = codes.unionByName(titles).groupBy("_spelling").agg(F.min("_code").alias("_code"))
+    spellings = union_all(codes, titles).groupBy("_spelling").agg(F.min("_code").alias("_code"))
     joined = df.join(F.broadcast(spellings), F.lower(F.trim(df[column])) == F.col("_spelling"), "left")
     return joined.withColumn(column, F.coalesce("_code", F.lit("unknown"))).drop("_code", "_spelling")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import settle
+from tessella.llm.common import settle, union_all
 from tessella.llm.shingles import mixed, run_sets
 
 #: Counters of the histogram of runs (4 bytes each, whatever the input's size) and the slices it is summed in.
@@ -316,12 +316,12 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     labels = edges
     before = None
     while True:
-        both = labels.select("kind", "u", "v").union(labels.select("kind", F.col("v").alias("u"), F.col("u").alias("v")))
+        both = union_all(labels.select("kind", "u", "v"), labels.select("kind", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("kind", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least.withColumnRenamed("kind", "k").withColumnRenamed("u", "w"), both["kind"].eqNullSafe(F.col("k")) & (both["u"] == F.col("w"))).where(F.col("v") > F.col("u")).select("kind", F.col("m").alias("u"), "v").distinct()
         heavy = large.groupBy("kind", "v").agg(F.min("u").alias("m"))
         small = large.join(heavy.withColumnRenamed("kind", "k").withColumnRenamed("v", "w"), large["kind"].eqNullSafe(F.col("k")) & (large["v"] == F.col("w")))
-        small = small.select("kind", F.col("m").alias("u"), "v").union(small.where(F.col("u") != F.col("m")).select("kind", F.col("m").alias("u"), F.col("u").alias("v")))
+        small = union_all(small.select("kind", F.col("m").alias("u"), "v"), small.where(F.col("u") != F.col("m")).select("kind", F.col("m").alias("u"), F.col("u").alias("v")))
         labels = settle(small.distinct())
         now = tuple(labels.agg(F.count("*"), F.sum(F.xxhash64("kind", "u", "v").cast("decimal(38,0)"))).first())
         if now == before:
@@ -338,4 +338,4 @@ def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     two = members.select(F.col("kind").alias("kind_b"), F.col("class_id").alias("of_b"), F.col("id").alias("y"))
     across = links.select("kind", "class_a", "class_b").join(one, links["kind"].eqNullSafe(one["kind_a"]) & (links["class_a"] == one["of_a"])).join(two, links["kind"].eqNullSafe(two["kind_b"]) & (links["class_b"] == two["of_b"])).select("kind", "x", "y")
     inside = one.join(two, one["kind_a"].eqNullSafe(two["kind_b"]) & (one["of_a"] == two["of_b"]) & (one["x"] < two["y"])).select(F.col("kind_a").alias("kind"), "x", "y")
-    return across.union(inside).select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    return union_all(across, inside).select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import broken, budget, encode, hidden_dups, near_dups, pack, quality, sentences, split
+from tessella.session import union_all
 from tessella.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,14 +30,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = table(spark, folder, "qa_pairs").select(F.lit("qa_pairs").alias("rec_set"), F.col("pair_uid").alias("id"), "question", "answer")
     lines = hidden_dups.parsed_lines(table(spark, folder, "qa_lines"), "line_id", "line").select(F.lit("qa_lines").alias("rec_set"), "id", "question", "answer")
-    found = hidden_dups.copies(pairs.unionByName(lines), "id", ["question", "answer"], group_cols=("rec_set",), least_words=("answer", 30))
+    found = hidden_dups.copies(union_all(pairs, lines), "id", ["question", "answer"], group_cols=("rec_set",), least_words=("answer", 30))
     return found.select("rec_set", "keep_id", "copy_id")
 
 
 def _long_items(spark: SparkSession, folder: str) -> DataFrame:
     answers = table(spark, folder, "qa_pairs").select(F.lit("answer").alias("item_kind"), F.col("pair_uid").alias("item_id"), F.col("answer").alias("text"))
     chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), F.col("chunk_text").alias("text"))
-    return answers.unionByName(chunks).select(F.struct("item_kind", "item_id").alias("item"), "text")
+    return union_all(answers, chunks).select(F.struct("item_kind", "item_id").alias("item"), "text")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,7 +53,7 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def _near_items(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     answers = table(spark, folder, "qa_pairs").select(F.lit("answer").alias("item_kind"), F.col("pair_uid").alias("item_id"), F.col("answer").alias("text"))
     chunks = table(spark, folder, "chunks").where(F.col("strategy") == "sentence").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), F.col("chunk_text").alias("text"))
-    return near_dups.near_duplicates(answers.unionByName(chunks), "item_kind", "item_id", "text", similarity=0.6, length=3, least=60)
+    return near_dups.near_duplicates(union_all(answers, chunks), "item_kind", "item_id", "text", similarity=0.6, length=3, least=60)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

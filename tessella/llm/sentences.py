@@ -247,7 +247,7 @@ def sentence_units(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ids, numbers, starts, texts = [], [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             cuts = boundaries(text) if text else []
-            for number, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(text or "")], strict=True)):
+            for number, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(text or "")], strict=False)):
                 ids.append(key)
                 numbers.append(number)
                 starts.append(a)
