@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: All Unicode white space and the separators U+001C to U+001F.
-WHITE_SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-NOT_WHITE_SPACE = "[^\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+WHITE_SPACE = r"(?U:[\s\x1c-\x1f]+)"
+NOT_WHITE_SPACE = r"(?U:[^\s\x1c-\x1f]+)"
 #: Fixed value: a sentence ends at white space between one of .!? and an ASCII capital or digit.
 SENTENCE_GAP = "(?<=[.!?])" + WHITE_SPACE + "(?=[A-Z0-9])"
 #: Fixed value: characters a token is taken for.
@@ -19,6 +19,11 @@ def clean_text(col: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(col, WHITE_SPACE, " ")), F.lit(""))
 
 
+def has_text(col: Column) -> Column:
+    """Whether a text has anything but white space; a cheaper test than cleaning it."""
+    return F.coalesce(col.rlike(NOT_WHITE_SPACE), F.lit(False))
+
+
 def strip(col: Column) -> Column:
     """The text without white space at its ends."""
     return F.regexp_replace(F.regexp_replace(col, "^" + WHITE_SPACE, ""), WHITE_SPACE + "$", "")

@@ -14,8 +14,11 @@ STRATEGIES = ("fixed_size", "sentence", "semantic")
 
 
 def chunk_rows(df: DataFrame, id_col: str, chunks: str) -> DataFrame:
-    """(id, chunk_index, chunk_text) from an array column."""
-    return df.select(id_col, F.posexplode(chunks).alias("chunk_index", "chunk_text"))
+    """(id, chunk_index, chunk_text) from an array column; no row for null and empty arrays.
+
+    The outer form, as Spark would compute the array twice for the inner one, once before any shuffle to filter out empty arrays.
+    """
+    return df.select(id_col, F.posexplode_outer(chunks).alias("chunk_index", "chunk_text")).where(F.col("chunk_text").isNotNull())
 
 
 def fixed_size(df: DataFrame, id_col: str, text_col: str, size: int = 800, overlap: int = 100) -> DataFrame:

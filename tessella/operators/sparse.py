@@ -13,11 +13,13 @@ from tessella.session import settle, union_all
 
 #: Fixed values of the Okapi formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Rows of query terms up to which they are broadcast, and the tasks a term is spread over beyond that.
+BROADCAST_ROWS, SALTS = 200_000, 32
 
 
 @dataclass
 class SparseIndex:
-    """postings (term, chunk_id, tf, dl), terms (term, df, idf), totals (one row: n, avgdl, mean_idf), chunks (chunk_id)."""
+    """postings (term, chunk_id, tf, dl), terms (term, df, idf), totals (one row: n, avgdl), chunks (chunk_id)."""
 
     postings: DataFrame
     terms: DataFrame
@@ -26,21 +28,34 @@ class SparseIndex:
 
 
 def build_index(chunks: DataFrame, id_col: str, text_col: str) -> SparseIndex:
-    """The index of ``text_col``. Negative idf become EPSILON times the mean over the vocabulary. Totals are one-row tables joined back, never collected."""
+    """The index of ``text_col``. Negative idf become EPSILON times the mean over the vocabulary. Term counts, as many rows as the vocabulary, are written once; totals are one row, joined back."""
     tokens = chunks.select(F.col(id_col).alias("chunk_id"), tokenize(F.col(text_col)).alias("tokens"))
-    postings = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    totals = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # explode_outer: for explode Spark would tokenize twice, once to filter out empty arrays
+    exploded = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where(F.col("term").isNotNull())
+    postings = exploded.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    ids = chunks.select(F.col(id_col).alias("chunk_id"))
+    counted = settle(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
+    totals = counted.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("cf")).crossJoin(ids.agg(F.count("*").alias("n"))).select("n", (F.col("cf") / F.greatest("n", F.lit(1))).alias("avgdl"))
+    totals = settle(totals)
+    raw = counted.crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return SparseIndex(postings, terms, totals, tokens.select("chunk_id"))
+    return SparseIndex(postings, terms, totals, ids)
+
+
+def _with_terms(postings: DataFrame, weighed: DataFrame) -> DataFrame:
+    """Postings of the queries' terms. Few query terms are broadcast, so that postings stay where they are; more are joined by a shuffle in which a term's postings are spread over SALTS tasks."""
+    if weighed.count() <= BROADCAST_ROWS:
+        return postings.join(F.broadcast(weighed), "term")
+    salted = weighed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return postings.withColumn("salt", F.pmod(F.hash("chunk_id"), F.lit(SALTS))).join(salted, ["term", "salt"]).drop("salt")
 
 
 def scores(index: SparseIndex, queries: DataFrame, query_col: str = "query_id", text_col: str = "question") -> DataFrame:
     """(query_id, chunk_id, bm25_score) of the chunks that share a term with a query; a repeated term counts each time."""
     asked = queries.select(F.col(query_col).alias("query_id"), F.explode(tokenize(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighed = asked.join(index.terms.select("term", "idf"), "term")
-    hits = index.postings.join(weighed, "term").crossJoin(F.broadcast(index.totals))
+    weighed = settle(asked.join(index.terms.select("term", "idf"), "term"))
+    hits = _with_terms(index.postings, weighed).crossJoin(F.broadcast(index.totals))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("bm25_score"))
 

@@ -11,7 +11,7 @@ from tessella.functions import text as T
 from tessella.functions.vectors import embed
 from tessella.operators import answering, chunking, dense, evaluation, fusion, sparse
 from tessella.plans import retrieval as R
-from tessella.session import settle, union_all
+from tessella.session import settle, spread, union_all
 from tessella.sources import xml_pairs
 from tessella.sources.tables import table
 from tessella.streaming.requests import reject_reason
@@ -22,13 +22,13 @@ NO_MATCH = "zzqxj vvkqz"
 
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
     """Each pair once, its answer cleaned; pairs without an answer left out."""
-    rows = table(spark, folder, "qa_pairs").select("pair_uid", T.clean_text(F.col("answer")).alias("answer")).distinct()
-    return rows.where(F.length("answer") > 0)
+    rows = table(spark, folder, "qa_pairs").select("pair_uid", "answer").where(T.has_text(F.col("answer")))
+    return spread(rows, "pair_uid").distinct().select("pair_uid", T.clean_text(F.col("answer")).alias("answer"))
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Each pair once, whatever it was loaded."""
-    return table(spark, folder, "qa_pairs").drop("loaded_at", "fetched_at").distinct()
+    return spread(table(spark, folder, "qa_pairs").drop("loaded_at", "fetched_at"), "pair_uid").distinct()
 
 
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,7 +36,8 @@ def clean_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sentence_split(spark: SparkSession, folder: str) -> DataFrame:
-    return _answers(spark, folder).select("pair_uid", F.posexplode(T.split_sentences(F.col("answer"))).alias("sentence_no", "sentence"))
+    split = _answers(spark, folder).select("pair_uid", F.posexplode_outer(T.split_sentences(F.col("answer"))).alias("sentence_no", "sentence"))
+    return split.where(F.col("sentence").isNotNull())
 
 
 def fixed_size_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,7 +54,7 @@ def semantic_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_stats(spark: SparkSession, folder: str) -> DataFrame:
     words = T.word_count(F.col("chunk_text"))
-    return table(spark, folder, "chunks").groupBy("strategy").agg(F.count("*").alias("n_chunks"), F.round(F.avg(words), 6).alias("avg_words"), F.max(words).cast("long").alias("max_words"))
+    return spread(table(spark, folder, "chunks").select("strategy", "chunk_text")).groupBy("strategy").agg(F.count("*").alias("n_chunks"), F.round(F.avg(words), 6).alias("avg_words"), F.max(words).cast("long").alias("max_words"))
 
 
 def tokenize(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,7 +84,7 @@ def source_set(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pair_uid_assign(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _pairs(spark, folder).where(T.clean_text(F.col("answer")) != "").select("source", "doc_id", "qid", F.col("pair_uid").alias("old_uid"))
+    rows = _pairs(spark, folder).where(T.has_text(F.col("answer"))).select("source", "doc_id", "qid", F.col("pair_uid").alias("old_uid"))
     return xml_pairs.with_sequential_ids(rows.withColumn("source", F.coalesce("source", F.lit("unknown"))), ["source", "doc_id", "qid", "old_uid"]).select("old_uid", "pair_uid")
 
 
@@ -92,7 +93,7 @@ def extract_pair_uid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_id_build(spark: SparkSession, folder: str) -> DataFrame:
-    made = chunking.build_chunks(_pairs(spark, folder).where(F.col("answer").isNotNull()).withColumn("answer", T.clean_text(F.col("answer"))).where("answer != ''"), "fixed_size")
+    made = chunking.build_chunks(_pairs(spark, folder).where(T.has_text(F.col("answer"))).withColumn("answer", T.clean_text(F.col("answer"))), "fixed_size")
     return made.select("chunk_id", "pair_uid", "chunk_index", "qtype", "strategy")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions.text import embed_text
 from tessella.functions.vectors import Embedder, embed, hashed_bag_of_words
 from tessella.operators import dense, fusion, sparse
+from tessella.session import spread
 from tessella.sources.tables import table
 
 #: Candidates of each retriever, and rows that are kept.
@@ -19,7 +20,8 @@ CANDIDATES, TOP_K = 20, 5
 def corpus(spark: SparkSession, folder: str, strategy: str = "sentence") -> DataFrame:
     """The index rows of one strategy, each chunk once, without nulls in what is embedded or searched."""
     rows = table(spark, folder, "chunks").where(F.col("strategy") == strategy)
-    return rows.select("chunk_id", F.coalesce("focus", F.lit("unknown")).alias("focus"), "source", "url", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("chunk_text", F.lit("")).alias("chunk_text")).distinct()
+    fields = (F.coalesce("focus", F.lit("unknown")).alias("focus"), F.col("source"), F.col("url"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("chunk_text", F.lit("")).alias("chunk_text"))
+    return spread(rows, "chunk_id").select("chunk_id", *fields).distinct()  # scoring then needs no other shuffle
 
 
 def with_texts(chunks: DataFrame) -> DataFrame:

@@ -49,3 +49,17 @@ def union_all(first: DataFrame, *others: DataFrame, missing: bool = False) -> Da
     for other in others:
         out = out.unionByName(other, allowMissingColumns=missing)
     return out
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df in enough partitions for costly work on its rows.
+
+    With keys it is hash-partitioned by them in as many partitions as shuffles have, which adaptive execution, going
+    by bytes and not by work, would merge; what follows groups by these keys without another shuffle. Without keys only an
+    input of fewer partitions than the session has cores, such as one small file, is redistributed.
+    """
+    session = df.sparkSession
+    if keys:
+        return df.repartition(int(session.conf.get("spark.sql.shuffle.partitions")), *keys)
+    cores = session.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
