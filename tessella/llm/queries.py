@@ -8,22 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import broken, budget, encode, hidden_dups, near_dups, pack, quality, sentences, split
-from tessella.session import union_all
+from tessella.session import spread, union_all
 from tessella.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_answers(spark: SparkSession, folder: str) -> DataFrame:
-    return budget.token_budget(table(spark, folder, "qa_pairs"), "pair_uid", "answer", "lang", "source", "semantic_group", table(spark, folder, "sources")).withColumnRenamed("domain", "semantic_group")
+    return budget.token_budget(spread(table(spark, folder, "qa_pairs")), "pair_uid", "answer", "lang", "source", "semantic_group", table(spark, folder, "sources")).withColumnRenamed("domain", "semantic_group")
 
 
 def p1_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return budget.token_budget(table(spark, folder, "documents"), "doc_id", "text", "lang", "source", "domain", table(spark, folder, "sources"))
+    return budget.token_budget(spread(table(spark, folder, "documents")), "doc_id", "text", "lang", "source", "domain", table(spark, folder, "sources"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = broken.broken_pairs(table(spark, folder, "qa_pairs"), "pair_uid", "question", "answer", "lang")
+    found = broken.broken_pairs(spread(table(spark, folder, "qa_pairs")), "pair_uid", "question", "answer", "lang")
     return found.select("pair_uid", "defect").distinct()
 
 
@@ -41,19 +41,19 @@ def _long_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    cut = split.pieces(_long_items(spark, folder), "item", "text")
+    cut = split.pieces(spread(_long_items(spark, folder)), "item", "text")
     return cut.where(F.col("piece_no") == 1).select("item.item_kind", "item.item_id").distinct()
 
 
 def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    cut = split.pieces(_long_items(spark, folder), "item", "text")
+    cut = split.pieces(spread(_long_items(spark, folder)), "item", "text")
     return cut.select("item.item_kind", "item.item_id", "piece_no", "start_char", "end_char", "piece").dropDuplicates(["item_kind", "item_id", "piece_no"])
 
 
 def _near_items(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     answers = table(spark, folder, "qa_pairs").select(F.lit("answer").alias("item_kind"), F.col("pair_uid").alias("item_id"), F.col("answer").alias("text"))
     chunks = table(spark, folder, "chunks").where(F.col("strategy") == "sentence").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), F.col("chunk_text").alias("text"))
-    return near_dups.near_duplicates(union_all(answers, chunks), "item_kind", "item_id", "text", similarity=0.6, length=3, least=60)
+    return near_dups.near_duplicates(spread(union_all(answers, chunks)), "item_kind", "item_id", "text", similarity=0.6, length=3, least=60)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,25 +72,25 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    units = sentences.sentence_units(table(spark, folder, "qa_pairs"), "pair_uid", "answer")
+    units = sentences.sentence_units(spread(table(spark, folder, "qa_pairs")), "pair_uid", "answer")
     return units.dropDuplicates(["pair_uid", "sentence_no"])
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encode.token_ids(table(spark, folder, "documents"), "doc_id", "text")
+    return encode.token_ids(spread(table(spark, folder, "documents")), "doc_id", "text")
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
-    return pack.containers(table(spark, folder, "documents"), "doc_id", "text")
+    return pack.containers(spread(table(spark, folder, "documents")), "doc_id", "text")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    facts = quality.text_statistics(table(spark, folder, "documents"), "doc_id", "text")
+    facts = quality.text_statistics(spread(table(spark, folder, "documents")), "doc_id", "text")
     return facts.where(F.col("kind").isNotNull() & (F.col("kind") != quality.PROSE)).select("doc_id", "kind")
 
 
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.text_statistics(table(spark, folder, "documents"), "doc_id", "text")
+    return quality.text_statistics(spread(table(spark, folder, "documents")), "doc_id", "text")
 
 
 def queries() -> dict[str, Query]:
