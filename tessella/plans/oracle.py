@@ -125,7 +125,7 @@ def _rewritten(col: str) -> str:
     out = col
     for phrase, plain in REWRITES.items():
         out = f"replace({out}, '{phrase}', '{plain}')"
-    return f"coalesce(nullif(trim({out}), ''), {col})"
+    return f"coalesce(nullif(regexp_replace(regexp_replace({out}, '^{_WS}', ''), '{_WS}$', ''), ''), {col})"
 
 
 #: Columns that are 32-bit integers in Spark.

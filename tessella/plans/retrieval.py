@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.text import embed_text
+from tessella.functions.text import embed_text, strip
 from tessella.functions.vectors import Embedder, embed, hashed_bag_of_words
 from tessella.operators import dense, fusion, sparse
 from tessella.session import spread
@@ -78,8 +78,8 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, candidates: in
 
 
 def rewritten(question: Column, rewrite: Callable[[Column], Column]) -> Column:
-    """The rewritten question, or the original where that is null or blank."""
-    return F.coalesce(F.nullif(F.trim(rewrite(question)), F.lit("")), question)
+    """The rewritten question without white space around it, or the original where that is null or blank."""
+    return F.coalesce(F.nullif(strip(rewrite(question)), F.lit("")), question)
 
 
 #: Phrases of the dictionary rewriter and what they become.
