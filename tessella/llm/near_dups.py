@@ -115,7 +115,7 @@ _PART = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("digest", pa.bi
 _PART_DDL = "kind string, part int, digest binary, size int, sketch binary, runs binary, places binary"
 
 
-def _parts(length: int, least: int, similarity: float, parts: int, histogram):  # noqa: ANN001, ANN202
+def _parts(length: int, least: int, similarity: float, parts: int, tile: int, histogram):  # noqa: ANN001, ANN202
     """For each class and part: size, sketch, and its rare runs in that part with their places in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +140,11 @@ def _parts(length: int, least: int, similarity: float, parts: int, histogram):
                 chosen, places, often = runs[order][shared], places[shared], often[order][shared]
                 if not len(chosen):
                     continue
-                grid = often > TILE
+                grid = often > tile
                 if grid.any():
                     rows = [(chosen[~grid], places[~grid])]
                     for value, place, count in zip(chosen[grid], places[grid], often[grid], strict=True):
-                        side = int(-(-int(count) // TILE)) + 1
+                        side = -(-int(count) // tile) + 1
                         own = int.from_bytes(digest[:8], "little") % side
                         low, high = np.minimum(own, np.arange(side, dtype=np.uint64)), np.maximum(own, np.arange(side, dtype=np.uint64))
                         tiles = mixed(value + np.uint64(1)) ^ mixed((low.astype(np.uint64) << np.uint64(24)) + high.astype(np.uint64) + np.uint64(1))
@@ -252,7 +252,7 @@ def _sets(length: int):  # noqa: ANN202
     return run
 
 
-def near_duplicates(df: DataFrame, kind_col: str, id_col: str, text_col: str, *, similarity: float = 0.8, length: int = 5, least: int = 1) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, kind_col: str, id_col: str, text_col: str, *, similarity: float = 0.8, length: int = 5, least: int = 1, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """Members (kind, id, class_id) and links (kind, class_a, class_b, similarity) of near-duplicate texts.
 
     Texts of one kind with equal sets of runs of ``length`` words are one class, named by its smallest id. Classes are linked if
@@ -260,8 +260,8 @@ def near_duplicates(df: DataFrame, kind_col: str, id_col: str, text_col: str, *,
     ``least`` runs take no part, nor do null texts and ids; a null kind is a kind of its own; a repeated id counts
     once and must have one text. Ids are taken as strings; other columns are not read. No cap on partners.
     """
-    if not 0.0 < similarity <= 1.0 or length < 1 or least < 1:
-        raise ValueError("similarity must be in (0, 1], length and least at least 1")
+    if not 0.0 < similarity <= 1.0 or min(length, least, tile) < 1:
+        raise ValueError("similarity must be in (0, 1], length, least and tile at least 1")
     session = df.sparkSession
     texts = df.select(F.col(kind_col).cast("string").alias("kind"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     survey = settle(texts.mapInArrow(_survey(length, least), _SURVEY_DDL))
@@ -274,7 +274,7 @@ def near_duplicates(df: DataFrame, kind_col: str, id_col: str, text_col: str, *,
     listed = survey.where(F.col("slice").isNull()).select("kind", "id", "digest")
     heads = listed.groupBy("kind", "digest").agg(F.min("id").alias("class_id"))
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
-    sent = texts.mapInArrow(_parts(length, least, similarity, parts, histogram), _PART_DDL)
+    sent = texts.mapInArrow(_parts(length, least, similarity, parts, tile, histogram), _PART_DDL)
     near = sent.groupBy("kind", "part").applyInArrow(_compared(similarity), "kind string, low binary, high binary").distinct()
     a = heads.select(F.col("kind").alias("kind_a"), F.col("digest").alias("low"), F.col("class_id").alias("first"))
     b = heads.select(F.col("kind").alias("kind_b"), F.col("digest").alias("high"), F.col("class_id").alias("second"))

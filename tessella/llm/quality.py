@@ -85,8 +85,10 @@ def is_table(line: str) -> bool:
         return False
     if len(_DELIMITED.findall(line)) >= 2 and not re.search(r"[.!?] ", line):
         return True
-    tokens = line.split()
-    if len(tokens) >= 2 and sum(1 for t in tokens if _CELL.fullmatch(t)) >= 0.22 * len(tokens) and not re.search(r"[^\W\d][.!?।؟] ", line):
+    item = _BULLET.sub("", line.strip(), count=1)
+    tokens = item.split()
+    least = 2 if len(item) < len(line.strip()) else 1
+    if len(tokens) >= 2 and sum(1 for t in tokens if _CELL.fullmatch(t)) >= max(least, 0.22 * len(tokens)) and not re.search(r"[^\W\d][.!?।؟] ", line):
         return True
     return bool(_NAME_VALUE.match(line)) and len(line) < 100 and len(_STOPS.findall(line)) == 0
 
@@ -183,11 +185,10 @@ def statistics(text: str) -> tuple:
     letters = sum(map(len, words))
     share = 0.0
     if count >= 8:
-        for size in (1, 2, 3, 4):
-            grams = Counter(words) if size == 1 else Counter(zip(*(words[k:] for k in range(size)), strict=False))
-            gram, often = grams.most_common(1)[0]
+        for size in (2, 3, 4):
+            gram, often = Counter(zip(*(words[k:] for k in range(size)), strict=False)).most_common(1)[0]
             if often > 2:
-                share = max(share, min(1.0, often * (len(gram) if size == 1 else sum(map(len, gram))) / letters))
+                share = max(share, min(1.0, often * sum(map(len, gram)) / letters))
     return (
         count,
         letters / count if count else 0.0,
