@@ -76,7 +76,7 @@ def is_table(line: str) -> bool:
     """Whether a line is a row of cells or of a name with its value."""
     if _CELL_TAG.search(line):
         return True
-    if line.count("|") >= 2 and (line[0] == "|" or " | " in line):
+    if line.count("|") >= 2 and (line[0] == "|" or " | " in line or not re.search("[°~¤�]", line) and max(map(len, line.split("|"))) <= 60):
         return True
     cells = [c for c in _GAP.split(line.strip()) if c]
     if len(cells) > 1 and ("\t" in line.strip() or len(cells) > 2 or "    " in line.strip()) and max(map(len, cells)) <= 60 and not any(_STOPS.search(c[:-1]) for c in cells):
@@ -102,7 +102,7 @@ def is_list(line: str) -> bool:
     if references and _AUTHORS.match(line) or references >= 2 and references * 160 >= len(line):
         return True
     parts = [p for p in _ITEMS.split(line) if p.strip()]
-    if len(parts) >= 5 and not _STOPS.search(line[:-1]):
+    if len(parts) >= 5 and line[-1] not in "。！？!?।؟" and not _STOPS.search(line[:-1]):
         return max(sorted(map(len, parts))[: max(1, len(parts) * 9 // 10)]) <= 48
     return False
 

@@ -43,6 +43,9 @@ KINDS = [
     ("\n".join(f"{k}. item {k}" for k in range(9)), "list"),
     ("salt, cold air, dust, a blood count, coffee, late meals", "list"),
     ("Ray K, Bo L. Pain and salt. Town Bulletin 4(4):240-627.\nOx M, Ur P. Rash. Town Bulletin 5(1):20-27.", "list"),
+    ("Rate|Dose|Note\nrash|5|\ncough||<3", "table"),
+    ("- a blood count\n- dry cough\n- 2 eggs\n- salt", "list"),
+    ("如果甲无效，可以改用乙，但学龄儿童要注意突然的心悸（见某地，2006年，第120例）。", "prose"),
     ("| a | b |\n| 1 | 2 |\n| 3 | 4 |", "table"),
     ("Rate\tDose\tRange\nrash\t5\t1-2\ncough\t7\t3-4", "table"),
     ("ABC1: 5.2 mg/dL (ref 1-9)\nDEF2: 7 U/L (ref 2-8)", "table"),
