@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,18 +17,21 @@ from tessella.session import settle, union_all
 
 #: Fixed values of the Okapi formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Rows of query terms up to which they are broadcast, and the tasks a term is spread over beyond that.
+#: Rows of query terms up to which they are sent to all tasks, and the tasks a term is spread over beyond that.
 BROADCAST_ROWS, SALTS = 200_000, 32
+#: Queries, and cells of a term-by-chunk table, that are scored at once.
+QUERY_BLOCK, CELLS = 256, 4_000_000
 
 
 @dataclass
 class SparseIndex:
-    """postings (term, chunk_id, tf, dl), terms (term, df, idf), totals (one row: n, avgdl), chunks (chunk_id)."""
+    """postings (term, chunk_id, tf, dl), terms (term, df, idf), totals (one row: n, avgdl), chunks (chunk_id), texts (chunk_id, text)."""
 
     postings: DataFrame
     terms: DataFrame
     totals: DataFrame
     chunks: DataFrame
+    texts: DataFrame
 
 
 def build_index(chunks: DataFrame, id_col: str, text_col: str) -> SparseIndex:
@@ -40,7 +47,7 @@ def build_index(chunks: DataFrame, id_col: str, text_col: str) -> SparseIndex:
     raw = counted.crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return SparseIndex(postings, terms, totals, ids)
+    return SparseIndex(postings, terms, totals, ids, chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")))
 
 
 def _with_terms(postings: DataFrame, weighed: DataFrame) -> DataFrame:
@@ -51,22 +58,111 @@ def _with_terms(postings: DataFrame, weighed: DataFrame) -> DataFrame:
     return postings.withColumn("salt", F.pmod(F.hash("chunk_id"), F.lit(SALTS))).join(salted, ["term", "salt"]).drop("salt")
 
 
+def _weighed(index: SparseIndex, queries: DataFrame, query_col: str, text_col: str) -> DataFrame:
+    """(query_id, term, qtf, idf) of the queries' terms that the index has."""
+    asked = queries.select(F.col(query_col).alias("query_id"), F.explode(tokenize(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    return settle(asked.join(index.terms.select("term", "idf"), "term"))
+
+
 def scores(index: SparseIndex, queries: DataFrame, query_col: str = "query_id", text_col: str = "question") -> DataFrame:
     """(query_id, chunk_id, bm25_score) of the chunks that share a term with a query; a repeated term counts each time."""
-    asked = queries.select(F.col(query_col).alias("query_id"), F.explode(tokenize(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighed = settle(asked.join(index.terms.select("term", "idf"), "term"))
+    weighed = _weighed(index, queries, query_col, text_col)
     hits = _with_terms(index.postings, weighed).crossJoin(F.broadcast(index.totals))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("bm25_score"))
 
 
+def _top_k_blocks(index: SparseIndex, asked: DataFrame, weighed: DataFrame, k: int) -> DataFrame:
+    totals = index.totals.first()
+    avgdl = totals.avgdl or 1.0
+    by_query: dict[str, list[tuple[str, float]]] = {r.query_id: [] for r in asked.select("query_id").distinct().collect()}
+    for row in weighed.collect():
+        by_query[row.query_id].append((row.term, row.qtf * row.idf))
+    names = sorted(by_query)
+    places: dict[str, int] = {}
+    blocks = []
+    for low in range(0, len(names), QUERY_BLOCK):
+        ids = names[low : low + QUERY_BLOCK]
+        entries = [(row, places.setdefault(term, len(places)), weight) for row, name in enumerate(ids) for term, weight in by_query[name]]
+        blocks.append((ids, entries))
+    shared = asked.sparkSession.sparkContext.broadcast((places, blocks))
+    schema = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("bm25_score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, blocks = shared.value
+        tables = []
+        for ids, entries in blocks:
+            used = sorted({place for _, place, _ in entries})
+            local = np.full(len(places) + 1, -1, dtype=np.int64)
+            local[used] = np.arange(len(used))
+            weights = np.zeros((len(ids), len(used)))
+            for row, place, weight in entries:
+                weights[row, local[place]] += weight
+            tables.append((ids, local, weights))
+        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(tables)
+        for batch in batches:
+            order = np.argsort(np.array(batch.column(0).to_pylist(), dtype=object), kind="stable")
+            chunk_ids = np.array(batch.column(0).to_pylist(), dtype=object)[order]
+            texts = batch.column(1).to_pylist()
+            rows, terms, lengths = [], [], np.zeros(len(order))
+            for row, at in enumerate(order):
+                tokens = _TOKENS.findall((texts[at] or "").lower())
+                lengths[row] = len(tokens)
+                known = [places[t] for t in tokens if t in places]
+                terms += known
+                rows += [row] * len(known)
+            cells, tf = np.unique(np.array(rows, dtype=np.int64) * (len(places) + 1) + np.array(terms, dtype=np.int64), return_counts=True)
+            row_of, term_of = cells // (len(places) + 1), cells % (len(places) + 1)
+            share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row_of] / avgdl))
+            for number, (ids, local, weights) in enumerate(tables):
+                width = max(64, CELLS // max(1, weights.shape[1]))
+                for low in range(0, len(order), width):
+                    high = min(low + width, len(order))
+                    inside = (row_of >= low) & (row_of < high) & (local[term_of] >= 0)
+                    dense = np.zeros((weights.shape[1], high - low))
+                    dense[local[term_of[inside]], row_of[inside] - low] = share[inside]
+                    scored = _rounded(weights @ dense)
+                    top = np.argsort(-scored, axis=1, kind="stable")[:, :k]
+                    found = (np.take_along_axis(scored, top, axis=1), chunk_ids[low:high][top])
+                    best[number] = found if best[number] is None else _merged(best[number], found, k)
+        for (ids, _, _), kept in zip(tables, best, strict=True):
+            if kept is not None and kept[0].size:
+                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array(ids, dtype=object), kept[0].shape[1]).tolist(), "chunk_id": kept[1].ravel().tolist(), "bm25_score": kept[0].ravel()}, schema=schema)
+
+    near = index.texts.mapInArrow(run, "query_id string, chunk_id string, bm25_score double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bm25_score"), "chunk_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "bm25_score")
+
+
+_TOKENS = re.compile("[a-z0-9]+")
+
+
+def _rounded(values: np.ndarray) -> np.ndarray:
+    """To 6 places, halves away from zero, as SQL rounds."""
+    return np.copysign(np.floor(np.abs(values) * 1e6 + 0.5) / 1e6, values) + 0.0
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k of two tables of scores and ids, ties by id."""
+    scores, ids = np.concatenate([a[0], b[0]], axis=1), np.concatenate([a[1], b[1]], axis=1)
+    codes = np.unique(ids.astype(str), return_inverse=True)[1].reshape(ids.shape)
+    by_id = np.argsort(codes, axis=1, kind="stable")
+    order = np.take_along_axis(by_id, np.argsort(-np.take_along_axis(scores, by_id, axis=1), axis=1, kind="stable"), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
 def top_k(index: SparseIndex, queries: DataFrame, k: int, query_col: str = "query_id", text_col: str = "question") -> DataFrame:
     """(query_id, rank, chunk_id, bm25_score): k rows of each query while there are chunks, those without a hit with score 0.
 
-    Ties go by chunk_id. Chunks without a hit are needed only for queries with fewer than k positive scores; the first
-    of them are among the first k plus as many chunks as the query has hits.
+    Ties go by chunk_id. Up to BROADCAST_ROWS query terms, blocks of chunks are scored against blocks of queries as products
+    of matrices, and each task keeps the best k rows a query. Beyond that, postings are joined by term; chunks without
+    a hit are then needed only for queries with fewer than k positive scores, and the first of them are among the first k
+    plus as many chunks as the query has hits. A null query text is one without terms.
     """
     asked = queries.select(F.col(query_col).alias("query_id"), F.col(text_col).alias("question"))
+    weighed = _weighed(index, asked, "query_id", "question")
+    if asked.count() + weighed.count() <= BROADCAST_ROWS:
+        return _top_k_blocks(index, asked, weighed, k)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bm25_score"), "chunk_id"))
 
     def best(rows: DataFrame) -> DataFrame:
