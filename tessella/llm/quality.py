@@ -69,7 +69,9 @@ def is_junk(text: str) -> bool:
     if solid >= 12 and letters < 0.35 * solid and "|" not in text and not any(_CELL.fullmatch(t) for t in text.split()):
         return True
     tokens = text.split()
-    return len(tokens) > 5 and sum(1 for t in tokens if len(t) > 2 and _BROKEN.fullmatch(t) and not t.isalnum()) + sum(1 for t in tokens if "�" in t) > 0.18 * len(tokens)
+    # words of scripts without spaces come as overlong tokens, which say nothing of single words
+    broken = [t for t in tokens if 2 < len(t) <= 30 and ("�" in t or _BROKEN.fullmatch(t) and not t.isalnum() and not t.startswith("°"))]
+    return len(tokens) > 5 and len(broken) > 0.18 * len(tokens) and sum(map(len, broken)) > 0.12 * solid
 
 
 def is_table(line: str) -> bool:
@@ -121,6 +123,10 @@ def is_prose_block(lines: list[str]) -> bool:
     return False
 
 
+#: Begins the rest of a divided line, so that its first word isn't taken for the mark of an item.
+_ON = "\u2060"
+
+
 def _units(text: str) -> list[str]:
     """Lines; very long ones in stretches."""
     out = []
@@ -130,7 +136,7 @@ def _units(text: str) -> list[str]:
             cut = line.rfind(" ", 300, 600)
             cut = cut if cut > 0 else 600
             out.append(line[:cut])
-            line = line[cut:].strip()
+            line = _ON + line[cut:].strip()
         if line.strip():
             out.append(line)
     return out

@@ -46,6 +46,8 @@ KINDS = [
     ("Rate|Dose|Note\nrash|5|\ncough||<3", "table"),
     ("- a blood count\n- dry cough\n- 2 eggs\n- salt", "list"),
     ("如果甲无效，可以改用乙，但学龄儿童要注意突然的心悸（见某地，2006年，第120例）。", "prose"),
+    ("最も多い原因は管の詰まりですが、高齢者では古い傷も報告されています（某、2018年、第2例）。Ratio 1/2, 37.5 °C, x². AB13遺伝子の変化は肺と皮膚を傷つけます。", "prose"),
+    (" ".join(f"Ruhe und Schlaf helfen im Haus {k} i. d. R. binnen zwei Wochen, so der Arzt in Ort {k * 7} am Meer." for k in range(40)), "prose"),
     ("| a | b |\n| 1 | 2 |\n| 3 | 4 |", "table"),
     ("Rate\tDose\tRange\nrash\t5\t1-2\ncough\t7\t3-4", "table"),
     ("ABC1: 5.2 mg/dL (ref 1-9)\nDEF2: 7 U/L (ref 2-8)", "table"),
