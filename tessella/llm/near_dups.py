@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,33 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 5_000, chars: int = 8
         yield kinds, ids, texts
 
 
-def _digest(kind: str, runs: np.ndarray) -> bytes:
-    return hashlib.blake2b(runs.tobytes(), digest_size=16, person=hashlib.blake2b((kind or "").encode(), digest_size=16).digest()).digest()
+@lru_cache(maxsize=64)
+def _person(kind: str | None) -> bytes:
+    return hashlib.blake2b((kind or "").encode(), digest_size=16).digest()
+
+
+def _digests(kinds: list, values: np.ndarray, bounds: np.ndarray, chosen: np.ndarray) -> list[bytes]:
+    """A digest of kind and set of runs of each chosen text."""
+    raw = memoryview(values.tobytes())
+    return [hashlib.blake2b(raw[8 * bounds[k] : 8 * bounds[k + 1]], digest_size=16, person=_person(kinds[k])).digest() for k in chosen.tolist()]
+
+
+def _unseen(digests: list[bytes], seen: set[bytes]) -> np.ndarray:
+    """Which digests occur for the first time in a task; they are added to seen."""
+    fresh = np.zeros(len(digests), dtype=bool)
+    for k, digest in enumerate(digests):
+        if digest not in seen:
+            seen.add(digest)
+            fresh[k] = True
+    return fresh
+
+
+def _of(values: np.ndarray, bounds: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the chosen texts, one after another, and of each value the place of its text among the chosen."""
+    lengths = np.diff(bounds)[chosen]
+    owner = np.repeat(np.arange(len(chosen)), lengths)
+    starts = np.cumsum(lengths) - lengths
+    return values[np.arange(len(owner)) - starts[owner] + bounds[chosen][owner]], owner
 
 
 def _survey(length: int, least: int):  # noqa: ANN202
@@ -60,21 +86,14 @@ def _survey(length: int, least: int):  # noqa: ANN202
         seen: set[bytes] = set()
         for kinds, ids, texts in _blocks(batches):
             values, bounds = run_sets(texts, length)
-            out: dict[str, list] = {"kind": [], "id": [], "digest": []}
-            for k in range(len(texts)):
-                runs = values[bounds[k] : bounds[k + 1]]
-                if len(runs) < least:
-                    continue
-                digest = _digest(kinds[k], runs)
-                out["kind"].append(kinds[k])
-                out["id"].append(ids[k])
-                out["digest"].append(digest)
-                if digest not in seen:
-                    seen.add(digest)
-                    counters[(runs & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
-            size = len(out["id"])
-            if size:
-                yield pa.RecordBatch.from_pydict({**out, "slice": [None] * size, "counts": [None] * size}, schema=_SURVEY)
+            chosen = np.flatnonzero(np.diff(bounds) >= least)
+            if not len(chosen):
+                continue
+            digests = _digests(kinds, values, bounds, chosen)
+            new, _ = _of(values, bounds, chosen[_unseen(digests, seen)])
+            counters += np.bincount((new & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
+            size = len(chosen)
+            yield pa.RecordBatch.from_pydict({"kind": [kinds[k] for k in chosen], "id": [ids[k] for k in chosen], "digest": digests, "slice": [None] * size, "counts": [None] * size}, schema=_SURVEY)
         if counters.any():
             width = COUNTERS // SLICES
             yield pa.RecordBatch.from_pydict({"kind": [None] * SLICES, "id": [None] * SLICES, "digest": [None] * SLICES, "slice": list(range(SLICES)), "counts": [counters[k * width : (k + 1) * width].tobytes() for k in range(SLICES)]}, schema=_SURVEY)
@@ -99,16 +118,13 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"slice": list(sums), "counts": [s.tobytes() for s in sums.values()]}, schema=pa.schema([("slice", pa.int32()), ("counts", pa.binary())]))
 
 
-def sketch_bits(size: int) -> int:
-    """Bits of the sketch of a set: a power of two of at least twice its size, within bounds."""
-    return min(LARGEST, max(SMALLEST, 1 << (2 * size - 1).bit_length()))
-
-
-def parity_sketch(runs: np.ndarray, bits: int) -> np.ndarray:
-    """The sketch of a set of runs as 64-bit words."""
-    places = (mixed(runs) >> np.uint64(20)) & np.uint64(bits - 1)
-    odd = np.bincount(places.astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+def parity_sketches(runs: np.ndarray, owner: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    """The sketches of sets: runs[k] belongs to set owner[k], whose sketch has bits[owner[k]] bits."""
+    starts = np.cumsum(bits) - bits
+    places = (mixed(runs) >> np.uint64(20)) & (bits[owner] - 1).astype(np.uint64)
+    odd = np.bincount(starts[owner] + places.astype(np.int64), minlength=int(bits.sum())) & 1
+    raw = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [raw[a : a + n] for a, n in zip((starts // 8).tolist(), (bits // 8).tolist(), strict=True)]
 
 
 _PART = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("digest", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary()), ("runs", pa.binary()), ("places", pa.binary())])
@@ -123,67 +139,96 @@ def _parts(length: int, least: int, similarity: float, parts: int, tile: int, hi
         seen: set[bytes] = set()
         for kinds, _, texts in _blocks(batches):
             values, bounds = run_sets(texts, length)
-            out: dict[str, list] = {name: [] for name in _PART.names}
-            for k in range(len(texts)):
-                runs = values[bounds[k] : bounds[k + 1]]
-                size = len(runs)
-                if size < least:
-                    continue
-                digest = _digest(kinds[k], runs)
-                if digest in seen:
-                    continue
-                seen.add(digest)
-                often = counters[(runs & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                order = np.lexsort((runs, often))[: size - int(np.ceil(similarity * size - 1e-9)) + 1]
-                places = np.arange(len(order), dtype=np.int32)
-                shared = often[order] > 1  # a counter of one is of a run that no other class has
-                chosen, places, often = runs[order][shared], places[shared], often[order][shared]
-                if not len(chosen):
-                    continue
-                grid = often > tile
-                if grid.any():
-                    rows = [(chosen[~grid], places[~grid])]
-                    for value, place, count in zip(chosen[grid], places[grid], often[grid], strict=True):
-                        side = -(-int(count) // tile) + 1
-                        own = int.from_bytes(digest[:8], "little") % side
-                        low, high = np.minimum(own, np.arange(side, dtype=np.uint64)), np.maximum(own, np.arange(side, dtype=np.uint64))
-                        tiles = mixed(value + np.uint64(1)) ^ mixed((low.astype(np.uint64) << np.uint64(24)) + high.astype(np.uint64) + np.uint64(1))
-                        rows.append((tiles & np.uint64((1 << 48) - 1), np.full(side, place, dtype=np.int32)))
-                    chosen, places = (np.concatenate(x) for x in zip(*rows, strict=True))
-                part = (mixed(chosen) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.diff(part[order])) + 1
-                sketch = parity_sketch(runs, sketch_bits(size)).tobytes()
-                for piece in np.split(order, cuts):
-                    for name, value in zip(_PART.names, (kinds[k], int(part[piece[0]]), digest, size, sketch, chosen[piece].tobytes(), places[piece].tobytes()), strict=True):
-                        out[name].append(value)
-            if out["part"]:
-                yield pa.RecordBatch.from_pydict(out, schema=_PART)
+            chosen = np.flatnonzero(np.diff(bounds) >= least)
+            digests = _digests(kinds, values, bounds, chosen)
+            fresh = _unseen(digests, seen)
+            chosen, digests = chosen[fresh], [d for d, f in zip(digests, fresh, strict=True) if f]
+            if not len(chosen):
+                continue
+            runs, owner = _of(values, bounds, chosen)
+            sizes = np.bincount(owner, minlength=len(chosen))
+            bits = np.minimum(LARGEST, np.maximum(SMALLEST, 1 << np.ceil(np.log2(2 * sizes)).astype(np.int64)))
+            sketches = parity_sketches(runs, owner, bits)
+            often = counters[(runs & np.uint64(COUNTERS - 1)).astype(np.int64)]
+            # by text, then count; runs of equal count stay in order of their hashes, the same for all texts
+            order = np.argsort((owner.astype(np.uint64) << np.uint64(32)) | often.astype(np.uint64), kind="stable")
+            runs, owner, often = runs[order], owner[order], often[order]
+            places = np.arange(len(runs)) - (np.cumsum(sizes) - sizes)[owner]
+            first = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+            kept = (places < first[owner]) & (often > 1)  # a counter of one is of a run that no other class has
+            runs, owner, often, places = runs[kept], owner[kept], often[kept], places[kept].astype(np.int32)
+            if (often > tile).any():
+                runs, owner, places = _gridded(runs, owner, often, places, digests, tile)
+            if not len(runs):
+                continue
+            part = (mixed(runs) % np.uint64(parts)).astype(np.int64)
+            group = owner * parts + part
+            order = np.argsort(group, kind="stable")
+            group, runs, places = group[order], runs[order], places[order]
+            cuts = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(group)]
+            of, part = group[cuts[:-1]] // parts, group[cuts[:-1]] % parts
+            kind_of = pa.array([kinds[k] for k in chosen], pa.string())
+            take = pa.array(of)
+
+            def cells(data: np.ndarray, width: int, cuts: np.ndarray = cuts) -> pa.Array:
+                return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(data.tobytes())])
+
+            yield pa.RecordBatch.from_arrays([kind_of.take(take), pa.array(part, pa.int32()), pa.array(digests, pa.binary()).take(take), pa.array(sizes[of], pa.int32()), pa.array(sketches, pa.binary()).take(take), cells(runs, 8), cells(places, 4)], schema=_PART)
 
     return run
 
 
+def _gridded(runs: np.ndarray, owner: np.ndarray, often: np.ndarray, places: np.ndarray, digests: list[bytes], tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Replaces runs in more than ``tile`` texts by the tiles of a grid: of any two texts, both are in one of its tiles."""
+    hot = np.flatnonzero(often > tile)
+    new_runs, new_owner, new_places = [np.delete(runs, hot)], [np.delete(owner, hot)], [np.delete(places, hot)]
+    for at in hot.tolist():
+        side = -(-int(often[at]) // tile) + 1
+        own = np.uint64(int.from_bytes(digests[owner[at]][:8], "little") % side)
+        other = np.arange(side, dtype=np.uint64)
+        cell = (np.minimum(own, other) << np.uint64(24)) + np.maximum(own, other) + np.uint64(1)
+        new_runs.append((mixed(np.full(side, runs[at] + np.uint64(1))) ^ mixed(cell)) & np.uint64((1 << 48) - 1))
+        new_owner.append(np.full(side, owner[at]))
+        new_places.append(np.full(side, places[at], dtype=np.int32))
+    return np.concatenate(new_runs), np.concatenate(new_owner), np.concatenate(new_places)
+
+
+def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, one after another, and where each row's begin (one more entry: the end)."""
+    whole = column.combine_chunks()
+    if isinstance(whole, pa.ChunkedArray):
+        whole = whole.chunk(0)
+    whole = whole.cast(pa.large_binary())
+    offsets = np.frombuffer(whole.buffers()[1], dtype=np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(whole.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _rows(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray, kind: type, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the kept rows, their values of ``width`` bytes and how many each has."""
+    values = np.frombuffer(data.tobytes(), dtype=kind)
+    lengths = np.diff(offsets)[keep] // width
+    owner = np.repeat(np.arange(len(keep)), lengths)
+    starts = np.cumsum(lengths) - lengths
+    return values[np.arange(len(owner)) - starts[owner] + (offsets[keep] // width)[owner]], lengths
+
+
 def _compared(similarity: float):  # noqa: ANN202
     """Pairs of classes of one part that share a run and whose sketches differ within the radius."""
     share = similarity / (1.0 + similarity)  # least common runs, as part of both sizes together
 
     def run(table: pa.Table) -> pa.Table:
-        digests = table.column("digest").to_pylist()
-        first = {}
-        for k, digest in enumerate(digests):
-            first.setdefault(digest, k)
-        keep = np.fromiter(first.values(), dtype=np.int64)
-        digests = [digests[k] for k in keep]
+        halves = np.frombuffer(_binary(table.column("digest"))[0].tobytes(), dtype=np.uint64).reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        again = (np.diff(halves[order], axis=0) == 0).all(axis=1)
+        keep = np.sort(order[np.r_[True, ~again]]) if len(order) else order
+        halves = halves[keep]
         sizes = table.column("size").to_numpy()[keep].astype(np.int64)
-        sketches = [table.column("sketch")[int(k)].as_py() for k in keep]
-        widths = np.fromiter((len(s) // 8 for s in sketches), dtype=np.int64, count=len(keep))
+        words, widths = _rows(*_binary(table.column("sketch")), keep, np.uint64, 8)
         offsets = np.r_[0, np.cumsum(widths)]
-        words = np.frombuffer(b"".join(sketches), dtype=np.uint64)
         bits = np.add.reduceat(np.bitwise_count(words).astype(np.int64), offsets[:-1]) if len(keep) else np.zeros(0, np.int64)
-        runs = [np.frombuffer(table.column("runs")[int(k)].as_py(), dtype=np.uint64) for k in keep]
-        owner = np.repeat(np.arange(len(keep)), [len(r) for r in runs])
-        runs = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
-        places = np.concatenate([np.frombuffer(table.column("places")[int(k)].as_py(), dtype=np.int32) for k in keep]) if len(keep) else np.zeros(0, np.int32)
+        runs, counts = _rows(*_binary(table.column("runs")), keep, np.uint64, 8)
+        places, _ = _rows(*_binary(table.column("places")), keep, np.int32, 4)
+        owner = np.repeat(np.arange(len(keep)), counts)
         order = np.lexsort((sizes[owner], runs))
         runs, owner, places = runs[order], owner[order], places[order].astype(np.int64)
         size = sizes[owner]
@@ -211,8 +256,9 @@ def _compared(similarity: float):  # noqa: ANN202
                 found.append(_within(a[possible], b[possible], radius[possible], widths, offsets, words))
             step += 1
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        low = [digests[k] for k in (pairs >> 32)]
-        high = [digests[k] for k in (pairs & 0xFFFFFFFF)]
+        names = [halves[k].tobytes() for k in range(len(halves))] if len(pairs) else []
+        low = [names[k] for k in (pairs >> 32)]
+        high = [names[k] for k in (pairs & 0xFFFFFFFF)]
         kind = table.column("kind")[0].as_py()
         swap = [(min(x, y), max(x, y)) for x, y in zip(low, high, strict=True)]
         return pa.table({"kind": pa.array([kind] * len(swap), pa.string()), "low": pa.array([x for x, _ in swap], pa.binary()), "high": pa.array([y for _, y in swap], pa.binary())})

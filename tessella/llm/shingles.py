@@ -12,7 +12,7 @@ from tessella.llm.common import code_points, separator_table
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Characters that are taken in one step; a longer text is a step of its own.
-STEP = 500_000
+STEP = 120_000
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -24,6 +24,12 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
+def _weights() -> np.ndarray:
+    """A scrambled value of each code point of the basic plane."""
+    return mixed(np.arange(1, 0x10001, dtype=np.uint64))
+
+
 @lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.r_[np.uint64(1), np.full(size, base, dtype=np.uint64)], dtype=np.uint64) for base in (_BASE, _INVERSE))
@@ -49,10 +55,13 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     part = ~separator_table()[points]
     edge = np.diff(part.astype(np.int8), prepend=0, append=0)
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    powers, inverses = _powers(1 << max(20, int(len(points) + 1).bit_length()))
+    powers, inverses = _powers(1 << max(18, int(len(points) + 1).bit_length()))
     total = np.zeros(len(points) + 1, dtype=np.uint64)
-    values = mixed(points.astype(np.uint64) + np.uint64(1)) * powers[: len(points)]
-    np.cumsum(values, out=total[1:])
+    weights = _weights()[np.minimum(points, 0xFFFF)]
+    beyond = points > 0xFFFF
+    if beyond.any():
+        weights[beyond] = mixed(points[beyond].astype(np.uint64) + np.uint64(1))
+    np.cumsum(weights * powers[: len(points)], out=total[1:])
     hashes = mixed((total[stops] - total[starts]) * inverses[starts])
     return hashes, np.searchsorted(starts, ends)
 

@@ -79,5 +79,7 @@ def test_sketch_never_exceeds_difference():
     for _ in range(50):
         a = rng.integers(0, 1 << 48, 120, dtype=np.uint64)
         b = np.r_[a[: rng.integers(0, 120)], rng.integers(0, 1 << 48, 40, dtype=np.uint64)]
-        x, y = near_dups.parity_sketch(np.unique(a), 512), near_dups.parity_sketch(np.unique(b), 512)
+        sets = [np.unique(a), np.unique(b)]
+        raw = near_dups.parity_sketches(np.concatenate(sets), np.repeat([0, 1], [len(s) for s in sets]), np.array([512, 512]))
+        x, y = (np.frombuffer(r, dtype=np.uint64) for r in raw)
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
