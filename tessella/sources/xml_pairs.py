@@ -18,8 +18,8 @@ EXCLUDED = ("10_MPlus_ADAM_QA", "11_MPlusDrugs_QA", "12_MPlusHerbsSupplements_QA
 
 def list_files(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """(path, parts, content) of the .xml files below the folders of root, but for excluded ones and files beside those folders; parts is the path below root."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").text(root)
-    path = F.url_decode(F.col("_metadata.file_path"))
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").text(root, wholetext=True)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     tail = F.substring_index(path, "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
     rows = read.select(path.alias("path"), F.split(tail, "/").alias("parts"), F.col("value").alias("content"))
     return rows.where((F.size("parts") > 1) & ~F.element_at("parts", 1).isin(*excluded))

@@ -14,11 +14,11 @@ GOOD = '<Document id="0001" source="S" url="u"><Focus>Gout &amp; pain</Focus><Fo
 
 
 def test_xml_folder(spark, tmp_path):
-    for path, content in {"1_A_QA/x/a.xml": GOOD, "1_A_QA/b.xml": GOOD[:80], "2_B_QA/c.xml": "<Document><QAPairs/></Document>", "10_MPlus_ADAM_QA/d.xml": GOOD, "e.xml": GOOD, "2_B_QA/note.txt": "x"}.items():
+    for path, content in {"1_A_QA/x/a.xml": GOOD, "1_A_QA/b.xml": GOOD[:80], "2_B_QA/c + d é.xml": "<Document><QAPairs/></Document>", "10_MPlus_ADAM_QA/d.xml": GOOD, "e.xml": GOOD, "2_B_QA/note.txt": "x"}.items():
         os.makedirs(tmp_path / os.path.dirname(path), exist_ok=True)
         (tmp_path / path).write_text(content)
     files = xml_pairs.list_files(spark, str(tmp_path))
-    assert sorted("/".join(r.parts) for r in files.collect()) == ["1_A_QA/b.xml", "1_A_QA/x/a.xml", "2_B_QA/c.xml"], files.select("path").collect()
+    assert sorted("/".join(r.parts) for r in files.collect()) == ["1_A_QA/b.xml", "1_A_QA/x/a.xml", "2_B_QA/c + d é.xml"]
     pairs = xml_pairs.qa_pairs(xml_pairs.parse(files, "path", "content"))
     got = sorted((r.qid, r.qtype, r.question, r.answer, r.doc_id, r.focus, r.semantic_group) for r in pairs.collect())
     assert got == [("0001-1", "unknown", "How?", "Slowly", "0001", "Gout & pain", "Disorders"), ("q1", "t", "What is it?", "An illness.", "0001", "Gout & pain", "Disorders")]
