@@ -26,7 +26,8 @@ LANGS = ("en", "es", "fr", "de", "ru", "zh", "ja", "hi", "ar", "th")
 def separator_table() -> np.ndarray:
     """Of each code point, whether it separates words."""
     out = np.zeros(sys.maxunicode + 1, dtype=bool)
-    for point in range(sys.maxunicode + 1):
+    # the planes between hold only letters and unassigned code points
+    for point in (*range(0x20000), *range(0xE0000, 0xE1000)):
         kind = unicodedata.category(chr(point))
         out[point] = kind[0] in "ZP" or kind in ("Cc", "Cf")
     return out

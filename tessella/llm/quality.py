@@ -39,12 +39,15 @@ _CELL = re.compile(r"[<>≤≥]?\d[\d.,/]*%?|n/a|\+/-|±|-|–|%")
 _MOJIBAKE = re.compile(r"[\x80-\x9f]|[ÃÂÐÑØÙàáâãäåæçèé][\xa0-\xbf]")
 _SYMBOLS = re.compile("[←-⏿─-➿⬀-⯿\U0001f000-\U0001faff]")
 _BROKEN = re.compile(r"\S*(?:[^\W\d_][#$~°|¤¿�§¬^\\?]+[^\W_]|[#$~°|¤¿�§¬^\\][^\W\d_]|[^\W\d_][#$~°|¤¿�§¬^\\]|[^\W\d_]\d[^\W\d_])\S*")
+_ALNUM = re.compile(r"[^\W_]")
+_ODD = re.compile(r"[#$~°|¤¿�§¬^\\?]|[^\W\d_]\d[^\W\d_]")
 _LONG_ASCII = re.compile(r"[!-~]{40,}")
 _GAP = re.compile(r"\s*\t\s*| {2,}")
 _DELIMITED = re.compile(r"(?:(?<=[^\s\d])[;,](?=\S))|(?:(?<=\S)[;,](?=[^\s\d]))|;(?=;)|(?<=\d);(?=\d)")
 _NAME_VALUE = re.compile(r"[^:=.!?。]{1,48}?\s?[:=：]\s*[^.!?。]?(?:[^!?。]){0,60}$")
 _ITEMS = re.compile(r"\s*[,;/|•·、，；]\s+|[、，；]|\s+[-–—•·]\s+")
 _REFERENCE = re.compile(r"\b\d{1,4}\s?(?:\(\d{1,3}\))?\s?[:;,]\s?(?:e|pp?\.\s?)?\d{1,5}\s?[-–]\s?\d{1,5}\b|\bet al\b|\bdoi:|\b10\.\d{4,}/", re.I)
+_MAYBE_REFERENCE = re.compile(r"\d\s?[-–]\s?\d|et al|doi:|10\.\d{4}", re.I)
 _AUTHORS = re.compile(r"[^\W\d_][\w'’-]+,? (?:[^\W\d_]{1,3}\.?[ -]?){1,3}(?:[,;.&]| and )")
 
 PROSE, LIST, TABLE, JUNK = "prose", "list", "table", "junk"
@@ -55,20 +58,22 @@ def is_junk(text: str) -> bool:
     solid = len(text) - text.count(" ") - text.count("\t")
     if not solid:
         return False
-    if _LOG.search(text):
+    if (":" in text or "0x" in text) and _LOG.search(text):
         return True
-    if _CELL_TAG.search(text):
+    if "<" in text and _CELL_TAG.search(text):
         return False
-    if sum(len(m) for m in _MOJIBAKE.findall(text)) > 0.1 * solid or len(_SYMBOLS.findall(text)) > 0.3 * solid:
+    if not text.isascii() and (sum(len(m) for m in _MOJIBAKE.findall(text)) > 0.1 * solid or len(_SYMBOLS.findall(text)) > 0.3 * solid):
         return True
-    if sum(len(m) for m in _MARKUP.findall(text)) > 0.4 * solid:
+    if ("<" in text or "{" in text or "&" in text) and sum(len(m) for m in _MARKUP.findall(text)) > 0.4 * solid:
         return True
-    if sum(len(m) for m in _LONG_ASCII.findall(text) if "://" not in m) > 0.5 * solid:
+    tokens = text.split()
+    longest = max(map(len, tokens))
+    if longest >= 40 and sum(len(m) for m in _LONG_ASCII.findall(text) if "://" not in m) > 0.5 * solid:
         return True
-    letters = sum(map(str.isalnum, text))
-    if solid >= 12 and letters < 0.35 * solid and "|" not in text and not any(_CELL.fullmatch(t) for t in text.split()):
+    if solid >= 12 and len(_ALNUM.findall(text)) < 0.35 * solid and "|" not in text and not any(_CELL.fullmatch(t) for t in tokens):
         return True
-    tokens = text.split()
+    if not _ODD.search(text):
+        return False
     # words of scripts without spaces come as overlong tokens, which say nothing of single words
     broken = [t for t in tokens if 2 < len(t) <= 30 and ("�" in t or _BROKEN.fullmatch(t) and not t.isalnum() and not t.startswith("°"))]
     return len(tokens) > 5 and len(broken) > 0.18 * len(tokens) and sum(map(len, broken)) > 0.12 * solid
@@ -76,16 +81,16 @@ def is_junk(text: str) -> bool:
 
 def is_table(line: str) -> bool:
     """Whether a line is a row of cells or of a name with its value."""
-    if _CELL_TAG.search(line):
+    if "<" in line and _CELL_TAG.search(line):
         return True
     if line.count("|") >= 2 and (line[0] == "|" or " | " in line or not re.search("[°~¤�]", line) and max(map(len, line.split("|"))) <= 60):
         return True
-    cells = [c for c in _GAP.split(line.strip()) if c]
+    cells = [c for c in _GAP.split(line.strip()) if c] if "\t" in line or "  " in line else []
     if len(cells) > 1 and ("\t" in line.strip() or len(cells) > 2 or "    " in line.strip()) and max(map(len, cells)) <= 60 and not any(_STOPS.search(c[:-1]) for c in cells):
         return True
     if _STOP_END.search(line) and not line.endswith(":"):
         return False
-    if len(_DELIMITED.findall(line)) >= 2 and not re.search(r"[.!?] ", line):
+    if (";" in line or "," in line) and len(_DELIMITED.findall(line)) >= 2 and not re.search(r"[.!?] ", line):
         return True
     item = _BULLET.sub("", line.strip(), count=1)
     tokens = item.split()
@@ -100,7 +105,7 @@ def is_list(line: str) -> bool:
     if _BULLET.match(line):
         spoken = _DASH.match(line) and _STOP_END.search(line) and (len(line.split()) >= 6 or len(line) > 40)
         return not spoken
-    references = len(_REFERENCE.findall(line))
+    references = len(_REFERENCE.findall(line)) if _MAYBE_REFERENCE.search(line) else 0
     if references and _AUTHORS.match(line) or references >= 2 and references * 160 >= len(line):
         return True
     parts = [p for p in _ITEMS.split(line) if p.strip()]
@@ -191,10 +196,14 @@ def statistics(text: str) -> tuple:
     letters = sum(map(len, words))
     share = 0.0
     if count >= 8:
-        for size in (2, 3, 4):
-            gram, often = Counter(zip(*(words[k:] for k in range(size)), strict=False)).most_common(1)[0]
+        often, size = 3, 2
+        while often > 2 and size < 5:  # longer runs are no more frequent than those within them
+            counts = Counter(zip(*(words[k:] for k in range(size)), strict=False))
+            often = max(counts.values())
             if often > 2:
+                gram = next(g for g, n in counts.items() if n == often)
                 share = max(share, min(1.0, often * sum(map(len, gram)) / letters))
+            size += 1
     return (
         count,
         letters / count if count else 0.0,
