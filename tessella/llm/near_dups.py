@@ -147,7 +147,7 @@ def _parts(length: int, least: int, similarity: float, parts: int, tile: int, hi
                 continue
             runs, owner = _of(values, bounds, chosen)
             sizes = np.bincount(owner, minlength=len(chosen))
-            bits = np.minimum(LARGEST, np.maximum(SMALLEST, 1 << np.ceil(np.log2(2 * sizes)).astype(np.int64)))
+            bits = np.minimum(LARGEST, np.maximum(SMALLEST, 1 << np.ceil(np.log2(1.5 * sizes)).astype(np.int64)))
             sketches = parity_sketches(runs, owner, bits)
             often = counters[(runs & np.uint64(COUNTERS - 1)).astype(np.int64)]
             # by text, then count; runs of equal count stay in order of their hashes, the same for all texts
