@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_rows, words_of
+from tessella.llm.common import arrow_rows
+from tessella.llm.shingles import mixed, steps, word_hashes, word_spans
 
 # Frequent function words of the languages written with spaces.
 COMMON_WORDS = frozenset(
@@ -39,8 +42,9 @@ _CELL = re.compile(r"[<>≤≥]?\d[\d.,/]*%?|n/a|\+/-|±|-|–|%")
 _MOJIBAKE = re.compile(r"[\x80-\x9f]|[ÃÂÐÑØÙàáâãäåæçèé][\xa0-\xbf]")
 _SYMBOLS = re.compile("[←-⏿─-➿⬀-⯿\U0001f000-\U0001faff]")
 _BROKEN = re.compile(r"\S*(?:[^\W\d_][#$~°|¤¿�§¬^\\?]+[^\W_]|[#$~°|¤¿�§¬^\\][^\W\d_]|[^\W\d_][#$~°|¤¿�§¬^\\]|[^\W\d_]\d[^\W\d_])\S*")
-_ALNUM = re.compile(r"[^\W_]")
-_ODD = re.compile(r"[#$~°|¤¿�§¬^\\?]|[^\W\d_]\d[^\W\d_]")
+_BLANK_LINE = re.compile(r"\n\s*\n")
+_SIGNS = re.compile(r"[^\w\s]|_")
+_ODD = re.compile(r"[#$~°|¤¿�§¬^\\]|\?\w|[^\W\d_]\d[^\W\d_]")
 _LONG_ASCII = re.compile(r"[!-~]{40,}")
 _GAP = re.compile(r"\s*\t\s*| {2,}")
 _DELIMITED = re.compile(r"(?:(?<=[^\s\d])[;,](?=\S))|(?:(?<=\S)[;,](?=[^\s\d]))|;(?=;)|(?<=\d);(?=\d)")
@@ -70,7 +74,7 @@ def is_junk(text: str) -> bool:
     longest = max(map(len, tokens))
     if longest >= 40 and sum(len(m) for m in _LONG_ASCII.findall(text) if "://" not in m) > 0.5 * solid:
         return True
-    if solid >= 12 and len(_ALNUM.findall(text)) < 0.35 * solid and "|" not in text and not any(_CELL.fullmatch(t) for t in tokens):
+    if solid >= 12 and solid - len(_SIGNS.findall(text)) < 0.35 * solid and "|" not in text and not any(_CELL.fullmatch(t) for t in tokens):
         return True
     if not _ODD.search(text):
         return False
@@ -97,7 +101,7 @@ def is_table(line: str) -> bool:
     least = 2 if len(item) < len(line.strip()) else 1
     if len(tokens) >= 2 and sum(1 for t in tokens if _CELL.fullmatch(t)) >= max(least, 0.22 * len(tokens)) and not re.search(r"[^\W\d][.!?।؟] ", line):
         return True
-    return bool(_NAME_VALUE.match(line)) and len(line) < 100 and len(_STOPS.findall(line)) == 0
+    return len(line) < 100 and (":" in line or "=" in line or "：" in line) and bool(_NAME_VALUE.match(line)) and not _STOPS.search(line)
 
 
 def is_list(line: str) -> bool:
@@ -105,11 +109,13 @@ def is_list(line: str) -> bool:
     if _BULLET.match(line):
         spoken = _DASH.match(line) and _STOP_END.search(line) and (len(line.split()) >= 6 or len(line) > 40)
         return not spoken
-    references = len(_REFERENCE.findall(line)) if _MAYBE_REFERENCE.search(line) else 0
+    references = len(_REFERENCE.findall(line)) if ("-" in line or "–" in line or "et al" in line or "doi:" in line or "10." in line) and _MAYBE_REFERENCE.search(line) else 0
     if references and _AUTHORS.match(line) or references >= 2 and references * 160 >= len(line):
         return True
+    if line[-1] in "。！？!?।؟" or sum(map(line.count, ",;/|•·、，；-–—")) < 4 or _STOPS.search(line[:-1]):
+        return False
     parts = [p for p in _ITEMS.split(line) if p.strip()]
-    if len(parts) >= 5 and line[-1] not in "。！？!?।؟" and not _STOPS.search(line[:-1]):
+    if len(parts) >= 5:
         return max(sorted(map(len, parts))[: max(1, len(parts) * 9 // 10)]) <= 48
     return False
 
@@ -186,35 +192,60 @@ def kind_of(text: str, repeated: bool = False) -> str:
     return max((LIST, TABLE, JUNK), key=lambda kind: weights[kind])
 
 
-def statistics(text: str) -> tuple:
-    """The statistics of one text, in the order of STATISTICS, without its kind."""
-    words = words_of(text)
-    count = len(words)
-    lines = [line.strip() for line in text.splitlines() if line.strip()]
-    paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
-    solid = len(text) - sum(map(text.count, (" ", "\n", "\t")))
-    letters = sum(map(len, words))
-    share = 0.0
-    if count >= 8:
-        often, size = 3, 2
-        while often > 2 and size < 5:  # longer runs are no more frequent than those within them
-            counts = Counter(zip(*(words[k:] for k in range(size)), strict=False))
-            often = max(counts.values())
-            if often > 2:
-                gram = next(g for g, n in counts.items() if n == often)
-                share = max(share, min(1.0, often * sum(map(len, gram)) / letters))
-            size += 1
-    return (
-        count,
-        letters / count if count else 0.0,
-        1.0 - letters / solid if solid > 0 else 0.0,
-        sum(1 for line in lines if _STOP_END.search(line)) / len(lines) if lines else 0.0,
-        sum(1 for w in words if w in COMMON_WORDS) / count if count else 0.0,
-        1.0 - len(set(lines)) / len(lines) if lines else 0.0,
-        1.0 - len(set(paragraphs)) / len(paragraphs) if paragraphs else 0.0,
-        share,
-        len(set(words)) / count if count else 0.0,
-    )
+@lru_cache(maxsize=1)
+def _common_hashes() -> np.ndarray:
+    return np.sort(word_hashes(sorted(COMMON_WORDS))[0])
+
+
+def _word_statistics(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Of each text: words, letters of words, common words, distinct words, and the largest share of letters in a run of two to four words that occurs more than twice."""
+    hashes, lengths, bounds = word_spans(texts)
+    counts = np.diff(bounds)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    letters = np.bincount(owner, weights=lengths, minlength=len(texts)).astype(np.int64)
+    common = _common_hashes()
+    places = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    often = np.bincount(owner, weights=common[places] == hashes, minlength=len(texts)).astype(np.int64)
+    mark = owner.astype(np.uint64) << np.uint64(48)
+    distinct = np.bincount((np.unique(mark | (hashes >> np.uint64(16))) >> np.uint64(48)).astype(np.int64), minlength=len(texts))
+    share = np.zeros(len(texts))
+    runs, size = hashes, lengths
+    for more in (1, 2, 3):
+        if len(runs) < 2:
+            break
+        runs, size = mixed(runs[:-1] * np.uint64(3) + hashes[more:]), size[:-1] + lengths[more:]
+        whole = owner[: len(runs)] == owner[more:]
+        keys, first, times = np.unique(mark[: len(runs)][whole] | (runs[whole] >> np.uint64(16)), return_index=True, return_counts=True)
+        again = times > 2
+        if not again.any():
+            break  # longer runs are no more frequent than those within them
+        of = (keys[again] >> np.uint64(48)).astype(np.int64)
+        np.maximum.at(share, of, times[again] * size[whole][first[again]] / np.maximum(letters[of], 1))
+    share[counts < 8] = 0.0
+    return counts, letters, often, distinct, np.minimum(share, 1.0)
+
+
+def statistics(texts: list[str]) -> list[tuple]:
+    """The statistics of each text, in the order of STATISTICS, without its kind. At most 65,536 texts."""
+    out = []
+    for low, high in steps(texts):
+        part = texts[low:high]
+        for text, count, letters, common, distinct, share in zip(part, *(x.tolist() for x in _word_statistics(part)), strict=True):
+            lines = [line for line in map(str.strip, text.splitlines()) if line]
+            paragraphs = [p.strip() for p in _BLANK_LINE.split(text) if p.strip()] if "\n" in text else lines
+            solid = len(text) - sum(map(text.count, (" ", "\n", "\t")))
+            out.append((
+                count,
+                letters / count if count else 0.0,
+                1.0 - letters / solid if solid > 0 else 0.0,
+                sum(1 for line in lines if _STOP_END.search(line[-8:])) / len(lines) if lines else 0.0,
+                common / count if count else 0.0,
+                1.0 - len(set(lines)) / len(lines) if lines else 0.0,
+                1.0 - len(set(paragraphs)) / len(paragraphs) if paragraphs else 0.0,
+                share,
+                distinct / count if count else 0.0,
+            ))
+    return out
 
 
 STATISTICS = ("n_words", "mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share", "duplicate_line_share", "duplicate_paragraph_share", "top_ngram_share", "distinct_word_share")
@@ -222,6 +253,11 @@ STATISTICS = ("n_words", "mean_word_length", "symbol_ratio", "ended_line_share",
 REPEATED_WORDS, TOP_SHARE, DISTINCT_SHARE = 12, 0.4, 0.08
 
 
+def is_repeated(facts: tuple) -> bool:
+    """Whether statistics are those of a few words over and over."""
+    return facts[0] >= REPEATED_WORDS and (facts[7] > TOP_SHARE or facts[8] < DISTINCT_SHARE)
+
+
 def text_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, the STATISTICS, kind) of each row; kind is ``prose``, ``list``, ``table`` or ``junk``.
 
@@ -234,14 +270,13 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = pa.schema([("id", to_arrow_type(kind)), ("n_words", pa.int64()), *((n, pa.float64()) for n in STATISTICS[1:]), ("kind", pa.string())])
 
     def make(batch: pa.RecordBatch):  # noqa: ANN202
-        rows = []
-        for text in batch.column(1).to_pylist():
-            if text is None or not text.strip():
-                rows.append((0, *[0.0] * (len(STATISTICS) - 1), None))
-                continue
-            facts = statistics(text)
-            repeated = facts[0] >= REPEATED_WORDS and (facts[7] > TOP_SHARE or facts[8] < DISTINCT_SHARE)
-            rows.append((*facts, kind_of(text, repeated)))
+        texts = batch.column(1).to_pylist()
+        rows = [(0, *[0.0] * (len(STATISTICS) - 1), None)] * len(texts)
+        filled = [k for k, text in enumerate(texts) if text and text.strip()]
+        for low in range(0, len(filled), 10_000):
+            part = filled[low : low + 10_000]
+            for k, facts in zip(part, statistics([texts[k] for k in part]), strict=True):
+                rows[k] = (*facts, kind_of(texts[k], is_repeated(facts)))
         columns = list(zip(*rows, strict=True))
         yield {"id": batch.column(0)} | {name: list(c) for name, c in zip((*STATISTICS, "kind"), columns, strict=True)}
 

@@ -49,9 +49,15 @@ def steps(texts: list[str], step: int = STEP) -> Iterator[tuple[int, int]]:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word of all texts in order, and at which word each text begins (one more entry: the end)."""
+    hashes, _, bounds = word_spans(texts)
+    return hashes, bounds
+
+
+def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and length of each word of all texts in order, and at which word each text begins (one more entry: the end)."""
     points, ends = code_points([t.lower() + "\n" for t in texts])
     if not len(points):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(len(texts) + 1, dtype=np.int64)
     part = ~separator_table()[points]
     edge = np.diff(part.astype(np.int8), prepend=0, append=0)
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -63,7 +69,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         weights[beyond] = mixed(points[beyond].astype(np.uint64) + np.uint64(1))
     np.cumsum(weights * powers[: len(points)], out=total[1:])
     hashes = mixed((total[stops] - total[starts]) * inverses[starts])
-    return hashes, np.searchsorted(starts, ends)
+    return hashes, stops - starts, np.searchsorted(starts, ends)
 
 
 def run_sets(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:

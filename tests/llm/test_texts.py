@@ -64,9 +64,25 @@ KINDS = [
 
 @pytest.mark.parametrize("text,kind", KINDS)
 def test_kinds(spark, text, kind):
-    facts = quality.statistics(text)
-    repeated = facts[0] >= quality.REPEATED_WORDS and (facts[7] > quality.TOP_SHARE or facts[8] < quality.DISTINCT_SHARE)
-    assert quality.kind_of(text, repeated) == kind
+    assert quality.kind_of(text, quality.is_repeated(quality.statistics([text])[0])) == kind
+
+
+def test_statistics_against_plain_counts():
+    from collections import Counter
+
+    from tessella.llm.common import words_of
+
+    texts = [text for text, _ in KINDS] + ["a b a b a b a b a b", "x", "é È é", "the cat. The end, the cat"]
+    for text, facts in zip(texts, quality.statistics(texts), strict=True):
+        words = words_of(text)
+        share = 0.0
+        for n in (2, 3, 4):
+            for gram, times in Counter(zip(*(words[k:] for k in range(n)))).items():
+                if times > 2 and len(words) >= 8:
+                    share = max(share, min(1.0, times * sum(map(len, gram)) / sum(map(len, words))))
+        assert facts[0] == len(words) and abs(facts[7] - share) < 1e-12
+        assert abs(facts[1] * len(words) - sum(map(len, words))) < 1e-9 and abs(facts[8] * len(words) - len(set(words))) < 1e-9
+        assert abs(facts[4] * len(words) - sum(w in quality.COMMON_WORDS for w in words)) < 1e-9
 
 
 def test_statistics_rows(spark):
