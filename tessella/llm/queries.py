@@ -14,12 +14,22 @@ from tessella.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_answer_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    rows = budget.estimates(spread(table(spark, folder, "qa_pairs")), "pair_uid", "answer", "lang", "source", "semantic_group", table(spark, folder, "sources"))
+    return rows.withColumnsRenamed({"id": "pair_uid", "domain": "semantic_group"})
+
+
 def p1_answers(spark: SparkSession, folder: str) -> DataFrame:
-    return budget.token_budget(spread(table(spark, folder, "qa_pairs")), "pair_uid", "answer", "lang", "source", "semantic_group", table(spark, folder, "sources")).withColumnRenamed("domain", "semantic_group")
+    return budget.token_budget(p1_answer_tokens(spark, folder).withColumnRenamed("semantic_group", "domain")).withColumnRenamed("domain", "semantic_group")
+
+
+def p1_document_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    rows = budget.estimates(spread(table(spark, folder, "documents")), "doc_id", "text", "lang", "source", "domain", table(spark, folder, "sources"))
+    return rows.withColumnRenamed("id", "doc_id")
 
 
 def p1_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return budget.token_budget(spread(table(spark, folder, "documents")), "doc_id", "text", "lang", "source", "domain", table(spark, folder, "sources"))
+    return budget.token_budget(p1_document_tokens(spark, folder))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,7 +104,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_answers, p1_documents, p2_found, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_sentences, p7_ids, p8_containers, p9_found, p9_statistics)
+    found = (p1_answer_tokens, p1_answers, p1_document_tokens, p1_documents, p2_found, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_sentences, p7_ids, p8_containers, p9_found, p9_statistics)
     return {query.__name__: query for query in found}
 
 

@@ -1,12 +1,8 @@
 from __future__ import annotations
 
-import os
-
-import numpy as np
 import pytest
 
-from tessella.llm import broken, budget, quality, queries, sentences
-from tessella.llm.tokenizer import VOCABULARIES
+from tessella.llm import quality, sentences
 
 CASES = [
     ("Dr. Ray saw 2.5 mg in Fig. 3. Then he left.", ["Dr. Ray saw 2.5 mg in Fig. 3.", "Then he left."]),
@@ -93,55 +89,3 @@ def test_statistics_rows(spark):
     assert (four.n_words, four.mean_word_length, four.ended_line_share, four.distinct_word_share) == (4, 3.0, 1.0, 0.5)
     assert next(r for r in got if r.k is None).kind == "junk"
     assert quality.text_statistics(rows.limit(0), "k", "t").count() == 0
-
-
-def test_empty_copied_refusal():
-    for text in (None, "", " \n", "N/A", "<p></p>", "&nbsp;", "[answer removed]", "--", "(no answer)"):
-        assert broken.is_empty(text)
-    assert not broken.is_empty("Yes.") and not broken.is_empty("None of them works.")
-    for text in ("What is gout?", "**WHAT  IS GOUT**", "“what is​ gout”", "Q: What is gout?", "What is gout? What is gout?", "<b>What is gout?</b>"):
-        assert broken.is_copied("What is gout?", text)
-    assert not broken.is_copied("What is gout?", "What is gout? An illness of the joints.") and not broken.is_copied(None, "x")
-    for text in ("I cannot answer this. Please ask a qualified clinician.", "Leider kann ich dazu keine Auskunft geben.", "К сожалению, я не могу ответить на этот вопрос.", "Lo siento, no puedo responder a esta pregunta.", "申し訳ありませんが、お答えできません。"):
-        assert broken.is_refusal(text)
-    assert not broken.is_refusal("People who are unable to take salt may use sugar for three weeks, as athletes often do.") and not broken.is_refusal("Doctors cannot say for certain why it starts.")
-
-
-def test_pairs(spark, data):
-    found = {r.pair_uid: r.defect for r in queries.p2_found(spark, data).collect()}
-    assert set(found.values()) <= {"empty", "truncated", "refusal", "copied", "language"}
-    table = spark.read.parquet(f"{data}/qa_pairs.parquet").select("pair_uid", "question", "answer", "lang")
-    extra = [("x1", None, None, None), ("x2", "What is gout and who gets it?", "Die Therapie beginnt mit einem Bluttest und dauert bei den meisten Menschen drei Wochen, danach folgt eine Kontrolle.", "en"), ("x3", None, "Doctors usually order a scan. The next st", None), ("x4", "What is gout?", "Gout is an illness of the joints that lasts three weeks.", "en"), ("x4", "What is gout?", "Gout is an illness of the joints that lasts three weeks.", "en")]
-    both = table.unionByName(spark.createDataFrame(extra, table.schema))
-    got = {r.pair_uid: r.defect for r in broken.broken_pairs(both.withColumn("defect", both.pair_uid), "pair_uid", "question", "answer", "lang").collect() if r.pair_uid[0] == "x"}
-    assert got == {"x1": "empty", "x2": "language", "x3": "truncated"}
-    assert broken.broken_pairs(table.limit(0), "pair_uid", "question", "answer", "lang").count() == 0
-
-
-@pytest.mark.skipif(not os.path.isdir(VOCABULARIES), reason="no vocabulary files")
-def test_budget(spark, data):
-    from tessella.llm.tokenizer import load
-
-    got = queries.p1_answers(spark, data).toPandas()
-    table = spark.read.parquet(f"{data}/qa_pairs.parquet").toPandas().drop_duplicates("pair_uid")
-    encoder, _ = load()
-    true = sum(len(encoder.encode_ordinary(t or "")) for t in table.answer)
-    assert got.n_texts.sum() == len(table) and abs(got.est_tokens.sum() / true - 1) < 0.05
-    known = set(spark.read.parquet(f"{data}/sources.parquet").toPandas().source) | {"unknown"}
-    assert set(got.source) <= known
-
-
-@pytest.mark.skipif(not os.path.isdir(VOCABULARIES), reason="no vocabulary files")
-def test_budget_edges(spark):
-    sources = spark.createDataFrame([("A", "The A")], "source string, title string")
-    rows = spark.createDataFrame([(1, None, "en", " a ", None), (1, None, "en", "a", None), (2, "", None, "the a", "d"), (3, "some words here", "EN_us", None, "d"), (None, "x", "zz", "B", "d"), (None, "x", "zz", "B", "d")], "id int, text string, lang string, source string, domain string")
-    got = {(r.source, r.lang, r.domain): (r.n_texts, r.est_tokens) for r in budget.token_budget(rows, "id", "text", "lang", "source", "domain", sources).collect()}
-    assert got[("A", "en", "unknown")] == (1, 0.0) and got[("A", "und", "d")] == (1, 0.0) and got[("unknown", "en", "d")][0] == 1 and got[("unknown", "und", "d")][0] == 2
-    assert budget.token_budget(rows.limit(0), "id", "text", "lang", "source", "domain", sources).count() == 0
-
-
-def test_features():
-    table = budget.features(["Ab 12, é", "", "数a"])
-    names = budget.FEATURES
-    assert table[0, names.index("bytes")] == 9 and table[0, names.index("words")] == 3 and table[0, names.index("digits")] == 2 and table[0, names.index("punctuation")] == 1
-    assert (table[1, 1:] == 0).all() and table[2, names.index("han")] == 1 and np.isfinite(table).all()
