@@ -1,7 +1,9 @@
 """Problem 9: text statistics of each document, and the kind of those that are mostly not natural prose.
 
-Statistics count words, symbols, line ends, common words and repetition; the kind comes from combined rules over
-the lines of a document, which weigh how many characters belong to prose, lists, tables and junk.
+Statistics count words, symbols, line ends, common words and repetition. The kind comes from combined rules: line patterns say how
+many characters look like prose, items, cells or junk; the statistics then take from what looks like prose: repeated lines, paragraphs
+and n-grams become junk, prose with hardly a common word and no ended lines or full of symbols counts less, stock lines and lines repeated through the document
+are boilerplate.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ COMMON_WORDS = frozenset(
 #: Frequent function characters and syllables of scripts without spaces.
 COMMON_SIGNS = re.compile("[的了在是会の、をはがにで]|ที่|และ|มัก|ให้|เป็น|จาก|ใน|ได้|ไม่")
 
-_STOP_END = re.compile(r"[.!?。！？।؟…:][\"'”’»)\]」』]*$")
+_STOPPED, _CLOSED = frozenset(".!?。！？।؟…:"), "\"'”’»)]」』"
 _STOPS = re.compile(r"[.!?।؟…][\"'”’»)\]]*(?=\s|$)|[。！？]")
 _BULLET = re.compile(r"(?:[-*•·‣▪◦–—+]|\[[ xX]?\]|\[\d+\]|\(?\d{1,3}[.)\]]|\(?[a-zA-Z][.)])\s+(?=\S)")
 _DASH = re.compile(r"[-–—]\s")
@@ -54,7 +56,12 @@ _REFERENCE = re.compile(r"\b\d{1,4}\s?(?:\(\d{1,3}\))?\s?[:;,]\s?(?:e|pp?\.\s?)?
 _MAYBE_REFERENCE = re.compile(r"\d\s?[-–]\s?\d|et al|doi:|10\.\d{4}", re.I)
 _AUTHORS = re.compile(r"[^\W\d_][\w'’-]+,? (?:[^\W\d_]{1,3}\.?[ -]?){1,3}(?:[,;.&]| and )")
 
-PROSE, LIST, TABLE, JUNK = "prose", "list", "table", "junk"
+PROSE, LIST, TABLE, JUNK, BOILERPLATE = "prose", "list", "table", "junk", "boilerplate"
+
+
+def is_ended(line: str) -> bool:
+    """Whether a line ends with a stop or colon, closing marks after it or not."""
+    return line.rstrip(_CLOSED)[-1:] in _STOPPED
 
 
 def is_junk(text: str) -> bool:
@@ -92,7 +99,7 @@ def is_table(line: str) -> bool:
     cells = [c for c in _GAP.split(line.strip()) if c] if "\t" in line or "  " in line else []
     if len(cells) > 1 and ("\t" in line.strip() or len(cells) > 2 or "    " in line.strip()) and max(map(len, cells)) <= 60 and not any(_STOPS.search(c[:-1]) for c in cells):
         return True
-    if _STOP_END.search(line) and not line.endswith(":"):
+    if is_ended(line) and not line.endswith(":"):
         return False
     if (";" in line or "," in line) and len(_DELIMITED.findall(line)) >= 2 and not re.search(r"[.!?] ", line):
         return True
@@ -107,7 +114,7 @@ def is_table(line: str) -> bool:
 def is_list(line: str) -> bool:
     """Whether a line is an item of a list, or several items one after another."""
     if _BULLET.match(line):
-        spoken = _DASH.match(line) and _STOP_END.search(line) and (len(line.split()) >= 6 or len(line) > 40)
+        spoken = _DASH.match(line) and is_ended(line) and (len(line.split()) >= 6 or len(line) > 40)
         return not spoken
     references = len(_REFERENCE.findall(line)) if ("-" in line or "–" in line or "et al" in line or "doi:" in line or "10." in line) and _MAYBE_REFERENCE.search(line) else 0
     if references and _AUTHORS.match(line) or references >= 2 and references * 160 >= len(line):
@@ -153,13 +160,19 @@ def _units(text: str) -> list[str]:
     return out
 
 
-def kind_of(text: str, repeated: bool = False) -> str:
-    """prose, list, table or junk: what most characters of a text belong to."""
-    if repeated:
-        return JUNK
+#: Stock phrases of pages around their texts, in lower case.
+_STOCK = re.compile(
+    r"all rights reserved|privacy policy|terms of (?:use|service)|cookie|copyright|© ?\d{4}|subscribe|newsletter|sign (?:in|up)|log ?in\b|share (?:this|on)|follow us|back to top|skip to|click here|read more|contact us|about us|site ?map|advertis"
+    r"|política de privacidad|derechos reservados|suscríb|mentions légales|tous droits|s['’]abonner|datenschutz|impressum|alle rechte|anmelden|политика конфиденциальности|все права|подпис|版权所有|隐私|登录|订阅|利用規約|プライバシー|ログイン"
+)
+
+
+def line_shares(text: str) -> dict[str, float]:
+    """Shares of a text's characters that look like prose, list, table and junk by their lines; and those of prose lines and paragraphs seen before in it (``again``) and of stock lines (``stock``)."""
     weights: Counter[str] = Counter()
     block: list[str] = []
     last = ""
+    seen: set[str] = set()
     lines = _units(text)
 
     def settle_block() -> None:
@@ -169,27 +182,66 @@ def kind_of(text: str, repeated: bool = False) -> str:
             if is_prose_block(block):
                 weights[PROSE] += size
                 last = PROSE
+                for line in block:
+                    if line in seen:
+                        weights["again"] += len(line)
+                    seen.add(line)
             else:
                 kind = last if last in (TABLE, JUNK) and len(block) < 3 else LIST
                 weights[kind] += size
             block.clear()
 
-    for number, line in enumerate(lines):
+    for line in lines:
         stripped = line.strip()
         kind = TABLE if stripped[0] == "|" and stripped[-1] == "|" and stripped.count("|") > 2 and not re.search("[°~�]", stripped) else JUNK if is_junk(stripped) else TABLE if is_table(line) else LIST if is_list(stripped) else ""
+        if kind != JUNK and len(lines) > 1 and _STOCK.search(stripped.lower()) and not _STOPS.search(stripped[:-1]):
+            weights["stock"] += len(stripped)
         if not kind:
             block.append(stripped)
             continue
-        if block and kind == TABLE and len(block[-1]) < 80 and not _STOP_END.search(block[-1]) and (len(block) == 1 or _STOP_END.search(block[-2])):
+        if block and kind == TABLE and len(block[-1]) < 80 and not is_ended(block[-1]) and (len(block) == 1 or is_ended(block[-2])):
             weights[TABLE] += len(block.pop())  # a head line
         settle_block()
         weights[kind] += len(stripped)
         last = kind
     settle_block()
-    total = sum(weights.values())
-    if not total or weights[PROSE] * 2 >= total:
+    total = sum(weights[kind] for kind in (PROSE, LIST, TABLE, JUNK))
+    return {kind: weights[kind] / total if total else 0.0 for kind in (PROSE, LIST, TABLE, JUNK, "again", "stock")}
+
+
+#: Words from which on statistics say something of a text; shares of n-grams and of lines from which on it is repetitive.
+LEAST_WORDS, REPEATED = 12, 0.4
+#: Common words and distinct words natural prose has at least; symbols it has at most, as shares; what lacking them takes from prose.
+LEAST_COMMON, LEAST_DISTINCT, MOST_SYMBOLS, LACKING = 0.04, 0.08, 0.4, 0.7
+#: Mean length of words in letters from which on a text isn't written with spaces.
+LONG_WORDS = 7.5
+
+
+def kind_of(text: str, facts: tuple | None = None) -> str:
+    """prose, list, table, junk or boilerplate: what most of a text is, by its lines and its statistics."""
+    facts = statistics([text])[0] if facts is None else facts
+    n_words, length, symbols, ended, common, same_lines, same_paragraphs, top_ngram, distinct = facts
+    shares = line_shares(text)
+    prose, junk = shares[PROSE], shares[JUNK]
+    if n_words >= LEAST_WORDS:
+        # a few words over and over, whatever the lines look like
+        if top_ngram > REPEATED or distinct < LEAST_DISTINCT:
+            return JUNK
+        # prose lines said before, if lines or paragraphs as a whole are repeated, are junk
+        again = min(prose, shares["again"]) if max(same_lines, same_paragraphs) > REPEATED else 0.0
+        prose, junk = prose - again, junk + again
+        # without common words and without ended lines, or full of symbols, what looks like prose counts less
+        spaced = length < LONG_WORDS  # else a script without spaces, whose common words aren't seen
+        lack = (1.0 - min(1.0, common / LEAST_COMMON)) * (1.0 - ended) if spaced else 0.0
+        lack = max(lack, min(1.0, max(0.0, symbols - MOST_SYMBOLS) * 5.0))
+        taken = LACKING * lack * prose
+        prose, junk = prose - taken, junk + taken
+    if shares["stock"] > 0.5:
+        return BOILERPLATE
+    rest = {LIST: shares[LIST], TABLE: shares[TABLE], JUNK: junk}
+    if not any(rest.values()) or prose * 2 >= prose + sum(rest.values()):
         return PROSE
-    return max((LIST, TABLE, JUNK), key=lambda kind: weights[kind])
+    return max(rest, key=rest.get)
 
 
 @lru_cache(maxsize=1)
@@ -238,7 +290,7 @@ def statistics(texts: list[str]) -> list[tuple]:
                 count,
                 letters / count if count else 0.0,
                 1.0 - letters / solid if solid > 0 else 0.0,
-                sum(1 for line in lines if _STOP_END.search(line[-8:])) / len(lines) if lines else 0.0,
+                sum(1 for line in lines if is_ended(line)) / len(lines) if lines else 0.0,
                 common / count if count else 0.0,
                 1.0 - len(set(lines)) / len(lines) if lines else 0.0,
                 1.0 - len(set(paragraphs)) / len(paragraphs) if paragraphs else 0.0,
@@ -249,17 +301,8 @@ def statistics(texts: list[str]) -> list[tuple]:
 
 
 STATISTICS = ("n_words", "mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share", "duplicate_line_share", "duplicate_paragraph_share", "top_ngram_share", "distinct_word_share")
-#: Shares above which a text of at least so many words is a few words over and over.
-REPEATED_WORDS, TOP_SHARE, DISTINCT_SHARE = 12, 0.4, 0.08
-
-
-def is_repeated(facts: tuple) -> bool:
-    """Whether statistics are those of a few words over and over."""
-    return facts[0] >= REPEATED_WORDS and (facts[7] > TOP_SHARE or facts[8] < DISTINCT_SHARE)
-
-
 def text_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, the STATISTICS, kind) of each row; kind is ``prose``, ``list``, ``table`` or ``junk``.
+    """(id, the STATISTICS, kind) of each row; kind is ``prose``, ``list``, ``table``, ``junk`` or ``boilerplate``.
 
     Null, empty and blank texts have zeros and a null kind; a null id is kept; repeated rows give
     repeated results; other columns are not read. Each row stands alone: no shuffle.
@@ -276,7 +319,7 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for low in range(0, len(filled), 10_000):
             part = filled[low : low + 10_000]
             for k, facts in zip(part, statistics([texts[k] for k in part]), strict=True):
-                rows[k] = (*facts, kind_of(texts[k], is_repeated(facts)))
+                rows[k] = (*facts, kind_of(texts[k], facts))
         columns = list(zip(*rows, strict=True))
         yield {"id": batch.column(0)} | {name: list(c) for name, c in zip((*STATISTICS, "kind"), columns, strict=True)}
 

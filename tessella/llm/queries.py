@@ -96,7 +96,8 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     facts = quality.text_statistics(spread(table(spark, folder, "documents")), "doc_id", "text")
-    return facts.where(F.col("kind").isNotNull() & (F.col("kind") != quality.PROSE)).select("doc_id", "kind")
+    kind = F.when(F.col("kind") == quality.BOILERPLATE, quality.JUNK).otherwise(F.col("kind"))  # remnants of pages
+    return facts.where(F.col("kind").isNotNull() & (F.col("kind") != quality.PROSE)).select("doc_id", kind.alias("kind"))
 
 
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:

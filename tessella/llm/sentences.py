@@ -1,13 +1,16 @@
 """Problem 6: sentence boundaries by semi-Markov dynamic programming over whole spans.
 
-Candidate cuts are found by one pattern. Each span between two candidates is scored jointly for its length, how it opens,
-how it closes and whether its quotations and brackets are balanced; the best sequence of spans wins.
+Candidate cuts are found by one pattern. Each span between two candidates is scored as a whole: how it opens and closes, whether
+quotations and brackets are whole in it, whether a question or exclamation that it opens is closed in it, and how usual its length is
+in its script. The best sequence of spans wins, so that a cut that looks good by itself falls if the spans it makes are bad, and a weak
+one stands if they are good. All spans are considered; those a bound shows to lose are not scored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,8 +18,12 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import arrow_rows
 
-#: Longest span in characters that is scored as one sentence unless no candidate lies inside.
-LONGEST = 3000
+#: What a span loses for a quotation or bracket that isn't whole in it; half of that where the quotation has HALF characters.
+BROKEN, HALF = 8.0, 3000
+#: What a span loses for a question or exclamation that it opens and doesn't close.
+UNANSWERED = 7.0
+#: Usual length of a sentence in characters, in scripts with and without spaces, and what a factor of e beyond it costs, squared.
+USUAL, USUAL_DENSE, STRETCH = 85.0, 40.0, 0.12
 
 _CLOSE = "\"'”’“»)\\]」』）】》"
 _CANDIDATE = re.compile(
@@ -44,22 +51,27 @@ MAY_END = frozenset("etc usw a.m p.m f ff al jr inc co ltd u.s и.др т.д т.
 #: Words before a single capital letter that isn't an initial.
 BEFORE_LETTERS = frozenset("vitamin vitamine vitamina vitamins type typ tipo hepatitis hépatite group groupe gruppe grupo grade stage factor class plan stadium stade".split())
 
+_MARKS = re.compile(r"[()\[\]（）「」『』«»„“”\"《》【】]|\n\s*\n")
+_DENSE = re.compile("[぀-ヿ㐀-鿿฀-๿]")
 _OPEN_PAIRS = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "«": "»", "„": "“", "“": "”", "《": "》", "【": "】"}
 
 
-def enclosed(text: str) -> list[tuple[int, int]]:
-    """Begin and end (after the closing mark) of quotations and brackets; a mark without its partner in the paragraph counts for nothing."""
-    out: list[tuple[int, int]] = []
+def enclosed(text: str) -> list[tuple[int, int, float]]:
+    """Begin, end (after the closing mark) and weight of quotations and brackets; a mark without its partner in the paragraph counts for nothing.
+
+    The weight falls with the length, as two far marks are hardly partners.
+    """
+    out: list[tuple[int, int, float]] = []
     stack: list[tuple[str, int]] = []
-    for found in re.finditer(r"[()\[\]（）「」『』«»„“”\"《》【】]|\n\s*\n", text):
+    for found in _MARKS.finditer(text):
         mark, at = found.group(), found.start()
         if mark[0] == "\n":
             stack.clear()
             continue
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == mark or (stack[k][0] == "“" and mark == "“"):
-                if at - stack[k][1] <= LONGEST:
-                    out.append((stack[k][1], at + 1))
+                length = at - stack[k][1]
+                out.append((stack[k][1], at + 1, BROKEN / (1.0 + (length / HALF) ** 2)))
                 del stack[k:]
                 break
         else:
@@ -146,8 +158,7 @@ def boundaries(text: str) -> list[int]:
     last = len(text.rstrip())
     if first >= last:
         return []
-    pairs = enclosed(text)
-    starts, ends, local = [first], [first], [0.0]
+    starts, ends, closes, opens = [first], [first], [0.0], [0.0]
     for found in _CANDIDATE.finditer(text, first, last):
         at = found.end()
         if at >= last or at <= starts[-1]:
@@ -159,6 +170,7 @@ def boundaries(text: str) -> list[int]:
         k = at
         while k < last - 1 and not text[k].isalnum():
             k += 1
+        opening = 0.0
         if not core:
             if "\n" in blank:
                 prior = text[found.start() - 1]
@@ -180,37 +192,60 @@ def boundaries(text: str) -> list[int]:
             opening = min(_opening(text, at), 2.0)
             if core[0] in "。！？｡।॥۔" and text[at].isalnum():
                 opening = max(opening, 0.0)
-            score = _closing(text, found.start(), found.start() + len(core), text[k]) + opening
+            score = _closing(text, found.start(), found.start() + len(core), text[k])
             if "\n" in blank and blank.count("\n") > 1:
-                score += 2.0
+                score += 4.0  # a new paragraph
         starts.append(at)
         ends.append(found.start() + len(core))
-        local.append(score)
-    count = len(starts)
-    if count == 1:
+        closes.append(score)
+        opens.append(opening)
+    if len(starts) == 1:
         return starts
     starts.append(last)
     ends.append(last)
-    local.append(0.0)
-    # quotations and brackets that a cut at a candidate would break
-    broken = [0] * (count + 1)
-    for low, high in pairs:
-        k = _after(starts, low)
-        while k < count and starts[k] < high:
-            broken[k] += 1
-            k += 1
-    best = [-math.inf] * (count + 1)
-    origin = [0] * (count + 1)
-    best[0] = 0.0
+    closes.append(0.0)
+    return _best_spans(text, starts, ends, closes, opens)
+
+
+def _best_spans(text: str, starts: list[int], ends: list[int], closes: list[float], opens: list[float]) -> list[int]:
+    """The starts of the best sequence of spans; closes and opens: how well the span before and the one after each candidate end and begin there."""
+    count = len(starts) - 1
+    cut = [0.0] * (count + 1)  # weight of the quotations and brackets that go on at a candidate
+    for low, high, weight in enclosed(text):
+        for k in range(bisect_right(starts, low), bisect_left(starts, high)):
+            cut[k] += weight
+    cut[count] = 0.0
+    # questions and exclamations opened less those closed, up to each candidate
+    asked = [0] * (count + 1)
+    if "¿" in text or "¡" in text:
+        for k in range(count):
+            part = text[starts[k] : starts[k + 1]]
+            asked[k + 1] = part.count("¿") - part.count("?") + part.count("¡") - part.count("!")
+        for k in range(count):
+            asked[k + 1] += asked[k]
+    usual = math.log(USUAL_DENSE if len(_DENSE.findall(text)) * 3 > len(text) else USUAL)
+    logs: dict[int, float] = {}
+    best, origin = [0.0] * (count + 1), [0] * (count + 1)
+    # the most that a span from a candidate or one before can bring
+    reach = [0.0] * (count + 1)
     for k in range(1, count + 1):
-        gain = local[k] - 6.0 * broken[k]
+        top, of, close, end, open_marks, turn = -math.inf, k - 1, closes[k], ends[k], cut[k], asked[k]
         for j in range(k - 1, -1, -1):
-            length = ends[k] - starts[j]
-            if length > LONGEST and j < k - 1:
+            if reach[j] + close <= top:
                 break
-            score = best[j] + gain + _length_score(length)
-            if score > best[k]:
-                best[k], origin[k] = score, j
+            length = end - starts[j]
+            penalty = logs.get(length)
+            if penalty is None:
+                penalty = logs[length] = STRETCH * (math.log(length) - usual) ** 2 if length > 0 else 4.0
+            broken = cut[j] if cut[j] > open_marks else open_marks
+            score = best[j] + opens[j] + close - penalty - broken
+            if turn > asked[j]:
+                score -= UNANSWERED
+            if score > top:
+                top, of = score, j
+        best[k], origin[k] = top, of
+        if k < count:
+            reach[k] = max(reach[k - 1], top + opens[k])
     cuts = []
     k = count
     while k > 0:
@@ -219,19 +254,6 @@ def boundaries(text: str) -> list[int]:
     return cuts[::-1]
 
 
-def _after(starts: list[int], at: int) -> int:
-    from bisect import bisect_right
-
-    return bisect_right(starts, at)
-
-
-def _length_score(length: int) -> float:
-    """Mild preference for spans of usual length; zero for those of 8 to 400 characters."""
-    if length < 8:
-        return -0.25 * (8 - length) if length > 0 else -4.0
-    return 0.0 if length <= 400 else -0.4 * math.log(length / 400)
-
-
 def sentence_units(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, sentence_no, start_char, sentence) of each text, in order; sentences have no white space around them.
 

@@ -27,6 +27,47 @@ def test_sentence_units(text, units):
     assert [text[a:b].strip() for a, b in zip(cuts, [*cuts[1:], len(text)], strict=False)] == units
 
 
+def _candidates(text, monkeypatch):
+    seen = {}
+
+    def spy(*given):
+        seen["given"] = given
+        return best(*given)
+
+    best = sentences._best_spans
+    monkeypatch.setattr(sentences, "_best_spans", spy)
+    cuts = sentences.boundaries(text)
+    return seen["given"], cuts
+
+
+@pytest.mark.parametrize("text,cut", [("¿Qué dijo el Lcdo. Pérez sobre la dosis? Nada nuevo.", [0, 41]), ("Sie sagte (laut Lab. Meier) nichts dazu. Danach ging sie.", [0, 41]), ('"Drink. Rest. Sleep," said the nurse on duty. Then she left.', [0, 46])])
+def test_programme_overrules_local_scores(text, cut, monkeypatch):
+    (_, starts, _, closes, opens), got = _candidates(text, monkeypatch)
+    greedy = [starts[0]] + [at for at, a, b in zip(starts[1:-1], closes[1:], opens[1:], strict=False) if a + b > 0]
+    assert got == cut and greedy != cut
+
+
+@pytest.mark.parametrize("text", ["¿Qué dijo el Lcdo. Pérez? \"Nada. No sé,\" dijo. Luego (más tarde. Tal vez.) salió. ¡Ay! no. Sí.", "One (two. three. Four) five. \"Six. Seven. Eight\" nine.\nTen\neleven. A. B. C. dr. No. 5 is it... Or not? Yes"])
+def test_programme_against_all_sequences(text, monkeypatch):
+    import math
+    from itertools import combinations
+
+    (_, starts, ends, closes, opens), got = _candidates(text, monkeypatch)
+    last = len(starts) - 1
+    weights = [sum(w for a, b, w in sentences.enclosed(text) if a < at < b) if 0 < k < last else 0.0 for k, at in enumerate(starts)]
+
+    def worth(cuts):
+        total = 0.0
+        for i, k in zip(cuts, [*cuts[1:], last], strict=True):
+            part = text[starts[i] : starts[k]]
+            lost = sum(part.count(a) - part.count(b) for a, b in ("¿?", "¡!")) > 0 and "¿" in text
+            total += opens[i] + closes[k] - max(weights[i], weights[k]) - sentences.UNANSWERED * lost - sentences.STRETCH * (math.log(ends[k] - starts[i]) - math.log(sentences.USUAL)) ** 2
+        return total
+
+    every = [(0, *more) for n in range(last) for more in combinations(range(1, last), n)]
+    assert abs(worth([starts.index(at) for at in got]) - max(map(worth, every))) < 1e-9
+
+
 def test_sentence_rows(spark):
     rows = spark.createDataFrame([(1, "One. Two.", "c"), (1, "One. Two.", "c"), (2, None, "c"), (3, "", "c"), (4, " ", "c"), (None, "It was so. " * 20_000, "c")], "k int, t string, start_char string")
     got = sentences.sentence_units(rows, "k", "t").collect()
@@ -60,7 +101,39 @@ KINDS = [
 
 @pytest.mark.parametrize("text,kind", KINDS)
 def test_kinds(spark, text, kind):
-    assert quality.kind_of(text, quality.is_repeated(quality.statistics([text])[0])) == kind
+    assert quality.kind_of(text) == kind
+
+
+PROSE = "The kidney filters blood all day. It also keeps the salt of the body in balance, as doctors know. Some people never notice that it fails."
+
+
+def test_each_statistic_moves_a_verdict():
+    names = quality.STATISTICS
+    facts = quality.statistics([PROSE])[0]
+    assert quality.kind_of(PROSE, facts) == "prose"
+
+    def moved(text=PROSE, **values):
+        given = list(quality.statistics([text])[0])
+        for name, value in values.items():
+            given[names.index(name)] = value
+        return quality.kind_of(text, tuple(given))
+
+    assert moved(top_ngram_share=0.5) == "junk" and moved(distinct_word_share=0.05) == "junk" and moved(symbol_ratio=0.7) == "junk"
+    assert moved(common_word_share=0.0, ended_line_share=0.0) == "junk" and moved(common_word_share=0.0) == "prose" and moved(ended_line_share=0.0) == "prose"
+    assert moved(common_word_share=0.0, ended_line_share=0.0, mean_word_length=9.0) == "prose"  # a script without spaces
+    assert moved(common_word_share=0.0, ended_line_share=0.0, n_words=5) == "prose"
+    lines = "\n".join([PROSE] * 6)
+    assert quality.kind_of(lines) == "junk" and moved(lines, duplicate_line_share=0.0, duplicate_paragraph_share=0.0, top_ngram_share=0.0, distinct_word_share=0.5) == "prose"
+    assert moved(lines, duplicate_line_share=0.0, duplicate_paragraph_share=0.8, top_ngram_share=0.0, distinct_word_share=0.5) == "junk"
+
+
+def test_boilerplate(spark):
+    page = "Home and sign in to your account\nShare this page with friends\nSubscribe to our newsletter today\nRest helps.\nPrivacy policy and terms of use\n© 2020 All rights reserved"
+    assert quality.kind_of(page) == "boilerplate" and quality.kind_of(PROSE + "\nPrivacy policy") == "prose"
+
+
+def test_line_ends_after_many_marks():
+    assert quality.is_ended("It ends." + '"' * 30) and not quality.is_ended("no end" + '"' * 30)
 
 
 def test_statistics_against_plain_counts():
