@@ -89,11 +89,11 @@ def bounded_sample(df: DataFrame, key: str, stratum: Column, per_stratum: int) -
     """Rows of df with at most ``per_stratum`` distinct keys of each stratum, those of the smallest hash of the key.
 
     First only keys and strata are read and ranked; the at most ``per_stratum`` keys for each stratum
-    (strata are a fixed list, such as languages) then filter a second scan, so that texts are never sorted.
+    (strata are a fixed list, such as languages), a bounded table, then filter a second scan, so that texts are never sorted.
     """
     from pyspark.sql import Window as W
 
-    keys = df.select(F.col(key).alias("k"), stratum.alias("s")).where(F.col("k").isNotNull()).dropDuplicates(["s", "k"])
-    ranked = keys.withColumn("r", F.row_number().over(W.partitionBy("s").orderBy(F.xxhash64("k"), "k")))
-    chosen = [row.k for row in ranked.where(F.col("r") <= per_stratum).select("k").collect()]
-    return df.where(F.col(key).isin(chosen)) if chosen else df.where(F.lit(False))
+    keys = df.select(F.col(key).alias("_k"), stratum.alias("_s")).where(F.col("_k").isNotNull()).dropDuplicates(["_s", "_k"])
+    ranked = keys.withColumn("_r", F.row_number().over(W.partitionBy("_s").orderBy(F.xxhash64("_k"), "_k")))
+    chosen = ranked.where(F.col("_r") <= per_stratum).select("_k")
+    return df.join(F.broadcast(chosen), F.col(key) == F.col("_k"), "left_semi")

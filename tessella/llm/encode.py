@@ -1,4 +1,7 @@
-"""Problem 7: encoding of a corpus with a public tokenizer, as a monoid tree reduction over each text."""
+"""Problem 7: encoding of a corpus with a public tokenizer, as a monoid tree reduction over each text, and decoding up the tree.
+
+A text of at most LEAF characters is a leaf, encoded directly; most texts of the given tables are. The results don't depend on LEAF.
+"""
 
 from __future__ import annotations
 
@@ -99,3 +102,29 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, *, folder: str = VOCABU
 
     out = source.mapInArrow(arrow_rows(make, schema), f"id {kind.simpleString()}, ids array<int>")
     return out.withColumnRenamed("id", id_col)
+
+
+def decode_ids(ids: list[int], encoder, leaf: int = LEAF) -> bytes:  # noqa: ANN001
+    """The bytes of ids: those of halves, decoded recursively, one after the other."""
+    if len(ids) <= leaf:
+        return encoder.decode_bytes(ids)
+    middle = len(ids) // 2
+    return decode_ids(ids[:middle], encoder, leaf) + decode_ids(ids[middle:], encoder, leaf)
+
+
+def token_texts(df: DataFrame, id_col: str, ids_col: str, *, folder: str = VOCABULARIES, name: str = BYTE_BPE, leaf: int = LEAF) -> DataFrame:
+    """(id, text): the text of each list of ids; '' for null and empty lists; bytes that are no UTF-8 become U+FFFD.
+
+    A null id is kept; repeated rows give repeated rows; other columns are not read. An id outside the vocabulary is an error. No shuffle.
+    """
+    kind = df.schema[id_col].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = pa.schema([("id", to_arrow_type(kind)), ("text", pa.string())])
+
+    def make(batch: pa.RecordBatch):  # noqa: ANN202
+        encoder, _ = load(folder, name)
+        yield {"id": batch.column(0).to_pylist(), "text": [decode_ids(ids, encoder, leaf).decode("utf-8", "replace") if ids else "" for ids in batch.column(1).to_pylist()]}
+
+    out = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(arrow_rows(make, schema), f"id {kind.simpleString()}, text string")
+    return out.withColumnRenamed("id", id_col)

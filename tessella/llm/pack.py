@@ -1,7 +1,8 @@
 """Problem 8: items are packed into containers by variable-capacity best fit.
 
-Each task packs the items it holds, longest first, by best fit; a new container opens with the permitted capacity of
-least cost for what is left, and at the end each container shrinks to the smallest permitted capacity of its contents. Only
+Each task packs the items it holds, longest first, by best fit. All permitted capacities are weighed together: where no open container
+has room, the item is tried in a new one of each capacity, filled from the sizes that are still to come, and the one with the least
+cost for each token it would hold is opened. At the end each container shrinks to the smallest permitted capacity of its contents. Only
 the last containers of a task are not nearly full, so the unused share falls as tasks grow; nothing is shuffled.
 """
 
@@ -16,10 +17,10 @@ from pyspark.sql import functions as F
 
 from tessella.llm.tokenizer import BYTE_BPE, VOCABULARIES, load
 
-#: Permitted capacities, and what a container costs besides its capacity.
-CAPACITIES = (256, 512, 1024, 2048)
-OVERHEAD = 64
-#: Items a task packs together; the next ones open containers of their own.
+#: Permitted capacities, and what a container costs besides its capacity, in tokens.
+CAPACITIES = (256, 512, 768, 1024, 1536, 2048)
+OVERHEAD = 4
+#: Items a task packs together, a bound of its memory; the next ones open containers of their own.
 WINDOW = 400_000
 
 
@@ -28,18 +29,44 @@ def cut(size: int, capacity: int) -> list[tuple[int, int]]:
     return [(at, min(capacity, size - at)) for at in range(0, size, capacity)]
 
 
+def filled(size: int, capacity: int, left: list[int], present: int) -> int:
+    """Tokens a new container would hold: an item of ``size`` and, again and again, the longest item still left that goes in.
+
+    left: how many items of each size are left; present: bit s is set where there are some of size s.
+    """
+    room = capacity - size
+    taken: dict[int, int] = {}
+    while room > 0:
+        some = present & ((1 << (room + 1)) - 1)
+        while some:
+            longest = some.bit_length() - 1
+            count = min(left[longest] - taken.get(longest, 0), room // longest)
+            if count > 0:
+                break
+            some ^= 1 << longest
+        if not some:
+            break
+        taken[longest] = taken.get(longest, 0) + count
+        room -= count * longest
+    return capacity - room
+
+
 def best_fit(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[np.ndarray, list[int]]:
-    """The container of each item, and the final capacity of each container. No item may exceed the largest capacity."""
+    """The container of each item, and the final capacity of each container. No item may exceed the largest capacity; an empty item goes where there is room."""
     capacities = tuple(sorted(capacities))
     largest = capacities[-1]
     order = np.argsort(-sizes, kind="stable")
     place = np.zeros(len(sizes), dtype=np.int64)
-    rest = int(sizes.sum())
+    left = np.bincount(sizes, minlength=largest + 1).tolist() if len(sizes) else [0] * (largest + 1)
+    present = sum(1 << s for s, n in enumerate(left) if n and s)
     free: list[list[int]] = [[] for _ in range(largest + 1)]  # containers by the room they have left
     open_rooms = 0  # bit r: some container has room r
     content: list[int] = []
     for at in order:
         size = int(sizes[at])
+        left[size] -= 1
+        if size and not left[size]:
+            present ^= 1 << size
         fitting = open_rooms >> size
         if fitting:
             room = size + ((fitting & -fitting).bit_length() - 1)
@@ -47,12 +74,10 @@ def best_fit(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhe
             if not free[room]:
                 open_rooms ^= 1 << room
         else:
-            # the least cost for each unit that is still to come and can go in
-            bin_no, room = len(content), min((c for c in capacities if c >= size), key=lambda c: ((c + overhead) / min(c, max(rest, size)), -c))
+            bin_no, room = len(content), min((c for c in capacities if c >= size), key=lambda c: ((c + overhead) / max(1, filled(size, c, left, present)), -c))
             content.append(0)
         content[bin_no] += size
         place[at] = bin_no
-        rest -= size
         room -= size
         if room:
             free[room].append(bin_no)
@@ -64,7 +89,7 @@ def containers(df: DataFrame, id_col: str, text_col: str, *, capacities: tuple[i
     """(id, piece_no, token_start, n_tokens, container_id, container_capacity, container_tokens) of each item.
 
     Sizes are tokens of the vocabulary. An item over the largest capacity is cut into full pieces and a rest, any other
-    has one piece. Null and empty texts give no row; a null id is kept; repeated rows are items of their own; other
+    has one piece. container_tokens of container_capacity are used; ``fill`` sums them up. Null and empty texts give no row; a null id is kept; repeated rows are items of their own; other
     columns are not read. container_id is unique over the whole result.
     """
     if not capacities or min(capacities) < 1:
@@ -108,3 +133,9 @@ def containers(df: DataFrame, id_col: str, text_col: str, *, capacities: tuple[i
 
     lean = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.col("text") != ""))
     return lean.mapInArrow(run, f"id {kind.simpleString()}, piece_no int, token_start long, n_tokens long, container_id string, container_capacity long, container_tokens long").withColumnRenamed("id", id_col)
+
+
+def fill(packed: DataFrame) -> DataFrame:
+    """(container_capacity, n_containers, n_tokens, fill) of each capacity: how full its containers are."""
+    each = packed.groupBy("container_id").agg(F.first("container_capacity").alias("container_capacity"), F.first("container_tokens").alias("tokens"))
+    return each.groupBy("container_capacity").agg(F.count("*").alias("n_containers"), F.sum("tokens").alias("n_tokens")).select("*", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("container_capacity")), 6).alias("fill"))

@@ -90,10 +90,18 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.token_ids(spread(table(spark, folder, "documents")), "doc_id", "text")
 
 
+def p7_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.token_texts(p7_ids(spark, folder), "doc_id", "ids")
+
+
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack.containers(spread(table(spark, folder, "documents")), "doc_id", "text")
 
 
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return pack.fill(p8_containers(spark, folder))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     facts = quality.text_statistics(spread(table(spark, folder, "documents")), "doc_id", "text")
     kind = F.when(F.col("kind") == quality.BOILERPLATE, quality.JUNK).otherwise(F.col("kind"))  # remnants of pages
@@ -105,7 +113,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_answer_tokens, p1_answers, p1_document_tokens, p1_documents, p2_found, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_sentences, p7_ids, p8_containers, p9_found, p9_statistics)
+    found = (p1_answer_tokens, p1_answers, p1_document_tokens, p1_documents, p2_found, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_sentences, p7_ids, p7_texts, p8_containers, p8_fill, p9_found, p9_statistics)
     return {query.__name__: query for query in found}
 
 
@@ -131,6 +139,7 @@ kept as (
   select *, min(id) over (partition by rec_set, q, a) as keep_id from words
   where a <> '' and length(a) - length(replace(a, ' ', '')) + 1 >= 30)
 select rec_set, keep_id, id as copy_id from kept where id > keep_id""",
+        "p7_texts": "select doc_id, coalesce(text, '') as text from documents",
         "p4_found": """
 select distinct 'answer' as item_kind, pair_uid as item_id from qa_pairs where length(answer) > 800
 union all

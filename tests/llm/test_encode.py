@@ -38,6 +38,51 @@ def test_rows(spark):
     assert encode.token_ids(rows.limit(0), "k", "t").count() == 0
 
 
+def test_decoding(spark):
+    encoder, lengths = load()
+    for text in ("", "a", "数据 ok 😀 " * 900):
+        ids = encode.encode_text(text, encoder, lengths)
+        assert all(encode.decode_ids(ids, encoder, leaf).decode() == text for leaf in (1, 7, 4096))
+    rows = spark.createDataFrame([(1, None, "c"), (2, [], "c"), (3, encoder.encode_ordinary("é数"), "c"), (None, [0], "c")], "k int, t array<int>, text string")
+    assert {r.k: r.text for r in encode.token_texts(rows, "k", "t").collect()} == {1: "", 2: "", 3: "é数", None: "!"}
+    assert encode.token_texts(rows.limit(0), "k", "t").count() == 0
+
+
+def test_other_vocabulary():
+    encoder, lengths = load(VOCABULARIES, "byte_bpe_multi_50k.tiktoken")
+    text = "Des mots, 数据 और भाषा. " * 400
+    ids = encode.encode_text(text, encoder, lengths, 64)
+    assert ids == encoder.encode_ordinary(text) and encode.decode_ids(ids, encoder).decode() == text
+
+
+def test_capacities_are_weighed_together():
+    import numpy as np
+
+    def wasted(sizes, capacities):
+        place, final = pack.best_fit(np.array(sizes), capacities)
+        used = np.bincount(place, weights=sizes, minlength=len(final))
+        assert (used <= np.array(final)).all() and used.sum() == sum(sizes)
+        return sum(final) - sum(sizes), set(final)
+
+    even = [700] * 100
+    assert wasted(even, (2048,))[0] > 30_000 and wasted(even, pack.CAPACITIES) == (6800, {1536})
+    rng = np.random.default_rng(7)
+    for low, high in ((500, 1100), (300, 1500), (1, 2048)):
+        sizes = rng.integers(low, high, 300).tolist()
+        alone, joint = wasted(sizes, (2048,)), wasted(sizes, pack.CAPACITIES)
+        assert joint[0] <= alone[0]
+    small = wasted(rng.integers(1, 300, 3000).tolist(), pack.CAPACITIES)
+    assert small[0] < 2048  # where all fits, nothing is wasted but at the end
+
+
+def test_fill(spark):
+    rows = spark.createDataFrame([(k, "word " * (k % 300)) for k in range(400)], "k int, t string")
+    packed = pack.containers(rows, "k", "t")
+    total = pack.fill(packed).toPandas()
+    assert total.n_tokens.sum() == packed.toPandas().n_tokens.sum() and (total.fill <= 1).all()
+    assert pack.fill(packed.limit(0)).count() == 0
+
+
 def test_packing(spark):
     rows = spark.createDataFrame([(k, "word " * (k % 300)) for k in range(400)] + [(1000, "big " * 5000), (1001, None), (None, "x")], "k int, t string").repartition(2)
     got = pack.containers(rows, "k", "t").collect()
