@@ -73,6 +73,26 @@ def clean_source(df: DataFrame, column: str, sources: DataFrame) -> DataFrame:
     return joined.withColumn(column, F.coalesce("_code", F.lit("unknown"))).drop("_code", "_spelling")
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """big joined with small (one row a key) on keys, with the rows of a key spread over ``salts`` tasks by ``salt``, a column of big that differs within a key."""
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def may_be_in(df: DataFrame, keys: list[str], wanted: DataFrame, most_bits: int = 1 << 29) -> DataFrame:
+    """The rows of df whose keys may be among those of ``wanted``: all that are and few others.
+
+    A bitmap of hashed keys is broadcast: 16 bits for each wanted row, at most ``most_bits`` (64 MB); beyond that it lets more rows pass.
+    """
+    bits = 1 << max(15, min(most_bits, 16 * max(1, wanted.count())).bit_length() - 1)
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    maps = wanted.select(place.alias("_at")).groupBy(F.shiftright("_at", 15).alias("_bucket")).agg(F.bitmap_construct_agg((F.col("_at") % 32768)).alias("_map"))
+    at = place % 32768
+    byte = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
+    return df.join(F.broadcast(maps), (F.shiftright(place, 15) == F.col("_bucket")) & is_set, "left_semi")
+
+
 def arrow_rows(make: Callable[[pa.RecordBatch], Iterable[dict[str, list]] | Iterator[pa.RecordBatch]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow: make gives column dictionaries for each batch."""
 

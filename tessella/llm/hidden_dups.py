@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_rows, code_points, separator_table, settle
+from tessella.llm.common import arrow_rows, code_points, may_be_in, salted_join, separator_table, settle, union_all
 
 #: Between words: separators, except full stops and commas between two digits, which belong to the number.
 _BETWEEN = r"(?:[\p{Z}\p{Cc}\p{Cf}\p{P}&&[^.,]]|(?<!\p{Nd})[.,]|[.,](?!\p{Nd}))+"
@@ -121,29 +121,46 @@ def _marks(at: int, least: int):  # noqa: ANN202
                     total ^= total >> np.uint64(29)
                 if k == at:
                     kept = words >= least
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total.view(np.int64))], names=["mark", "id", "invariant"]).filter(pa.array(kept))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total.view(np.int64))], names=["grp", "id", "invariant"]).filter(pa.array(kept))
 
     return run
 
 
+def _refined(df: DataFrame, id_col: str, fields: list[str], group_cols: tuple[str, ...], least_words: tuple[str, int] | None) -> tuple[DataFrame, DataFrame]:
+    """(grp, keep_id) of the records alone in their class of invariants, and (grp, key, id) of the others with the digest of their words."""
+    names = [f"f{k}" for k in range(len(fields))]
+    base = df.select(F.struct(*(F.col(g).alias(f"g{k}") for k, g in enumerate(group_cols)), F.lit(0).alias("g")).alias("grp"), F.col(id_col).cast("string").alias("id"), *(F.col(f).alias(n) for f, n in zip(fields, names, strict=True))).where(F.col("id").isNotNull())
+    at, least = (2 + fields.index(least_words[0]), least_words[1]) if least_words else (2, 0)
+    # groups, ids and invariants, a few bytes a record
+    marked = settle(base.mapInArrow(_marks(at, least), f"grp {base.schema['grp'].dataType.simpleString()}, id string, invariant long").dropDuplicates())
+    classes = marked.groupBy("grp", "invariant").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    several = classes.where(F.col("low") < F.col("high")).select("grp", "invariant")
+    left = settle(salted_join(marked, several, ["grp", "invariant"], F.col("id"), "left_semi").select("grp", "id"))
+    words = F.concat_ws("\n", *(canonical(F.col(n)) for n in names))
+    # only texts that may be in such a class are shuffled
+    texts = may_be_in(base, ["grp", "id"], left).join(left, ["grp", "id"], "left_semi")
+    members = settle(texts.select("grp", "id", F.sha2(words, 256).alias("key")).dropDuplicates(["grp", "key", "id"]))
+    alone = classes.where(F.col("low") == F.col("high")).select("grp", F.col("low").alias("keep_id"))
+    return alone, members
+
+
 def copies(df: DataFrame, id_col: str, fields: list[str], *, group_cols: tuple[str, ...] = (), least_words: tuple[str, int] | None = None) -> DataFrame:
     """(group_cols, keep_id, copy_id, n_copies): one row for each other member of each class of copies.
 
     Records of equal group_cols are copies if, in each field, they have the same words in the same order. keep_id is
     the smallest id (as a string), n_copies the size of the class. A null field counts as one without words; rows with a null id
     take no part; a repeated id counts once; other columns are not read. ``least_words``: a field
-    and how many words it must have. An empty table gives no row.
+    and how many words it must have. An empty table gives no row. The members of a class, however many, are spread over tasks.
     """
-    names = [f"f{k}" for k in range(len(fields))]
-    base = df.select(F.struct(*(F.col(g).alias(f"g{k}") for k, g in enumerate(group_cols)), F.lit(0).alias("g")).alias("grp"), F.col(id_col).cast("string").alias("id"), *(F.col(f).alias(n) for f, n in zip(fields, names, strict=True))).where(F.col("id").isNotNull())
-    at, least = (2 + fields.index(least_words[0]), least_words[1]) if least_words else (2, 0)
-    marked = settle(base.select(F.xxhash64("grp").alias("mark"), "id", *names).mapInArrow(_marks(at, least), "mark long, id string, invariant long").dropDuplicates())
-    classes = marked.groupBy("mark", "invariant").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    several = classes.where(F.col("low") < F.col("high")).select("mark", "invariant")
-    left = marked.join(several, ["mark", "invariant"], "left_semi").select("mark", "id")
-    words = F.concat_ws("\n", *(canonical(F.col(n)) for n in names))
-    texts = base.withColumn("mark", F.xxhash64("grp")).join(left, ["mark", "id"], "left_semi")
-    members = settle(texts.select("grp", "id", F.sha2(words, 256).alias("key")).dropDuplicates(["grp", "key", "id"]))
+    _, members = _refined(df, id_col, fields, group_cols, least_words)
     sizes = members.groupBy("grp", "key").agg(F.min("id").alias("keep_id"), F.count("*").alias("n_copies")).where(F.col("n_copies") > 1)
-    found = members.join(sizes, ["grp", "key"]).where(F.col("id") > F.col("keep_id"))
+    found = salted_join(members, sizes, ["grp", "key"], F.col("id")).where(F.col("id") > F.col("keep_id"))
     return found.select(*(F.col(f"grp.g{k}").alias(g) for k, g in enumerate(group_cols)), "keep_id", F.col("id").alias("copy_id"), "n_copies")
+
+
+def collapsed(df: DataFrame, id_col: str, fields: list[str], *, group_cols: tuple[str, ...] = (), least_words: tuple[str, int] | None = None) -> DataFrame:
+    """(group_cols, keep_id, n_copies): each record that takes part once, by the smallest id of its copies, with how many there are; as in ``copies``."""
+    alone, members = _refined(df, id_col, fields, group_cols, least_words)
+    sizes = members.groupBy("grp", "key").agg(F.min("id").alias("keep_id"), F.count("*").alias("n_copies")).select("grp", "keep_id", "n_copies")
+    both = union_all(sizes, alone.withColumn("n_copies", F.lit(1).cast("long")))
+    return both.select(*(F.col(f"grp.g{k}").alias(g) for k, g in enumerate(group_cols)), "keep_id", "n_copies")

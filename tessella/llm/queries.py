@@ -37,13 +37,21 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("pair_uid", "defect").distinct()
 
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+def _records(spark: SparkSession, folder: str) -> DataFrame:
     pairs = table(spark, folder, "qa_pairs").select(F.lit("qa_pairs").alias("rec_set"), F.col("pair_uid").alias("id"), "question", "answer")
     lines = hidden_dups.parsed_lines(table(spark, folder, "qa_lines"), "line_id", "line").select(F.lit("qa_lines").alias("rec_set"), "id", "question", "answer")
-    found = hidden_dups.copies(union_all(pairs, lines), "id", ["question", "answer"], group_cols=("rec_set",), least_words=("answer", 30))
+    return union_all(pairs, lines)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = hidden_dups.copies(_records(spark, folder), "id", ["question", "answer"], group_cols=("rec_set",), least_words=("answer", 30))
     return found.select("rec_set", "keep_id", "copy_id")
 
 
+def p3_records(spark: SparkSession, folder: str) -> DataFrame:
+    return hidden_dups.collapsed(_records(spark, folder), "id", ["question", "answer"], group_cols=("rec_set",), least_words=("answer", 30))
+
+
 def _long_items(spark: SparkSession, folder: str) -> DataFrame:
     answers = table(spark, folder, "qa_pairs").select(F.lit("answer").alias("item_kind"), F.col("pair_uid").alias("item_id"), F.col("answer").alias("text"))
     chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), F.col("chunk_text").alias("text"))
@@ -113,7 +121,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_answer_tokens, p1_answers, p1_document_tokens, p1_documents, p2_found, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_sentences, p7_ids, p7_texts, p8_containers, p8_fill, p9_found, p9_statistics)
+    found = (p1_answer_tokens, p1_answers, p1_document_tokens, p1_documents, p2_found, p3_found, p3_records, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_sentences, p7_ids, p7_texts, p8_containers, p8_fill, p9_found, p9_statistics)
     return {query.__name__: query for query in found}
 
 
@@ -123,9 +131,7 @@ _P3_WORDS = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace
   '[\p{{Z}}\p{{Cc}}\p{{Cf}}\p{{P}}]+', ' ', 'g'))"""
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p3_found": f"""
+_P3_RECORDS = f"""
 with lines as (
   select line_id, case when json_valid(line) then line end as line from qa_lines),
 records as (
@@ -137,8 +143,15 @@ words as (
   select distinct rec_set, id, {_P3_WORDS.format('question')} as q, {_P3_WORDS.format('answer')} as a from records),
 kept as (
   select *, min(id) over (partition by rec_set, q, a) as keep_id from words
-  where a <> '' and length(a) - length(replace(a, ' ', '')) + 1 >= 30)
+  where a <> '' and length(a) - length(replace(a, ' ', '')) + 1 >= 30)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p3_found": f"""{_P3_RECORDS}
 select rec_set, keep_id, id as copy_id from kept where id > keep_id""",
+        "p3_records": f"""{_P3_RECORDS}
+select rec_set, keep_id, count(*) as n_copies from kept group by rec_set, keep_id""",
         "p7_texts": "select doc_id, coalesce(text, '') as text from documents",
         "p4_found": """
 select distinct 'answer' as item_kind, pair_uid as item_id from qa_pairs where length(answer) > 800

@@ -6,7 +6,9 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.llm import hidden_dups
+from pyspark.sql import functions as F
+
+from tessella.llm import common, hidden_dups
 from tessella.llm.common import words_of
 
 
@@ -40,6 +42,21 @@ def test_groups_and_least_words(spark):
     assert [(r.s, r.keep_id, r.copy_id) for r in got] == [("x", "1", "2")]
 
 
+def test_collapsed(spark):
+    frame = spark.createDataFrame([("x", "1", "q", "a b c"), ("x", "2", "Q", "A b, c"), ("x", "2", "Q", "A b, c"), (None, "3", "q", "a b c"), (None, "9", "Q", "a b  c"), ("x", "4", "q", "c b a"), ("x", "5", None, None), ("x", None, "q", "a b c")], "s string, id string, q string, a string").withColumn("n_copies", F.lit(7))
+    got = {(r.s, r.keep_id, r.n_copies) for r in hidden_dups.collapsed(frame, "id", ["q", "a"], group_cols=("s",)).collect()}
+    assert got == {("x", "1", 2), (None, "3", 2), ("x", "4", 1), ("x", "5", 1)}
+    assert hidden_dups.collapsed(frame.limit(0), "id", ["q", "a"]).count() == 0
+
+
+def test_prefilter_loses_nothing(spark):
+    rows, wanted = spark.range(20_000).select("id", (F.col("id") % 7).alias("k")), spark.range(0, 20_000, 40).select("id", (F.col("id") % 7).alias("k"))
+    for most in (1 << 15, 1 << 29):
+        passed = common.may_be_in(rows, ["id", "k"], wanted, most)
+        assert passed.join(wanted, ["id", "k"], "left_semi").count() == 500 and passed.count() < 2600
+    assert common.may_be_in(rows, ["id", "k"], wanted.limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert found(spark.createDataFrame([], "id string, q string, a string")) == []
 
@@ -47,7 +64,11 @@ def test_empty(spark):
 def test_hot_class(spark):
     frame = spark.range(3000).selectExpr("cast(id as string) as id", "'Q' as q", "case when id % 3 = 0 then upper('same text') else concat('own ', id) end as a")
     got = found(frame)
-    assert len(got) == 999 and {g[0] for g in got} == {"0"}
+    assert len(got) == 999 and {g[0] for g in got} == {"0"} and {g[2] for g in got} == {1000}
+    # the rows of the hot class are spread over tasks
+    marked = frame.select(F.lit(1).alias("k"), "id")
+    spread = common.salted_join(marked, spark.createDataFrame([(1, 5)], "k int, v int"), ["k"], F.col("id"))
+    assert spread.count() == 3000 and spread.groupBy(F.pmod(F.xxhash64("id"), F.lit(16))).count().count() == 16
 
 
 @settings(max_examples=60, deadline=None)
