@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,16 +27,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return session
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of df by a reliable checkpoint in the folder the cluster names.
+def shared_folder(session: SparkSession) -> str:
+    """The folder all executors share, for checkpoints and written tables.
 
-    ``spark.checkpoint.dir`` is read from the session; a folder of our own is set only where the
-    cluster names none, as in tests. The files outlive any executor.
+    ``spark.checkpoint.dir`` is read from the session. Only a session that runs in one process, as in tests, gets a temporary folder where
+    none is named; a cluster without one is an error, as its machines don't see each other's folders.
     """
-    context = df.sparkSession.sparkContext
+    context = session.sparkContext
     if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessella-")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tessella-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of df by a reliable checkpoint in the shared folder; the files outlive any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
