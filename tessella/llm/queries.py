@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import broken, budget, encode, hidden_dups, near_dups, pack, quality, sentences, split
-from tessella.session import spread, union_all
+from tessella.session import shared_folder, spread, union_all
 from tessella.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +69,13 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("item.item_kind", "item.item_id", "piece_no", "start_char", "end_char", "piece").dropDuplicates(["item_kind", "item_id", "piece_no"])
 
 
+def p4_file_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The long answers as text files in the shared folder, split by byte ranges."""
+    long = table(spark, folder, "qa_pairs").where(F.length("answer") > split.SIZE)
+    paths = split.written_files(long, "answer", f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}")
+    return split.split_files(spark, paths)
+
+
 def _near_items(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     answers = table(spark, folder, "qa_pairs").select(F.lit("answer").alias("item_kind"), F.col("pair_uid").alias("item_id"), F.col("answer").alias("text"))
     chunks = table(spark, folder, "chunks").where(F.col("strategy") == "sentence").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), F.col("chunk_text").alias("text"))
@@ -121,7 +129,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_answer_tokens, p1_answers, p1_document_tokens, p1_documents, p2_found, p3_found, p3_records, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_sentences, p7_ids, p7_texts, p8_containers, p8_fill, p9_found, p9_statistics)
+    found = (p1_answer_tokens, p1_answers, p1_document_tokens, p1_documents, p2_found, p3_found, p3_records, p4_found, p4_pieces, p4_file_pieces, p5_found, p5_groups, p6_found, p6_sentences, p7_ids, p7_texts, p8_containers, p8_fill, p9_found, p9_statistics)
     return {query.__name__: query for query in found}
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tessella.llm import split
+from tessella.llm import queries, split
 
 
 def texts():
@@ -52,14 +52,39 @@ def test_very_long(spark):
     assert got[0][0] == 0 and got[-1][1] == len(text) and all(text[a:b] == p for a, b, p in got)
 
 
-def test_file_by_ranges(spark, tmp_path):
-    text = "".join(f"Línea número {k} 数据。 Second part, here.\n" + "\n" * (k % 7 == 0) for k in range(30_000))
-    path = tmp_path / "big.txt"
-    path.write_text(text, encoding="utf-8")
-    rows = split.split_file(spark, str(path), range_bytes=150_000).orderBy("piece_no").collect()
-    assert [r.piece_no for r in rows] == list(range(len(rows)))
-    assert rows[0].start_char == 0 and rows[-1].end_char == len(text)
-    assert all(r.piece == text[r.start_char : r.end_char] and len(r.piece) <= 800 for r in rows)
-    assert all(b.start_char <= a.end_char for a, b in zip(rows, rows[1:]))
+def expected(text, **options):
+    return [(a, b, text[a:b]) for a, b in split.spans(split.stitched(text), **options)] if text else []
+
+
+@pytest.mark.parametrize("range_bytes", [700, 4_000, 150_000, 1 << 22])
+def test_files_by_ranges(spark, tmp_path, range_bytes):
+    size = {"size": 120, "overlap": 30} if range_bytes < 4_000 else {}
+    lines = 250 if range_bytes < 4_000 else 3_000
+    whole = ["".join(f"Línea número {k} 数据。 Second part, here.\n" + "\n" * (k % 7 == 0) for k in range(lines)), "", "short", "x" * 9_000 + " " * 5_000 + ")" * 400 + "数" * 4_000, "👩‍👩‍👧 e\u0301 " * 900]
+    for k, text in enumerate(whole):
+        (tmp_path / f"{k}.txt").write_text(text, encoding="utf-8")
+    rows = split.split_files(spark, [str(tmp_path / f"{k}.txt") for k in range(len(whole))], range_bytes=range_bytes, **size).collect()
+    for k, text in enumerate(whole):
+        got = sorted((r.piece_no, r.start_char, r.end_char, r.piece) for r in rows if r.file_no == k)
+        assert [r[0] for r in got] == list(range(len(got))) and [r[1:] for r in got] == expected(text, **size)
+
+
+def test_no_files(spark, tmp_path):
     (tmp_path / "empty.txt").write_text("")
-    assert split.split_file(spark, str(tmp_path / "empty.txt")).count() == 0
+    assert split.split_files(spark, [str(tmp_path / "empty.txt")]).count() == 0 and split.split_files(spark, []).count() == 0
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    (tmp_path / "odd.txt").write_bytes(b"ok \xff\xfe here " * 200)
+    rows = split.split_files(spark, [str(tmp_path / "odd.txt")], range_bytes=100).orderBy("piece_no").collect()
+    text = "ok \ufffd\ufffd here " * 200
+    assert rows[-1].end_char == len(text) and all(r.piece == text[r.start_char : r.end_char] for r in rows)
+
+
+def test_written_from_a_table(spark, data):
+    got = queries.p4_file_pieces(spark, data).toPandas().sort_values(["file_no", "piece_no"])
+    table = spark.read.parquet(f"{data}/qa_pairs.parquet").where("length(answer) > 800").toPandas()
+    assert len(got) > 0 and (got.piece.str.len() <= 800).all()
+    everything = "".join(t + "\n" for t in table.answer)
+    first = got[got.file_no == 0]
+    assert first.end_char.max() <= len(everything) and got.groupby("file_no").end_char.max().sum() == len(everything)
