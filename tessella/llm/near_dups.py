@@ -1,19 +1,21 @@
 """Problem 5: near-duplicate texts by the similarity of their sets of word runs, without loss.
 
-1. One pass gives each text's digest (equal sets make one class) and counts, in a histogram of fixed size, how frequent
-   runs are. Any common order of runs makes what follows lossless; the counts make it selective.
+1. One pass gives each text's digest (equal sets make one class) and counts in a histogram, sized by the characters of the input,
+   how frequent runs are. Any common order of runs makes what follows lossless; the counts make it selective.
 2. Each class is sent, once for each part its rarest runs fall into, with the places of those runs and a parity sketch: bit h of
    a sketch is the parity of the runs that hash to h, so two sketches differ in at most as many bits as the sets in runs.
-3. In each part, classes that share a rare run are compared exactly tile by tile: tiles whose sizes or population counts differ
-   beyond the radius are skipped, for the rest the exclusive-or of the sketches is counted.
+3. In each part, classes that share a rare run are compared exactly tile by tile: tile pairs whose ranges of sizes or of population counts
+   are beyond the radius are skipped as a whole, for the rest the exclusive-or of the sketches is counted.
 4. The few pairs left are verified on their sets of runs.
 
-Runs so frequent that a part would hold too many texts are split into tiles of a grid over several parts.
+There are as many parts as the runs need at PART_BYTES each. Runs so frequent that a part would hold too many texts are split into tiles of a grid
+over several parts, so that no part grows with the input.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,13 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import settle, union_all
+from tessella.llm.common import salted_join, settle, union_all
 from tessella.llm.shingles import mixed, run_sets
 
-#: Counters of the histogram of runs (4 bytes each, whatever the input's size) and the slices it is summed in.
-COUNTERS, SLICES = 1 << 20, 64
+#: Least and most counters of the histogram of runs (4 bytes each in a task that counts, 1 byte where it is read) and the slices it is summed in. There is one
+#: counter for CHARS_A_COUNTER characters of the input; where that is more than the most, counters are shared by more runs and select less, but lose nothing.
+FEWEST, MOST, SLICES, CHARS_A_COUNTER = 1 << 16, 1 << 24, 64, 8
 #: A run in more texts than this is split into a grid of tiles.
 TILE = 20_000
+#: Bytes a part should have, and those of a run with its share of the sketch.
+PART_BYTES, RUN_BYTES = 1 << 24, 48
+#: Rows of a tile in a part; runs with no more rows are one tile each and compared together.
+TILE_ROWS = 64
+#: Digests a task remembers and pairs it holds before it forgets or sorts them: bounds of its memory, without effect on the result.
+REMEMBERED, HELD = 500_000, 2_000_000
+#: Tasks over which the rows of one class or node are spread.
+SALTS = 8
 #: Bits of the smallest and the largest sketch.
 SMALLEST, LARGEST = 256, 8192
 
@@ -61,7 +72,9 @@ def _digests(kinds: list, values: np.ndarray, bounds: np.ndarray, chosen: np.nda
 
 
 def _unseen(digests: list[bytes], seen: set[bytes]) -> np.ndarray:
-    """Which digests occur for the first time in a task; they are added to seen."""
+    """Which digests occur for the first time in a task, as far as it remembers; they are added to seen."""
+    if len(seen) > REMEMBERED:
+        seen.clear()
     fresh = np.zeros(len(digests), dtype=bool)
     for k, digest in enumerate(digests):
         if digest not in seen:
@@ -78,12 +91,28 @@ def _of(values: np.ndarray, bounds: np.ndarray, chosen: np.ndarray) -> tuple[np.
     return values[np.arange(len(owner)) - starts[owner] + bounds[chosen][owner]], owner
 
 
-def _survey(length: int, least: int):  # noqa: ANN202
-    """Rows (kind, id, digest) of the texts with enough runs; one row (null, null, null, slice, counts) for each slice of the histogram."""
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts of a slice, mostly zeros and small ones, in few bytes."""
+    over = np.flatnonzero(counts > 254)
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return zlib.compress(np.int32(len(over)).tobytes() + over.astype(np.int32).tobytes() + counts[over].tobytes() + small.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    data = zlib.decompress(raw)
+    over = int(np.frombuffer(data, np.int32, 1)[0])
+    counts = np.frombuffer(data, np.uint8, offset=4 + 8 * over).astype(np.int32)
+    counts[np.frombuffer(data, np.int32, over, 4)] = np.frombuffer(data, np.int32, over, 4 + 4 * over)
+    return counts
+
+
+def _survey(length: int, least: int, counters: int):  # noqa: ANN202
+    """Rows (kind, id, digest, size) of the texts with enough runs; one row (null, null, null, runs, slice, counts) for each slice of the histogram, with the runs counted in slice 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, dtype=np.int32)
+        counts = np.zeros(counters, dtype=np.int32)
         seen: set[bytes] = set()
+        total = 0
         for kinds, ids, texts in _blocks(batches):
             values, bounds = run_sets(texts, length)
             chosen = np.flatnonzero(np.diff(bounds) >= least)
@@ -91,31 +120,39 @@ def _survey(length: int, least: int):  # noqa: ANN202
                 continue
             digests = _digests(kinds, values, bounds, chosen)
             new, _ = _of(values, bounds, chosen[_unseen(digests, seen)])
-            counters += np.bincount((new & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
+            total += len(new)
+            counts += np.bincount((new & np.uint64(counters - 1)).astype(np.int64), minlength=counters).astype(np.int32)
             size = len(chosen)
-            yield pa.RecordBatch.from_pydict({"kind": [kinds[k] for k in chosen], "id": [ids[k] for k in chosen], "digest": digests, "slice": [None] * size, "counts": [None] * size}, schema=_SURVEY)
-        if counters.any():
-            width = COUNTERS // SLICES
-            yield pa.RecordBatch.from_pydict({"kind": [None] * SLICES, "id": [None] * SLICES, "digest": [None] * SLICES, "slice": list(range(SLICES)), "counts": [counters[k * width : (k + 1) * width].tobytes() for k in range(SLICES)]}, schema=_SURVEY)
+            yield pa.RecordBatch.from_pydict({"kind": [kinds[k] for k in chosen], "id": [ids[k] for k in chosen], "digest": digests, "runs": [None] * size, "slice": [None] * size, "counts": [None] * size}, schema=_SURVEY)
+        if total:
+            width = counters // SLICES
+            yield pa.RecordBatch.from_pydict({"kind": [None] * SLICES, "id": [None] * SLICES, "digest": [None] * SLICES, "runs": [total] + [0] * (SLICES - 1), "slice": list(range(SLICES)), "counts": [_packed(counts[k * width : (k + 1) * width]) for k in range(SLICES)]}, schema=_SURVEY)
 
     return run
 
 
-_SURVEY = pa.schema([("kind", pa.string()), ("id", pa.string()), ("digest", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
-_SURVEY_DDL = "kind string, id string, digest binary, slice int, counts binary"
+_SURVEY = pa.schema([("kind", pa.string()), ("id", pa.string()), ("digest", pa.binary()), ("runs", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+_SURVEY_DDL = "kind string, id string, digest binary, runs long, slice int, counts binary"
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the slices that reach a task, one running sum for each."""
+    """Adds up the slices that reach a task, one running sum for each; out come logarithms of one byte: 0, 1 and 2 for counts of as much, beyond that eight steps for each doubling."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for number, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts = np.frombuffer(raw, dtype=np.int32)
             if number in sums:
-                sums[number] += counts
+                sums[number] += _unpacked(raw)
             else:
-                sums[number] = counts.copy()
-    yield pa.RecordBatch.from_pydict({"slice": list(sums), "counts": [s.tobytes() for s in sums.values()]}, schema=pa.schema([("slice", pa.int32()), ("counts", pa.binary())]))
+                sums[number] = _unpacked(raw)
+    yield pa.RecordBatch.from_pydict({"slice": list(sums), "counts": [_logarithms(s).tobytes() for s in sums.values()]}, schema=pa.schema([("slice", pa.int32()), ("counts", pa.binary())]))
+
+
+def _logarithms(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts > 2, np.ceil(8.0 * np.log2(np.maximum(counts, 1))) - 6.0, counts).astype(np.uint8)
+
+
+#: The largest count each byte of the histogram stands for.
+_COUNTS = np.array([0, 1, 2, *(int(2.0 ** ((k + 6) / 8.0)) for k in range(3, 250)), *([2**31 - 1] * 6)], dtype=np.int64)
 
 
 def parity_sketches(runs: np.ndarray, owner: np.ndarray, bits: np.ndarray) -> list[bytes]:
@@ -135,7 +172,8 @@ def _parts(length: int, least: int, similarity: float, parts: int, tile: int, hi
     """For each class and part: size, sketch, and its rare runs in that part with their places in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.frombuffer(histogram.value, dtype=np.int32)
+        logs = np.frombuffer(histogram.value, dtype=np.uint8)
+        mean = float((np.bincount(logs, minlength=256) * _COUNTS).sum() / len(logs))  # what a counter holds of other runs
         seen: set[bytes] = set()
         for kinds, _, texts in _blocks(batches):
             values, bounds = run_sets(texts, length)
@@ -149,7 +187,7 @@ def _parts(length: int, least: int, similarity: float, parts: int, tile: int, hi
             sizes = np.bincount(owner, minlength=len(chosen))
             bits = np.minimum(LARGEST, np.maximum(SMALLEST, 1 << np.ceil(np.log2(1.5 * sizes)).astype(np.int64)))
             sketches = parity_sketches(runs, owner, bits)
-            often = counters[(runs & np.uint64(COUNTERS - 1)).astype(np.int64)]
+            often = logs[(runs & np.uint64(len(logs) - 1)).astype(np.int64)]
             # by text, then count; runs of equal count stay in order of their hashes, the same for all texts
             order = np.argsort((owner.astype(np.uint64) << np.uint64(32)) | often.astype(np.uint64), kind="stable")
             runs, owner, often = runs[order], owner[order], often[order]
@@ -157,6 +195,7 @@ def _parts(length: int, least: int, similarity: float, parts: int, tile: int, hi
             first = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
             kept = (places < first[owner]) & (often > 1)  # a counter of one is of a run that no other class has
             runs, owner, often, places = runs[kept], owner[kept], often[kept], places[kept].astype(np.int32)
+            often = np.maximum(_COUNTS[often] - int(mean), 0)
             if (often > tile).any():
                 runs, owner, places = _gridded(runs, owner, often, places, digests, tile)
             if not len(runs):
@@ -231,31 +270,20 @@ def _compared(similarity: float):  # noqa: ANN202
         owner = np.repeat(np.arange(len(keep)), counts)
         order = np.lexsort((sizes[owner], runs))
         runs, owner, places = runs[order], owner[order], places[order].astype(np.int64)
-        size = sizes[owner]
-        left = size - places  # runs from this one on: no more can be in common if it is the first one
-        alive = np.arange(len(runs))
-        found: list[np.ndarray] = []
-        step = 1
-        while len(alive):  # pairs of rows `step` apart within one run, a diagonal of its tiles
-            alive = alive[alive + step < len(runs)]
-            alive = alive[runs[alive] == runs[alive + step]]
-            a, b = alive, alive + step
-            # rows of a run are in order of size: beyond this, a tile's sizes differ by more than the radius
-            near = size[a] >= similarity * size[b] - 1e-9
-            alive = alive[near]
-            a, b = a[near], b[near]
-            need = share * (size[a] + size[b]) - 1e-9
-            fits = np.minimum(left[a], left[b]) >= need
-            a, b = owner[a[fits]], owner[b[fits]]
-            if len(a):
-                pairs = np.unique((np.minimum(a, b) << 32) | np.maximum(a, b))
-                a, b = pairs >> 32, pairs & 0xFFFFFFFF
-                radius = (1.0 - 2.0 * share) * (sizes[a] + sizes[b]) + 1e-9
-                same = widths[a] == widths[b]
-                possible = ~same | (np.abs(bits[a] - bits[b]) <= radius)
-                found.append(_within(a[possible], b[possible], radius[possible], widths, offsets, words))
-            step += 1
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        left = sizes[owner] - places  # runs from this one on: no more can be in common if it is the first one
+        facts = (similarity, share, sizes, bits, widths, offsets, words)
+        edges = np.r_[0, np.flatnonzero(np.diff(runs)) + 1, len(runs)] if len(runs) else np.zeros(1, np.int64)
+        many = np.diff(edges) > TILE_ROWS
+        small = np.repeat(~many, np.diff(edges))
+        found = [_side_by_side(runs[small], owner[small], left[small], facts)]
+        held = len(found[0])
+        for low, high in zip(edges[:-1][many].tolist(), edges[1:][many].tolist(), strict=True):
+            found.append(_tile_by_tile(owner[low:high], left[low:high], facts))
+            held += len(found[-1])
+            if held > HELD:
+                found = [np.unique(np.concatenate(found))]
+                held = len(found[0]) // 2
+        pairs = np.unique(np.concatenate(found))
         names = [halves[k].tobytes() for k in range(len(halves))] if len(pairs) else []
         low = [names[k] for k in (pairs >> 32)]
         high = [names[k] for k in (pairs & 0xFFFFFFFF)]
@@ -266,6 +294,74 @@ def _compared(similarity: float):  # noqa: ANN202
     return run
 
 
+def _side_by_side(runs: np.ndarray, owner: np.ndarray, left: np.ndarray, facts: tuple) -> np.ndarray:
+    """Pairs within the radius among rows of the same run, for runs of few rows, each run one tile: rows 1, 2, 3, … apart, of all runs together."""
+    similarity, share, sizes, bits, widths, offsets, words = facts
+    size = sizes[owner]
+    alive = np.arange(len(runs))
+    found: list[np.ndarray] = [np.zeros(0, np.int64)]
+    step = 1
+    while len(alive):
+        alive = alive[alive + step < len(runs)]
+        alive = alive[runs[alive] == runs[alive + step]]
+        a, b = alive, alive + step
+        # rows of a run are in order of size: beyond this, sizes differ by more than the radius
+        near = size[a] >= similarity * size[b] - 1e-9
+        alive = alive[near]
+        a, b = a[near], b[near]
+        fits = np.minimum(left[a], left[b]) >= share * (size[a] + size[b]) - 1e-9
+        a, b = owner[a[fits]], owner[b[fits]]
+        if len(a):
+            pairs = np.unique((np.minimum(a, b) << 32) | np.maximum(a, b))
+            a, b = pairs >> 32, pairs & 0xFFFFFFFF
+            radius = (1.0 - 2.0 * share) * (sizes[a] + sizes[b]) + 1e-9
+            possible = (widths[a] != widths[b]) | (np.abs(bits[a] - bits[b]) <= radius)
+            found.append(_within(a[possible], b[possible], radius[possible], widths, offsets, words))
+        step += 1
+    return np.unique(np.concatenate(found))
+
+
+def apart(one: tuple[int, int, int, int], two: tuple[int, int, int, int], similarity: float, share: float, same_width: bool) -> bool:
+    """Whether two tiles, each by its least and largest size and population count, can hold no pair within the radius."""
+    low_one, high_one, few_one, many_one = one
+    low_two, high_two, few_two, many_two = two
+    if high_one < similarity * low_two - 1e-9 or high_two < similarity * low_one - 1e-9:
+        return True
+    return same_width and max(few_two - many_one, few_one - many_two) > (1.0 - 2.0 * share) * (high_one + high_two) + 1e-9
+
+
+def _tile_by_tile(owner: np.ndarray, left: np.ndarray, facts: tuple) -> np.ndarray:
+    """Pairs within the radius among the rows of one run, tile against tile; tiles are in order of width and population count."""
+    similarity, share, sizes, bits, widths, offsets, words = facts
+    order = np.lexsort((bits[owner], widths[owner]))
+    owner, left = owner[order], left[order]
+    tiles = []
+    for width in np.unique(widths[owner]):
+        rows = np.flatnonzero(widths[owner] == width)
+        for low in range(0, len(rows), TILE_ROWS):
+            at = rows[low : low + TILE_ROWS]
+            of = owner[at]
+            tiles.append((int(width), of, left[at], words[offsets[of][:, None] + np.arange(width)], (int(sizes[of].min()), int(sizes[of].max()), int(bits[of].min()), int(bits[of].max()))))
+    found: list[np.ndarray] = [np.zeros(0, np.int64)]
+    for k, (width, of, rest, sketch, bound) in enumerate(tiles):
+        for other_width, other, other_rest, other_sketch, other_bound in tiles[k:]:
+            if apart(bound, other_bound, similarity, share, width == other_width):
+                continue
+            least = min(width, other_width)
+            x, y = (np.bitwise_xor.reduce(z.reshape(len(z), -1, least), axis=1) if z.shape[1] > least else z for z in (sketch, other_sketch))
+            total = sizes[of][:, None] + sizes[other][None, :]
+            possible = np.minimum(rest[:, None], other_rest[None, :]) >= share * total - 1e-9
+            possible &= np.minimum(sizes[of][:, None], sizes[other][None, :]) >= similarity * np.maximum(sizes[of][:, None], sizes[other][None, :]) - 1e-9
+            possible &= of[:, None] != other[None, :]
+            if not possible.any():
+                continue
+            differ = np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+            a, b = np.nonzero(possible & (differ <= (1.0 - 2.0 * share) * total + 1e-9))
+            a, b = of[a], other[b]
+            found.append((np.minimum(a, b) << 32) | np.maximum(a, b))
+    return np.unique(np.concatenate(found))
+
+
 def _within(a: np.ndarray, b: np.ndarray, radius: np.ndarray, widths: np.ndarray, offsets: np.ndarray, words: np.ndarray, block: int = 65_536) -> np.ndarray:
     """The pairs whose sketches, the wider folded to the narrower, differ in no more bits than the radius."""
     out = []
@@ -310,17 +406,20 @@ def near_duplicates(df: DataFrame, kind_col: str, id_col: str, text_col: str, *,
         raise ValueError("similarity must be in (0, 1], length, least and tile at least 1")
     session = df.sparkSession
     texts = df.select(F.col(kind_col).cast("string").alias("kind"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    survey = settle(texts.mapInArrow(_survey(length, least), _SURVEY_DDL))
+    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    counters = min(MOST, max(FEWEST, 1 << int(chars // CHARS_A_COUNTER).bit_length()))
+    survey = settle(texts.mapInArrow(_survey(length, least, counters), _SURVEY_DDL))
     slices = survey.where(F.col("slice").isNotNull()).select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_summed, "slice int, counts binary")
-    counters = np.zeros(COUNTERS, dtype=np.int32)
-    width = COUNTERS // SLICES
-    for row in slices.collect():  # always COUNTERS numbers
-        counters[row.slice * width : (row.slice + 1) * width] = np.frombuffer(row.counts, dtype=np.int32)
-    histogram = session.sparkContext.broadcast(counters.tobytes())
+    logs = np.zeros(counters, dtype=np.uint8)
+    width = counters // SLICES
+    for row in slices.collect():  # always so many bytes as counters
+        logs[row.slice * width : (row.slice + 1) * width] = np.frombuffer(row.counts, dtype=np.uint8)
+    histogram = session.sparkContext.broadcast(logs.tobytes())
     listed = survey.where(F.col("slice").isNull()).select("kind", "id", "digest")
     heads = listed.groupBy("kind", "digest").agg(F.min("id").alias("class_id"))
-    parts = int(session.conf.get("spark.sql.shuffle.partitions"))
-    sent = texts.mapInArrow(_parts(length, least, similarity, parts, tile, histogram), _PART_DDL)
+    runs = survey.agg(F.coalesce(F.sum("runs"), F.lit(0))).first()[0]
+    parts = int(max(session.sparkContext.defaultParallelism, runs * (1.0 - similarity) * RUN_BYTES // PART_BYTES + 1))
+    sent = texts.mapInArrow(_parts(length, least, similarity, parts, tile, histogram), _PART_DDL).repartition(parts, "kind", "part")
     near = sent.groupBy("kind", "part").applyInArrow(_compared(similarity), "kind string, low binary, high binary").distinct()
     a = heads.select(F.col("kind").alias("kind_a"), F.col("digest").alias("low"), F.col("class_id").alias("first"))
     b = heads.select(F.col("kind").alias("kind_b"), F.col("digest").alias("high"), F.col("class_id").alias("second"))
@@ -355,33 +454,38 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """(kind, id, class_id, group_id, n_links): one row for each member with the connected component of its class.
 
     group_id is the smallest class of the component, n_links the number of other classes the class is linked with. Components are
-    found by alternating large-star and small-star steps on the links until nothing changes; the links are never collected.
+    found by alternating large-star and small-star steps on the links until nothing changes; the links are never collected, and
+    the links of a class with many are spread over tasks.
     """
-    edges = settle(links.select("kind", F.col("class_a").alias("u"), F.col("class_b").alias("v")))
-    degree = edges.select("kind", F.explode(F.array("u", "v")).alias("class_id")).groupBy("kind", "class_id").agg(F.count("*").alias("n_links"))
+    edges = settle(links.select(F.struct("kind", F.col("class_a").alias("c")).alias("u"), F.struct("kind", F.col("class_b").alias("c")).alias("v")))
+    degree = edges.select(F.explode(F.array("u", "v")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     labels = edges
     before = None
     while True:
-        both = union_all(labels.select("kind", "u", "v"), labels.select("kind", F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("kind", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least.withColumnRenamed("kind", "k").withColumnRenamed("u", "w"), both["kind"].eqNullSafe(F.col("k")) & (both["u"] == F.col("w"))).where(F.col("v") > F.col("u")).select("kind", F.col("m").alias("u"), "v").distinct()
-        heavy = large.groupBy("kind", "v").agg(F.min("u").alias("m"))
-        small = large.join(heavy.withColumnRenamed("kind", "k").withColumnRenamed("v", "w"), large["kind"].eqNullSafe(F.col("k")) & (large["v"] == F.col("w")))
-        small = union_all(small.select("kind", F.col("m").alias("u"), "v"), small.where(F.col("u") != F.col("m")).select("kind", F.col("m").alias("u"), F.col("u").alias("v")))
+        both = union_all(labels.select("u", "v"), labels.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = salted_join(both, least, ["u"], F.col("v"), salts=SALTS).where(F.col("v") > F.col("u")).select(F.col("m").alias("u"), "v").distinct()
+        heavy = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = salted_join(large, heavy, ["v"], F.col("u"), salts=SALTS)
+        small = union_all(small.select(F.col("m").alias("u"), "v"), small.where(F.col("u") != F.col("m")).select(F.col("m").alias("u"), F.col("u").alias("v")))
         labels = settle(small.distinct())
-        now = tuple(labels.agg(F.count("*"), F.sum(F.xxhash64("kind", "u", "v").cast("decimal(38,0)"))).first())
+        now = tuple(labels.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    named = members.join(labels.select(F.col("kind").alias("k"), F.col("v").alias("c"), F.col("u").alias("root")), members["kind"].eqNullSafe(F.col("k")) & (members["class_id"] == F.col("c")), "left").drop("k", "c")
-    counted = named.join(degree.withColumnRenamed("kind", "k").withColumnRenamed("class_id", "c"), named["kind"].eqNullSafe(F.col("k")) & (named["class_id"] == F.col("c")), "left")
-    return counted.select("kind", "id", "class_id", F.coalesce("root", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # one row a class, so that a class of many equal texts is joined spread over tasks
+    facts = degree.join(labels.select(F.col("v").alias("class"), F.col("u.c").alias("root")), "class", "left")
+    named = salted_join(members.withColumn("class", F.struct("kind", F.col("class_id").alias("c"))), facts, ["class"], F.col("id"), "left", salts=SALTS)
+    return named.select("kind", "id", "class_id", F.coalesce("root", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(kind, id_a, id_b) of all linked members, id_a < id_b, those of one class included."""
-    one = members.select(F.col("kind").alias("kind_a"), F.col("class_id").alias("of_a"), F.col("id").alias("x"))
-    two = members.select(F.col("kind").alias("kind_b"), F.col("class_id").alias("of_b"), F.col("id").alias("y"))
-    across = links.select("kind", "class_a", "class_b").join(one, links["kind"].eqNullSafe(one["kind_a"]) & (links["class_a"] == one["of_a"])).join(two, links["kind"].eqNullSafe(two["kind_b"]) & (links["class_b"] == two["of_b"])).select("kind", "x", "y")
-    inside = one.join(two, one["kind_a"].eqNullSafe(two["kind_b"]) & (one["of_a"] == two["of_b"]) & (one["x"] < two["y"])).select(F.col("kind_a").alias("kind"), "x", "y")
+    """(kind, id_a, id_b) of all linked members, id_a < id_b, those of one class included; the members of a class are spread over tasks."""
+    keyed = members.select(F.struct("kind", F.col("class_id").alias("c")).alias("class"), "id")
+    across = links.select("kind", F.struct("kind", F.col("class_a").alias("c")).alias("class"), F.struct("kind", F.col("class_b").alias("c")).alias("other"))
+    across = salted_join(keyed, across, ["class"], F.col("id"), salts=SALTS).select("kind", F.col("id").alias("x"), F.col("other").alias("class"))
+    across = salted_join(keyed.withColumnRenamed("id", "y"), across, ["class"], F.col("y"), salts=SALTS).select("kind", "x", "y")
+    several = members.where(F.col("id") != F.col("class_id")).select(F.struct("kind", F.col("class_id").alias("c")).alias("class")).distinct()
+    held = salted_join(keyed, several, ["class"], F.col("id"), "left_semi", salts=SALTS)
+    inside = salted_join(held, held.withColumnRenamed("id", "y"), ["class"], F.col("id"), salts=SALTS).where(F.col("id") < F.col("y")).select(F.col("class.kind").alias("kind"), F.col("id").alias("x"), "y")
     return union_all(across, inside).select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
