@@ -171,10 +171,10 @@ sets as (select item_kind, item_id, len(r) as n, r from runs where len(r) >= 60)
 each as (select item_kind, item_id, n, unnest(r) as run from sets),
 often as (select item_kind, run from each group by all having count(*) > 1),
 common as (
-  select a.item_kind, a.item_id as id_a, b.item_id as id_b, any_value(a.n) as n_a, any_value(b.n) as n_b, count(*) as both
+  select a.item_kind, a.item_id as id_a, b.item_id as id_b, any_value(a.n) as n_a, any_value(b.n) as n_b, count(*) as shared
   from (select * from each semi join often using (item_kind, run)) a join each b on a.item_kind = b.item_kind and a.run = b.run and a.item_id < b.item_id and a.n >= 0.6 * b.n - 1 and b.n >= 0.6 * a.n - 1
   group by a.item_kind, a.item_id, b.item_id)
-select item_kind, id_a, id_b from common where both >= 0.6 * (n_a + n_b - both) - 1e-9""",
+select item_kind, id_a, id_b from common where shared >= 0.6 * (n_a + n_b - shared) - 1e-9""",
         "p7_texts": "select doc_id, coalesce(text, '') as text from documents",
         "p4_found": """
 select distinct 'answer' as item_kind, pair_uid as item_id from qa_pairs where length(answer) > 800
