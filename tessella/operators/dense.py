@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.functions.vectors import cosine
+
 #: Vectors in a block.
 BLOCK = 4096
 
@@ -54,3 +56,11 @@ def top_k(queries: DataFrame, query_id: str, query_vector: str, index: DataFrame
     near = held.crossJoin(asked).select("ids", "vectors", "q_ids", "q_vectors").mapInArrow(run, "query_id string, id string, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def nearest(index: DataFrame, index_id: str, index_vector: str, vector: list[float], k: int) -> DataFrame:
+    """(rank, id, score): the k vectors nearest to one by cosine, rounded to 6 places; ties go by id as a string. One query needs no join: each task keeps k rows."""
+    given = F.array(*(F.lit(float(x)) for x in vector))
+    scored = index.where(F.col(index_vector).isNotNull() & F.col(index_id).isNotNull()).select(F.col(index_id).cast("string").alias("id"), F.round(cosine(F.col(index_vector).cast("array<double>"), given), 6).alias("score"))
+    best = scored.orderBy(F.desc("score"), "id").limit(k)
+    return best.select(F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("rank"), "id", "score")

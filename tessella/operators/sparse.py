@@ -1,14 +1,20 @@
-"""BM25: an inverted index as tables and exact top-k for many queries at once."""
+"""BM25: an inverted index as stored tables, and exact top-k for many queries at once.
+
+The index is cut into shards of chunks. A shard holds, for each of its terms, one row with the places of the chunks that have it and how
+often; queries read only the rows of their terms, and each shard gives the best k of each query, zero scores included, so that
+no pair of query and chunk is ever shuffled and no order is made over all chunks.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,124 +23,90 @@ from tessella.session import settle, union_all
 
 #: Fixed values of the Okapi formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Rows of query terms up to which they are sent to all tasks, and the tasks a term is spread over beyond that.
-BROADCAST_ROWS, SALTS = 200_000, 32
-#: Queries, and cells of a term-by-chunk table, that are scored at once.
-QUERY_BLOCK, CELLS = 256, 4_000_000
+#: Chunks of a shard and queries of a block: what one task scores at once.
+SHARD_CHUNKS, QUERY_BLOCK = 20_000, 256
+_TOKENS = re.compile("[a-z0-9]+")
 
 
 @dataclass
 class SparseIndex:
-    """postings (term, chunk_id, tf, dl), terms (term, df, idf), totals (one row: n, avgdl), chunks (chunk_id), texts (chunk_id, text)."""
+    """blocks (shard, term, at, tf), docs (shard, chunk_ids, dl), terms (term, df, idf), totals (one row: n, avgdl)."""
 
-    postings: DataFrame
+    blocks: DataFrame
+    docs: DataFrame
     terms: DataFrame
     totals: DataFrame
-    chunks: DataFrame
-    texts: DataFrame
 
 
-def build_index(chunks: DataFrame, id_col: str, text_col: str) -> SparseIndex:
-    """The index of ``text_col``. Negative idf become EPSILON times the mean over the vocabulary. Term counts, as many rows as the vocabulary, are written once; totals are one row, joined back."""
+def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(term, chunk_id, tf, dl): how often each term occurs in each chunk, and how many tokens the chunk has."""
     tokens = chunks.select(F.col(id_col).alias("chunk_id"), tokenize(F.col(text_col)).alias("tokens"))
     # explode_outer: for explode Spark would tokenize twice, once to filter out empty arrays
     exploded = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where(F.col("term").isNotNull())
-    postings = exploded.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    ids = chunks.select(F.col(id_col).alias("chunk_id"))
-    counted = settle(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
-    totals = counted.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("cf")).crossJoin(ids.agg(F.count("*").alias("n"))).select("n", (F.col("cf") / F.greatest("n", F.lit(1))).alias("avgdl"))
-    totals = settle(totals)
+    return exploded.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).select("term", "chunk_id", "tf", "dl")
+
+
+_SHARD = pa.schema([("shard", pa.int32()), ("term", pa.string()), ("at", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32())), ("chunk_ids", pa.list_(pa.string())), ("dl", pa.list_(pa.int32()))])
+_SHARD_DDL = "shard int, term string, at array<int>, tf array<int>, chunk_ids array<string>, dl array<int>"
+
+
+def _shard(table: pa.Table) -> pa.Table:
+    """The rows of one shard: its chunks in order of their ids, and each term's places among them."""
+    rows = sorted(zip(table.column("chunk_id").to_pylist(), table.column("text").to_pylist(), strict=True))
+    places: dict[str, list[int]] = {}
+    times: dict[str, list[int]] = {}
+    lengths = []
+    for at, (_, text) in enumerate(rows):
+        tokens = _TOKENS.findall((text or "").lower())
+        lengths.append(len(tokens))
+        for term, tf in Counter(tokens).items():
+            places.setdefault(term, []).append(at)
+            times.setdefault(term, []).append(tf)
+    terms, shard = sorted(places), table.column("shard")[0].as_py()
+    none = [None] * len(terms)
+    return pa.table({"shard": [shard] * (len(terms) + 1), "term": [None, *terms], "at": [None, *(places[t] for t in terms)], "tf": [None, *(times[t] for t in terms)], "chunk_ids": [[i for i, _ in rows], *none], "dl": [lengths, *none]}, schema=_SHARD)
+
+
+def _shards(chunks: DataFrame, id_col: str, text_col: str, shard_chunks: int) -> DataFrame:
+    count = int(max(chunks.sparkSession.sparkContext.defaultParallelism, -(-chunks.count() // shard_chunks)))
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")).where(F.col("chunk_id").isNotNull())
+    return rows.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(count)).cast("int")).repartition(count, "shard").groupBy("shard").applyInArrow(_shard, _SHARD_DDL)
+
+
+def _of(shards: DataFrame) -> SparseIndex:
+    """The index of shard rows. Negative idf become EPSILON times the mean over the vocabulary."""
+    blocks = shards.where(F.col("term").isNotNull()).select("shard", "term", "at", "tf")
+    docs = shards.where(F.col("term").isNull()).select("shard", "chunk_ids", "dl")
+    totals = docs.agg(F.coalesce(F.sum(F.size("chunk_ids")), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum(F.aggregate("dl", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0)).alias("cf"))
+    totals = settle(totals.select("n", (F.col("cf") / F.greatest("n", F.lit(1))).alias("avgdl")))
+    counted = settle(blocks.groupBy("term").agg(F.sum(F.size("at")).cast("long").alias("df")))
     raw = counted.crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return SparseIndex(postings, terms, totals, ids, chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")))
-
-
-def _with_terms(postings: DataFrame, weighed: DataFrame) -> DataFrame:
-    """Postings of the queries' terms. Few query terms are broadcast, so that postings stay where they are; more are joined by a shuffle in which a term's postings are spread over SALTS tasks."""
-    if weighed.count() <= BROADCAST_ROWS:
-        return postings.join(F.broadcast(weighed), "term")
-    salted = weighed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return postings.withColumn("salt", F.pmod(F.hash("chunk_id"), F.lit(SALTS))).join(salted, ["term", "salt"]).drop("salt")
-
-
-def _weighed(index: SparseIndex, queries: DataFrame, query_col: str, text_col: str) -> DataFrame:
-    """(query_id, term, qtf, idf) of the queries' terms that the index has."""
-    asked = queries.select(F.col(query_col).alias("query_id"), F.explode(tokenize(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    return settle(asked.join(index.terms.select("term", "idf"), "term"))
-
-
-def scores(index: SparseIndex, queries: DataFrame, query_col: str = "query_id", text_col: str = "question") -> DataFrame:
-    """(query_id, chunk_id, bm25_score) of the chunks that share a term with a query; a repeated term counts each time."""
-    weighed = _weighed(index, queries, query_col, text_col)
-    hits = _with_terms(index.postings, weighed).crossJoin(F.broadcast(index.totals))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("bm25_score"))
-
-
-def _top_k_blocks(index: SparseIndex, asked: DataFrame, weighed: DataFrame, k: int) -> DataFrame:
-    totals = index.totals.first()
-    avgdl = totals.avgdl or 1.0
-    by_query: dict[str, list[tuple[str, float]]] = {r.query_id: [] for r in asked.select("query_id").distinct().collect()}
-    for row in weighed.collect():
-        by_query[row.query_id].append((row.term, row.qtf * row.idf))
-    names = sorted(by_query)
-    places: dict[str, int] = {}
-    blocks = []
-    for low in range(0, len(names), QUERY_BLOCK):
-        ids = names[low : low + QUERY_BLOCK]
-        entries = [(row, places.setdefault(term, len(places)), weight) for row, name in enumerate(ids) for term, weight in by_query[name]]
-        blocks.append((ids, entries))
-    shared = asked.sparkSession.sparkContext.broadcast((places, blocks))
-    schema = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("bm25_score", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, blocks = shared.value
-        tables = []
-        for ids, entries in blocks:
-            used = sorted({place for _, place, _ in entries})
-            local = np.full(len(places) + 1, -1, dtype=np.int64)
-            local[used] = np.arange(len(used))
-            weights = np.zeros((len(ids), len(used)))
-            for row, place, weight in entries:
-                weights[row, local[place]] += weight
-            tables.append((ids, local, weights))
-        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(tables)
-        for batch in batches:
-            order = np.argsort(np.array(batch.column(0).to_pylist(), dtype=object), kind="stable")
-            chunk_ids = np.array(batch.column(0).to_pylist(), dtype=object)[order]
-            texts = batch.column(1).to_pylist()
-            rows, terms, lengths = [], [], np.zeros(len(order))
-            for row, at in enumerate(order):
-                tokens = _TOKENS.findall((texts[at] or "").lower())
-                lengths[row] = len(tokens)
-                known = [places[t] for t in tokens if t in places]
-                terms += known
-                rows += [row] * len(known)
-            cells, tf = np.unique(np.array(rows, dtype=np.int64) * (len(places) + 1) + np.array(terms, dtype=np.int64), return_counts=True)
-            row_of, term_of = cells // (len(places) + 1), cells % (len(places) + 1)
-            share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row_of] / avgdl))
-            for number, (ids, local, weights) in enumerate(tables):
-                width = max(64, CELLS // max(1, weights.shape[1]))
-                for low in range(0, len(order), width):
-                    high = min(low + width, len(order))
-                    inside = (row_of >= low) & (row_of < high) & (local[term_of] >= 0)
-                    dense = np.zeros((weights.shape[1], high - low))
-                    dense[local[term_of[inside]], row_of[inside] - low] = share[inside]
-                    scored = _rounded(weights @ dense)
-                    top = np.argsort(-scored, axis=1, kind="stable")[:, :k]
-                    found = (np.take_along_axis(scored, top, axis=1), chunk_ids[low:high][top])
-                    best[number] = found if best[number] is None else _merged(best[number], found, k)
-        for (ids, _, _), kept in zip(tables, best, strict=True):
-            if kept is not None and kept[0].size:
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array(ids, dtype=object), kept[0].shape[1]).tolist(), "chunk_id": kept[1].ravel().tolist(), "bm25_score": kept[0].ravel()}, schema=schema)
-
-    near = index.texts.mapInArrow(run, "query_id string, chunk_id string, bm25_score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bm25_score"), "chunk_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "bm25_score")
+    return SparseIndex(blocks, docs, terms, totals)
 
 
-_TOKENS = re.compile("[a-z0-9]+")
+def build_index(chunks: DataFrame, id_col: str, text_col: str, shard_chunks: int = SHARD_CHUNKS) -> SparseIndex:
+    """The index of ``text_col``, its shards kept by a checkpoint. A null text has no terms; rows with a null id take no part."""
+    return _of(settle(_shards(chunks, id_col, text_col, shard_chunks)))
+
+
+def write_index(chunks: DataFrame, id_col: str, text_col: str, path: str, shard_chunks: int = SHARD_CHUNKS) -> SparseIndex:
+    """Writes the index of ``text_col`` and returns it, opened: shard rows in order of terms, so that a query's terms skip the others, and the terms."""
+    _shards(chunks, id_col, text_col, shard_chunks).sortWithinPartitions("shard", "term").write.mode("overwrite").parquet(f"{path}/shards")
+    built = _of(chunks.sparkSession.read.parquet(f"{path}/shards"))
+    built.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    built.totals.write.mode("overwrite").parquet(f"{path}/totals")
+    return open_index(chunks.sparkSession, path)
+
+
+def open_index(spark: SparkSession, path: str) -> SparseIndex:
+    """A stored index; RuntimeError where there is none."""
+    try:
+        shards, terms, totals = (spark.read.parquet(f"{path}/{name}") for name in ("shards", "terms", "totals"))
+    except AnalysisException as error:
+        raise RuntimeError(f"sparse index not found in {path}; build it first") from error
+    return SparseIndex(shards.where(F.col("term").isNotNull()).select("shard", "term", "at", "tf"), shards.where(F.col("term").isNull()).select("shard", "chunk_ids", "dl"), terms, totals)
 
 
 def _rounded(values: np.ndarray) -> np.ndarray:
@@ -142,41 +114,63 @@ def _rounded(values: np.ndarray) -> np.ndarray:
     return np.copysign(np.floor(np.abs(values) * 1e6 + 0.5) / 1e6, values) + 0.0
 
 
-def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best k of two tables of scores and ids, ties by id."""
-    scores, ids = np.concatenate([a[0], b[0]], axis=1), np.concatenate([a[1], b[1]], axis=1)
-    codes = np.unique(ids.astype(str), return_inverse=True)[1].reshape(ids.shape)
-    by_id = np.argsort(codes, axis=1, kind="stable")
-    order = np.take_along_axis(by_id, np.argsort(-np.take_along_axis(scores, by_id, axis=1), axis=1, kind="stable"), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, best first, ties in order of place."""
+    if k >= len(scores):
+        return np.argsort(-scores, kind="stable")
+    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+    above = np.flatnonzero(scores > least)
+    kept = np.r_[above, np.flatnonzero(scores == least)[: k - len(above)]]
+    return kept[np.lexsort((kept, -scores[kept]))]
+
+
+_FOUND = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("bm25_score", pa.float64())])
+
+
+def _scored(k: int):  # noqa: ANN202
+    """The best k chunks of one shard for each query of one block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        head = next(row for row in rows if row["term"] is None)
+        lengths, queries = np.array(head["dl"], dtype=np.float64), {q: n for n, q in enumerate(head["query_ids"])}
+        norm = K1 * (1 - B + B * lengths / (head["avgdl"] or 1.0))
+        scores = np.zeros((len(queries), len(lengths)))
+        for row in rows:
+            if row["term"] is not None:
+                at, tf = np.array(row["at"]), np.array(row["tf"], dtype=np.float64)
+                share = tf * (K1 + 1) / (tf + norm[at])
+                for ask in row["asks"]:
+                    scores[queries[ask["query_id"]], at] += ask["weight"] * share
+        scores = _rounded(scores)
+        ids = np.array(head["chunk_ids"], dtype=object)
+        out: dict[str, list] = {name: [] for name in _FOUND.names}
+        for query, number in queries.items():
+            best = _best(scores[number], k)
+            out["query_id"] += [query] * len(best)
+            out["chunk_id"] += ids[best].tolist()
+            out["bm25_score"] += scores[number][best].tolist()
+        return pa.table(out, schema=_FOUND)
+
+    return run
 
 
 def top_k(index: SparseIndex, queries: DataFrame, k: int, query_col: str = "query_id", text_col: str = "question") -> DataFrame:
     """(query_id, rank, chunk_id, bm25_score): k rows of each query while there are chunks, those without a hit with score 0.
 
-    Ties go by chunk_id. Up to BROADCAST_ROWS query terms, blocks of chunks are scored against blocks of queries as products
-    of matrices, and each task keeps the best k rows a query. Beyond that, postings are joined by term; chunks without
-    a hit are then needed only for queries with fewer than k positive scores, and the first of them are among the first k
-    plus as many chunks as the query has hits. A null query text is one without terms.
+    Ties go by chunk_id. A repeated term counts each time; a null query text is one without terms; a null query id takes no part; a repeated query counts once. Blocks of queries
+    meet the shards; of a shard only the rows of the block's terms are read. Shuffled are those rows and k rows for each query and shard.
     """
-    asked = queries.select(F.col(query_col).alias("query_id"), F.col(text_col).alias("question"))
-    weighed = _weighed(index, asked, "query_id", "question")
-    if asked.count() + weighed.count() <= BROADCAST_ROWS:
-        return _top_k_blocks(index, asked, weighed, k)
+    asked = queries.select(F.col(query_col).cast("string").alias("query_id"), F.col(text_col).alias("question")).where(F.col("query_id").isNotNull()).dropDuplicates(["query_id"])
+    count = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int"))
+    counted = asked.select("block", "query_id", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("block", "query_id", "term").agg(F.count("*").alias("qtf"))
+    weighed = counted.join(index.terms.select("term", "idf"), "term").select("block", "term", F.struct("query_id", (F.col("qtf") * F.col("idf")).alias("weight")).alias("ask"))
+    weighed = settle(weighed.groupBy("block", "term").agg(F.collect_list("ask").alias("asks")))  # at most QUERY_BLOCK queries a row
+    held = asked.groupBy("block").agg(F.collect_list("query_id").alias("query_ids"))
+    matched = index.blocks.join(weighed, "term").select("shard", "block", "term", "at", "tf", "asks")
+    heads = index.docs.crossJoin(F.broadcast(index.totals.select("avgdl"))).crossJoin(held)  # shards by blocks of queries
+    both = union_all(matched, heads.select("shard", "block", "chunk_ids", "dl", "avgdl", "query_ids"), missing=True)
+    near = both.groupBy("shard", "block").applyInArrow(_scored(k), "query_id string, chunk_id string, bm25_score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bm25_score"), "chunk_id"))
-
-    def best(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "bm25_score")
-
-    matched = settle(best(scores(index, asked)))  # k rows a query
-    positive = matched.where("bm25_score > 0").groupBy("query_id").agg(F.count("*").alias("positive"))
-    short = settle(asked.join(positive, "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k).select("query_id", "question"))
-    if short.isEmpty():
-        return matched
-    hits = settle(scores(index, short).select("query_id", "chunk_id", "bm25_score"))
-    reach = short.join(hits.groupBy("query_id").agg(F.count("*").alias("hits")), "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) + k).cast("int").alias("reach"))
-    most = reach.agg(F.max("reach")).first()[0]
-    first = index.chunks.orderBy("chunk_id").limit(most).select("chunk_id", F.row_number().over(W.orderBy("chunk_id")).alias("ordinal"))
-    filler = reach.select("query_id", F.explode(F.sequence(F.lit(1), "reach")).alias("ordinal")).join(first, "ordinal").join(hits, ["query_id", "chunk_id"], "left_anti")
-    filled = best(union_all(hits, filler.select("query_id", "chunk_id", F.lit(0.0).alias("bm25_score"))))
-    return union_all(matched.join(short, "query_id", "left_anti"), filled)
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "bm25_score")

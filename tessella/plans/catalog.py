@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.functions.vectors import embed
-from tessella.operators import answering, chunking, dense, evaluation, fusion, sparse
+from tessella.operators import answering, chunking, dense, evaluation, fusion, judging, sparse
 from tessella.plans import retrieval as R
-from tessella.session import settle, spread, union_all
-from tessella.sources import xml_pairs
-from tessella.sources.tables import table
+from tessella.session import settle, shared_folder, spread, union_all
+from tessella.sources import sinks, xml_pairs
+from tessella.sources.tables import MissingInput, table
 from tessella.streaming.requests import reject_reason
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,7 +102,7 @@ def embed_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hashed_embedding(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = embed(R.with_texts(R.corpus(spark, folder)), "chunk_id", "dense_text")
+    vectors = R.stored(spark, folder).vectors
     return vectors.select("chunk_id", F.posexplode("embedding").alias("dim", "value")).where("value != 0").select("chunk_id", "dim", F.round("value", 6).alias("value"))
 
 
@@ -120,68 +120,64 @@ def label_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dense_chunk_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return R.dense_top_k(R.eval_queries(spark, folder), R.corpus(spark, folder), R.TOP_K)
-
-
-def _index(spark: SparkSession, folder: str) -> sparse.SparseIndex:
-    return sparse.build_index(R.with_texts(R.corpus(spark, folder)), "chunk_id", "sparse_text")
+    return R.dense_top_k(R.eval_queries(spark, folder), R.stored(spark, folder), R.TOP_K)
 
 
 def bm25_postings(spark: SparkSession, folder: str) -> DataFrame:
-    return _index(spark, folder).postings.select("term", "chunk_id", "tf", F.col("dl").cast("long").alias("dl"))
+    return sparse.postings(R.with_texts(R.stored(spark, folder).chunks), "chunk_id", "sparse_text").select("term", "chunk_id", "tf", F.col("dl").cast("long").alias("dl"))
 
 
 def bm25_idf(spark: SparkSession, folder: str) -> DataFrame:
-    return _index(spark, folder).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.stored(spark, folder).sparse.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return R.sparse_top_k(R.eval_queries(spark, folder), R.corpus(spark, folder), R.TOP_K)
+    return R.sparse_top_k(R.eval_queries(spark, folder), R.stored(spark, folder), R.TOP_K)
 
 
 def bm25_no_match(spark: SparkSession, folder: str) -> DataFrame:
     asked = R.eval_queries(spark, folder).select("query_id", F.lit(NO_MATCH).alias("question"))
-    return R.sparse_top_k(asked, R.corpus(spark, folder), R.TOP_K)
+    return R.sparse_top_k(asked, R.stored(spark, folder), R.TOP_K)
 
 
 def rrf_fuse(spark: SparkSession, folder: str) -> DataFrame:
-    return R.fused(R.eval_queries(spark, folder), R.corpus(spark, folder))
+    return R.fused(R.eval_queries(spark, folder), R.stored(spark, folder))
 
 
 def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return R.hybrid(R.eval_queries(spark, folder), R.corpus(spark, folder), use_reranker=False).select("query_id", "rank", "chunk_id", "rrf_score")
+    return R.hybrid(R.eval_queries(spark, folder), R.stored(spark, folder), use_reranker=False).select("query_id", "rank", "chunk_id", "rrf_score")
 
 
 def rerank_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    ranked = R.fused(R.eval_queries(spark, folder), R.corpus(spark, folder)).join(R.corpus(spark, folder).select("chunk_id", "chunk_text"), "chunk_id")
+    ranked = R.fused(R.eval_queries(spark, folder), R.stored(spark, folder)).join(R.stored(spark, folder).chunks.select("chunk_id", "chunk_text"), "chunk_id")
     return fusion.dedup(ranked).select("query_id", "rank", "chunk_id")
 
 
 def rerank_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return R.hybrid(R.eval_queries(spark, folder), R.corpus(spark, folder)).select("query_id", "rank", "chunk_id", "rerank_score")
+    return R.hybrid(R.eval_queries(spark, folder), R.stored(spark, folder)).select("query_id", "rank", "chunk_id", "rerank_score")
 
 
 def confidence_gate(spark: SparkSession, folder: str) -> DataFrame:
     asked = R.eval_queries(spark, folder)
-    return answering.gate(asked, R.hybrid(asked, R.corpus(spark, folder)), "rerank_score")
+    return answering.gate(asked, R.hybrid(asked, R.stored(spark, folder)), "rerank_score")
 
 
 def gate_without_reranker(spark: SparkSession, folder: str) -> DataFrame:
     asked = R.eval_queries(spark, folder)
-    return answering.gate(asked, R.hybrid(asked, R.corpus(spark, folder), use_reranker=False), "rrf_score")
+    return answering.gate(asked, R.hybrid(asked, R.stored(spark, folder), use_reranker=False), "rrf_score")
 
 
 def sources_struct(spark: SparkSession, folder: str) -> DataFrame:
-    return answering.sources(R.hybrid(R.eval_queries(spark, folder), R.corpus(spark, folder)), "rerank_score")
+    return answering.sources(R.hybrid(R.eval_queries(spark, folder), R.stored(spark, folder)), "rerank_score")
 
 
 def context_block(spark: SparkSession, folder: str) -> DataFrame:
-    return answering.context(R.hybrid(R.eval_queries(spark, folder), R.corpus(spark, folder)))
+    return answering.context(R.hybrid(R.eval_queries(spark, folder), R.stored(spark, folder)))
 
 
 def generate_answer(spark: SparkSession, folder: str) -> DataFrame:
     asked = R.eval_queries(spark, folder)
-    return answering.answers(asked, settle(R.hybrid(asked, R.corpus(spark, folder))), "rerank_score")
+    return answering.answers(asked, settle(R.hybrid(asked, R.stored(spark, folder))), "rerank_score")
 
 
 def query_rewrite(spark: SparkSession, folder: str) -> DataFrame:
@@ -189,7 +185,7 @@ def query_rewrite(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rewritten_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return R.hybrid(R.eval_queries(spark, folder), R.corpus(spark, folder), rewrite=R.dictionary).select("query_id", "rank", "chunk_id", "rerank_score")
+    return R.hybrid(R.eval_queries(spark, folder), R.stored(spark, folder), rewrite=R.dictionary).select("query_id", "rank", "chunk_id", "rerank_score")
 
 
 def request_validation(spark: SparkSession, folder: str) -> DataFrame:
@@ -224,10 +220,10 @@ def eval_type_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
     """The evaluation items with their gold pair's ranks at each stage and the gate's decision."""
-    items, chunks = R.eval_queries(spark, folder), R.corpus(spark, folder)
-    near = settle(R.dense_top_k(items, chunks, R.CANDIDATES))  # a few rows a query, as below
-    fused = settle(fusion.reciprocal_rank_fusion([near, R.sparse_top_k(items, chunks, R.CANDIDATES)]))
-    best = settle(R.best_of(fused, items, chunks))
+    items, store = R.eval_queries(spark, folder), R.stored(spark, folder)
+    near = settle(R.dense_top_k(items, store, R.CANDIDATES))  # a few rows a query, as below
+    fused = settle(fusion.reciprocal_rank_fusion([near, R.sparse_top_k(items, store, R.CANDIDATES)]))
+    best = settle(R.best_of(fused, items, store.chunks))
     out = items
     for ranked, name in ((near.where(F.col("rank") <= R.TOP_K), "dense_rank"), (fused, "fused_rank"), (best, "hybrid_rank")):
         out = evaluation.gold_ranks(out, ranked, name)
@@ -236,7 +232,7 @@ def _judged(spark: SparkSession, folder: str) -> DataFrame:
 
 def recall_at_k(spark: SparkSession, folder: str) -> DataFrame:
     items = R.eval_queries(spark, folder).where(F.col("gold_pair_uid").isNotNull())
-    near = evaluation.gold_ranks(items, R.dense_top_k(items, R.corpus(spark, folder), R.TOP_K), "found")
+    near = evaluation.gold_ranks(items, R.dense_top_k(items, R.stored(spark, folder), R.TOP_K), "found")
     return near.select("query_id", F.col("found").isNotNull().alias("hit"))
 
 
@@ -275,11 +271,108 @@ def xml_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return xml_pairs.qa_pairs(parsed).select(F.col("name").alias("pair_uid"), "doc_id", "qid", "qtype", "question", "answer", "url")
 
 
+def _best(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The evaluation items and the reranked rows of each, written once."""
+    asked = R.eval_queries(spark, folder)
+    return asked, settle(R.hybrid(asked, R.stored(spark, folder)))
+
+
+def judge_run(spark: SparkSession, folder: str) -> DataFrame:
+    graded = judging.judge_run(*_best(spark, folder), "rerank_score")
+    return graded.select("query_id", "answer", "confidence", F.col("groundedness").cast("double").alias("groundedness"), F.col("relevance").cast("double").alias("relevance"), "raw")
+
+
+def judge_calibration(spark: SparkSession, folder: str) -> DataFrame:
+    return judging.calibration(*_best(spark, folder), "rerank_score").select("query_id", F.col("groundedness").cast("double").alias("groundedness"), "calibrated")
+
+
+def probe_status(spark: SparkSession, folder: str) -> DataFrame:
+    return judging.probe(*_best(spark, folder), "rerank_score")
+
+
+def dense_single(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    vector = rows.where("vec_id = 0").select("embedding").first()[0]
+    return dense.nearest(rows, "vec_id", "embedding", vector, 10).select("rank", F.col("id").cast("long").alias("vec_id"), "score")
+
+
+def index_build(spark: SparkSession, folder: str) -> DataFrame:
+    """The vector index of one strategy, written, opened and read."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index = sinks.build_index(R.with_texts(R.stored(spark, folder).chunks), path, "sentence")
+    return index.select("chunk_id", F.size("embedding").cast("long").alias("n_dimensions"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("squared_length"), "focus", "source", "url", "question")
+
+
+def index_count(spark: SparkSession, folder: str) -> DataFrame:
+    counts = [(strategy, sinks.index_count(R.stored(spark, folder, strategy).vectors)) for strategy in chunking.STRATEGIES]
+    return spark.createDataFrame(counts, "strategy string, n_vectors long")
+
+
+def _error_of(make: Callable[[], object]) -> str:
+    try:
+        make()
+    except (MissingInput, RuntimeError) as error:
+        return f"{type(error).__name__}: {str(error).rsplit('; ', 1)[-1]}"
+    return "none"
+
+
+def missing_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """What a user is told who opens what was never made."""
+    none = f"{shared_folder(spark)}/none"
+    rows = [
+        ("table", _error_of(lambda: table(spark, none, "chunks", "chunking"))),
+        ("vector index", _error_of(lambda: sinks.open_index(spark, none, "sentence"))),
+        ("sparse index", _error_of(lambda: sparse.open_index(spark, none))),
+    ]
+    return spark.createDataFrame(rows, "step string, error string")
+
+
+def xml_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs written as a tree of XML files, at most 1,000 pairs each, some cut off and some in excluded folders, then listed and parsed."""
+    sources = table(spark, folder, "sources").select(F.col("source").alias("code"), "subset_dir", "excluded")
+    excluded = tuple(row.subset_dir for row in sources.where("excluded").select("subset_dir").collect())  # the fixed list of sources
+    pairs = _pairs(spark, folder).join(F.broadcast(sources), F.col("source") == F.col("code"), "left")
+    pairs = pairs.select("pair_uid", "qid", "qtype", "question", "answer", F.coalesce("subset_dir", F.lit("0_Other_QA")).alias("subset"), F.substring("pair_uid", 1, 5).alias("bucket"))
+    elements = pairs.select("subset", "bucket", F.struct("pair_uid", xml_pairs.pair_element().alias("x")).alias("e")).groupBy("subset", "bucket").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    none = F.lit(None).cast("string")
+    whole = xml_pairs.document(F.array_join(F.transform("e", lambda e: e["x"]), ""), F.concat_ws("-", "subset", "bucket"), F.col("subset"), none, none, none)
+    content = F.when(F.col("bucket").endswith("1"), F.substring(whole, 1, F.floor(F.length(whole) / 2).cast("int"))).otherwise(whole)
+    root = f"{shared_folder(spark)}/xml-{uuid.uuid4().hex}"
+    sinks.write_files(elements.select(F.concat("subset", F.lit("/part/"), "bucket", F.lit(".xml")).alias("path"), content.alias("content")), "path", "content", root)
+    parsed = xml_pairs.parse(xml_pairs.list_files(spark, root, excluded), "path", "content")
+    return xml_pairs.qa_pairs(parsed).select("doc_id", F.col("source").alias("subset"), "qid", "qtype", "question", "answer", "url")
+
+
+def _sink_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(spark, folder).select("pair_uid", "qid", "source", T.clean_text(F.col("question")).alias("question"), F.nullif(T.clean_text(F.col("answer")), F.lit("")).alias("answer"))
+
+
+def jsonl_sink(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    sinks.write_json_lines(_sink_rows(spark, folder), path)
+    return sinks.read_json_lines(spark, path, "pair_uid string, qid string, source string, question string, answer string")
+
+
+def csv_sink(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows = _sink_rows(spark, folder)
+    sinks.write_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
+
+
+def report_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus statistics as an indented JSON file, read again."""
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}.json"
+    report = word_stats(spark, folder)
+    sinks.write_report(report, path)
+    return spark.read.schema(report.schema).option("multiLine", True).json(path)
+
+
 QUERIES: tuple[Query, ...] = (
     clean_text, sentence_split, fixed_size_chunks, sentence_chunks, semantic_chunks, chunk_stats, tokenize, word_stats, qtype_top10, duplicate_qids, source_set, pair_uid_assign, extract_pair_uid, chunk_id_build,
     embed_text, hashed_embedding, dense_topk, label_recall, dense_chunk_topk, bm25_postings, bm25_idf, bm25_topk, bm25_no_match, rrf_fuse, hybrid_topk, rerank_dedup, rerank_topk, confidence_gate, gate_without_reranker,
     sources_struct, context_block, generate_answer, query_rewrite, rewritten_topk, request_validation, request_stats, jsonl_read, stratified_sample, eval_set_union, eval_type_counts, recall_at_k, retrieval_report, find_rank,
-    diagnose, probe_summary, judge_parse, judge_averages, xml_roundtrip,
+    diagnose, probe_summary, judge_parse, judge_averages, xml_roundtrip, judge_run, judge_calibration, probe_status, dense_single, index_build, index_count, missing_steps, xml_folder, jsonl_sink, csv_sink, report_sink,
 )
 
 

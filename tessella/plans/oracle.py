@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessella.plans.catalog import NO_MATCH
 from tessella.operators.answering import REFUSAL
+from tessella.operators.judging import FABRICATED, JUDGED
 from tessella.plans.retrieval import CANDIDATES, REWRITES, TOP_K
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -132,6 +133,12 @@ def _rewritten(col: str) -> str:
 _INTEGERS = {"sentence_split": "sentence_no", **dict.fromkeys(("fixed_size_chunks", "sentence_chunks", "semantic_chunks", "chunk_id_build"), "chunk_index"), **dict.fromkeys(("dense_topk", "dense_chunk_topk", "bm25_topk", "bm25_no_match", "rrf_fuse", "hybrid_topk", "rerank_dedup", "rerank_topk", "rewritten_topk"), "rank"), "sources_struct": '"index"'}
 
 
+def _word_stats() -> str:
+    return _with(_PAIRS) + f"""
+select count(*) as n_pairs, count(distinct doc_id) as n_docs, count(distinct source) as n_sources, round(avg({_words(_clean('answer'))}), 6) as mean_words, median({_words(_clean('answer'))})::double as median_words, max({_words(_clean('answer'))}) as max_words,
+  round(100.0::double * (select coalesce(sum(n), 0) from (select count(*) as n from pairs group by qid) where n > 1) / count(*), 6) as shared_qid_percent from pairs"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name, with Spark's types."""
     return {name: f"select * replace ({_INTEGERS[name]}::int as {_INTEGERS[name]}) from ({sql.strip()})" if name in _INTEGERS else sql for name, sql in _sql().items()}
@@ -144,7 +151,42 @@ marked as (select source, pair_uid, question, {_words(_clean('answer'))} >= 40 a
 kept as (select * from (select *, bool_or(ok) over (partition by source) as any_ok from marked) where ok or not any_ok),
 real as (select source, pair_uid, question from kept qualify row_number() over (partition by source order by md5('42:' || pair_uid), pair_uid) <= 4)"""
     judge = """judged as (select item_id, case item_id % 3 when 0 then (item_id % 5 + 1)::int end as groundedness, case item_id % 3 when 0 then 4 end as relevance from eval_items)"""
+    graded = f"""first as (select query_id, question from (select *, row_number() over (order by query_id::bigint) as nth from queries where item_type = 'real') where nth <= {JUDGED}),
+passed as (select f.query_id, f.question, c.context, g.confidence, substr(b.chunk_text, 1, 200) || ' [1]' as answer from first f join gate g using (query_id) join context c using (query_id) join best b on b.query_id = f.query_id and b.rank = 1 where not g.refused)"""
+
+    def share(of: str, among: str) -> str:
+        return f"1 + round(4.0::double * len(list_intersect(list_distinct({_tokens(of)}), list_distinct({_tokens(among)}))) / len(list_distinct({_tokens(of)})), 0)"
+
+    to_graded = (*_TO_BEST, _CONTEXT, _gate("best", "rerank_score"), graded)
+    sink = f"select pair_uid, qid, source, {_clean('question')} as question, nullif({_clean('answer')}, '') as answer from pairs"
     return {
+        "judge_run": _with(*to_graded) + f"""
+select query_id, answer, confidence, case when ok then {share('answer', 'context')} end as groundedness, case when ok then {share('question', "(answer || ' ' || context)")} end as relevance, case when not ok then 'nothing to grade' end as raw
+from (select *, len({_tokens('answer')}) > 0 and len({_tokens('question')}) > 0 as ok from passed)""",
+        "judge_calibration": _with(*to_graded) + f"""
+select query_id, case when ok then g end as groundedness, coalesce(case when ok then g end <= 2, false) as calibrated
+from (select query_id, {share(f"'{FABRICATED}'", 'context')} as g, len({_tokens('question')}) > 0 as ok from passed)""",
+        "probe_status": _with(*_TO_BEST, _gate("best", "rerank_score")) + """
+select g.query_id, q.item_type as category, case when g.refused then 'REFUSED' else 'ANSWERED' end as status, g.confidence, b.focus as top_focus, replace(substr(b.chunk_text, 1, 100), chr(10), ' ') as top_preview
+from gate g join queries q using (query_id) left join best b on b.query_id = g.query_id and b.rank = 1""",
+        "dense_single": """
+select row_number() over (order by score desc, vec_id::varchar)::int as rank, vec_id, score from (
+  select e.vec_id, round(list_dot_product(q.embedding::double[], e.embedding::double[]) / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) + 1e-8::double), 6) as score
+  from embeddings e, (select embedding from embeddings where vec_id = 0) q) qualify row_number() over (order by score desc, vec_id::varchar) <= 10""",
+        "index_build": _with(_CORPUS, _vectors("cv", "chunk_id", "texts", "dense_text")) + """
+select t.chunk_id, 64::bigint as n_dimensions, round(coalesce(s.l, 0.0::double), 6) as squared_length, t.focus, t.source, t.url, t.question
+from texts t left join (select chunk_id, sum(v * v) as l from cv group by chunk_id) s using (chunk_id)""",
+        "index_count": "select strategy, count(distinct chunk_id) as n_vectors from chunks group by strategy",
+        "missing_steps": "select * from (values ('table', 'MissingInput: run chunking first'), ('vector index', 'RuntimeError: build it first'), ('sparse index', 'RuntimeError: build it first')) as t(step, error)",
+        "xml_folder": _with(_PAIRS) + f"""
+select doc_id, subset, coalesce(qid, doc_id || '-' || (row_number() over (partition by doc_id order by pair_uid) - 1)) as qid, coalesce(qtype, 'unknown') as qtype, question, answer, '' as url
+from (select pair_uid, subset || '-' || substr(pair_uid, 1, 5) as doc_id, subset, qid, qtype, {_clean('question')} as question, {_clean('answer')} as answer
+  from (select p.*, coalesce(s.subset_dir, '0_Other_QA') as subset, coalesce(s.excluded, false) as excluded from pairs p left join sources s on p.source = s.source)
+  where not excluded and substr(pair_uid, 5, 1) <> '1')
+where question <> '' and answer <> ''""",
+        "jsonl_sink": _with(_PAIRS) + sink,
+        "csv_sink": _with(_PAIRS) + sink,
+        "report_sink": _word_stats(),
         "clean_text": f"select pair_uid, {_clean('question')} as question, {_clean('answer')} as answer from qa_pairs",
         "sentence_split": _with(_ANSWERS, _SENTENCES) + "select pair_uid, n as sentence_no, s as sentence from sentences",
         "fixed_size_chunks": _with(_ANSWERS) + """
@@ -158,9 +200,7 @@ select pair_uid, row_number() over (partition by pair_uid order by grp, part) -
 select pair_uid, row_number() over (partition by pair_uid order by grp) - 1 as chunk_index, body as chunk_text from packed""",
         "chunk_stats": f"select strategy, count(*) as n_chunks, round(avg({_words('chunk_text')}), 6) as avg_words, max({_words('chunk_text')}) as max_words from chunks group by strategy",
         "tokenize": f"select doc_id, len({_tokens('text')}) as n_tokens, array_to_string({_tokens('text')}, ' ') as tokens from documents",
-        "word_stats": _with(_PAIRS) + f"""
-select count(*) as n_pairs, count(distinct doc_id) as n_docs, count(distinct source) as n_sources, round(avg({_words(_clean('answer'))}), 6) as mean_words, median({_words(_clean('answer'))})::double as median_words, max({_words(_clean('answer'))}) as max_words,
-  round(100.0::double * (select coalesce(sum(n), 0) from (select count(*) as n from pairs group by qid) where n > 1) / count(*), 6) as shared_qid_percent from pairs""",
+        "word_stats": _word_stats(),
         "qtype_top10": _with(_PAIRS) + "select qtype, count(*) as n from pairs group by qtype order by n desc, qtype limit 10",
         "duplicate_qids": _with(_PAIRS) + "select qid, count(*) as n from pairs group by qid having count(*) > 1",
         "source_set": _with(_PAIRS) + "select source, count(distinct doc_id) as n_docs from pairs where source is not null group by source",

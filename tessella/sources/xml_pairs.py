@@ -5,7 +5,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -70,26 +70,44 @@ def qa_pairs(parsed: DataFrame) -> DataFrame:
 
 
 def with_sequential_ids(df: DataFrame, order: list[str], name: str = "pair_uid", width: int = 7) -> DataFrame:
-    """Adds ids 0, 1, 2, … in the total order of ``order``, with leading zeros. Ranges are sorted in parallel and offset by the sizes of those before; no task sees all rows."""
-    sorted_rows = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    placed = sorted_rows.withColumns({"_range": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    """Adds ids 0, 1, 2, … in the total order of ``order``, which must tell rows apart, with leading zeros.
+
+    Ranges of the order's columns are sorted in parallel and offset by the sizes of those before; no task sees all rows, and only the order's columns are written. A row's other columns join by them.
+    """
+    keys = df.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = settle(keys).withColumns({"_range": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
     sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
     offsets = sizes.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    joined = placed.join(offsets, F.col("_range") == F.col("_r"))
-    return joined.withColumn(name, padded_id(F.col("_offset") + F.col("_row"), width)).drop("_at", "_range", "_row", "_r", "_offset")
+    numbered = placed.join(F.broadcast(offsets), F.col("_range") == F.col("_r")).select(F.struct(*order).alias("_key"), padded_id(F.col("_offset") + F.col("_row"), width).alias("_id"))
+    if set(df.columns) == set(order):
+        return numbered.select("_key.*", F.col("_id").alias(name))
+    return df.withColumn("_key", F.struct(*order)).join(numbered, "_key").drop("_key").withColumnRenamed("_id", name)
+
+
+def _escaped(col: Column) -> Column:
+    plain = F.regexp_replace(col, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ufffe\\uffff]", "")
+    return F.replace(F.replace(F.replace(F.replace(plain, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+
+
+def _attribute(key: str, col: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(f' {key}="'), _escaped(col), F.lit('"')), F.lit(""))
+
+
+def pair_element() -> Column:
+    """The element of a pair from its columns qid, qtype, question and answer; null parts are left out."""
+    question = F.coalesce(F.concat(F.lit("<Question"), _attribute("qid", F.col("qid")), _attribute("qtype", F.col("qtype")), F.lit(">"), _escaped(F.col("question")), F.lit("</Question>")), F.lit(""))
+    answer = F.coalesce(F.concat(F.lit("<Answer>"), _escaped(F.col("answer")), F.lit("</Answer>")), F.lit(""))
+    return F.concat(F.lit("<QAPair>"), question, answer, F.lit("</QAPair>"))
+
+
+def document(pairs: Column, doc_id: Column, source: Column, url: Column, focus: Column, group: Column) -> Column:
+    """A document around pair elements; null attributes and parts are left out."""
+    head = F.concat(F.lit("<Document"), _attribute("id", doc_id), _attribute("source", source), _attribute("url", url), F.lit(">"))
+    topic = F.coalesce(F.concat(F.lit("<Focus>"), _escaped(focus), F.lit("</Focus>")), F.lit(""))
+    kind = F.coalesce(F.concat(F.lit("<FocusAnnotations><SemanticGroup>"), _escaped(group), F.lit("</SemanticGroup></FocusAnnotations>")), F.lit(""))
+    return F.concat(head, topic, kind, F.lit("<QAPairs>"), pairs, F.lit("</QAPairs></Document>"))
 
 
 def to_xml(pairs: DataFrame) -> DataFrame:
     """(pair_uid, content): one XML document for each pair, as ``parse`` reads them."""
-    def escaped(name: str):  # noqa: ANN202
-        plain = F.regexp_replace(F.col(name), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ufffe\\uffff]", "")
-        return F.replace(F.replace(F.replace(F.replace(plain, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-
-    def attribute(key: str, name: str):  # noqa: ANN202
-        return F.coalesce(F.concat(F.lit(f' {key}="'), escaped(name), F.lit('"')), F.lit(""))
-
-    focus = F.coalesce(F.concat(F.lit("<Focus>"), escaped("focus"), F.lit("</Focus>")), F.lit(""))
-    group = F.coalesce(F.concat(F.lit("<FocusAnnotations><SemanticGroup>"), escaped("semantic_group"), F.lit("</SemanticGroup></FocusAnnotations>")), F.lit(""))
-    question = F.coalesce(F.concat(F.lit("<Question"), attribute("qid", "qid"), attribute("qtype", "qtype"), F.lit(">"), escaped("question"), F.lit("</Question>")), F.lit(""))
-    answer = F.coalesce(F.concat(F.lit("<Answer>"), escaped("answer"), F.lit("</Answer>")), F.lit(""))
-    return pairs.select("pair_uid", F.concat(F.lit("<Document"), attribute("id", "doc_id"), attribute("source", "source"), attribute("url", "url"), F.lit(">"), focus, group, F.lit("<QAPairs><QAPair>"), question, answer, F.lit("</QAPair></QAPairs></Document>")).alias("content"))
+    return pairs.select("pair_uid", document(pair_element(), *(F.col(c) for c in ("doc_id", "source", "url", "focus", "semantic_group"))).alias("content"))

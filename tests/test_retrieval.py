@@ -8,11 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import models
 from tessella.functions.vectors import embed, hashed_bag_of_words
-from tessella.operators import answering, dense, fusion, sparse
+from tessella.operators import answering, dense, fusion, judging, sparse
 from tessella.plans import retrieval
 
-CHUNKS = [("c1", "common symptoms of diabetes include thirst"), ("c2", "asthma makes breathing hard and asthma tires"), ("c3", "migraine is a strong headache"), ("c4", ""), ("c5", "diabetes and asthma may occur together")]
+CHUNKS = [("c1", "copper pipes carry warm water through old houses"), ("c2", "basalt cools from lava and basalt cracks into columns"), ("c3", "owls hunt mice at night"), ("c4", ""), ("c5", "warm lava and water meet at the coast")]
 
 
 def bm25_model(chunks, query, k):
@@ -29,17 +30,46 @@ def bm25_model(chunks, query, k):
     return sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_bm25_against_model(spark, monkeypatch, limit):
-    monkeypatch.setattr(sparse, "BROADCAST_ROWS", limit)
-    queries = [("q1", "diabetes asthma diabetes"), ("q2", "nothing here zzz"), ("q3", "a strong headache"), ("q4", "")]
-    index = sparse.build_index(spark.createDataFrame(CHUNKS, "id string, t string"), "id", "t")
-    got = sparse.top_k(index, spark.createDataFrame(queries, "query_id string, question string"), 3).collect()
-    for q, text in queries:
-        mine = [(r.chunk_id, r.bm25_score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
-        model = bm25_model(CHUNKS, text, 3)
-        assert [c for c, _ in mine] == [c for c, _ in model]
-        assert np.allclose([s for _, s in mine], [s for _, s in model], atol=1e-6)
+QUERIES = [("q1", "lava water lava"), ("q2", "nothing here zzz"), ("q3", "an owl or owls at night"), ("q4", ""), ("q5", None)]
+
+
+@pytest.mark.parametrize("shard,block", [(20_000, 256), (1, 2)])
+def test_bm25_against_model(spark, monkeypatch, tmp_path, shard, block):
+    monkeypatch.setattr(sparse, "QUERY_BLOCK", block)
+    chunks = spark.createDataFrame(CHUNKS, "id string, t string")
+    asked = spark.createDataFrame([*QUERIES, QUERIES[0]], "query_id string, question string")
+    for index in (sparse.build_index(chunks, "id", "t", shard), sparse.write_index(chunks, "id", "t", str(tmp_path), shard), sparse.open_index(spark, str(tmp_path))):
+        got = sparse.top_k(index, asked, 3).collect()
+        assert len(got) == 3 * len(QUERIES)
+        for q, text in QUERIES:
+            mine = [(r.chunk_id, r.bm25_score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+            model = bm25_model(CHUNKS, text or "", 3)
+            assert [c for c, _ in mine] == [c for c, _ in model]
+            assert np.allclose([s for _, s in mine], [s for _, s in model], atol=1e-6)
+
+
+def test_bm25_without_chunks(spark):
+    index = sparse.build_index(spark.createDataFrame([], "id string, t string"), "id", "t")
+    assert sparse.top_k(index, spark.createDataFrame(QUERIES, "query_id string, question string"), 3).count() == 0
+    with pytest.raises(RuntimeError, match="not found"):
+        sparse.open_index(spark, "/nonexistent")
+
+
+def test_best_places():
+    rng = np.random.default_rng(3)
+    for k in (1, 5, 40, 60):
+        scores = rng.integers(-3, 4, 50).astype(float)
+        assert sparse._best(scores, k).tolist() == np.argsort(-scores, kind="stable")[:k].tolist()
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(30, 8))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)] + [(99, None)], "id int, v array<double>")
+    got = dense.nearest(rows, "id", "v", vectors[4].tolist(), 5).collect()
+    norms = np.sqrt((vectors**2).sum(axis=1))
+    want = sorted(range(30), key=lambda k: (-round(float(vectors[k] @ vectors[4] / (norms[k] * norms[4])), 6), str(k)))[:5]
+    assert [(r["rank"], r.id) for r in got] == [(n + 1, str(k)) for n, k in enumerate(want)]
 
 
 def test_dense_blocks(spark):
@@ -87,10 +117,10 @@ def test_dedup_and_rerank(spark):
 
 def test_gate_and_answers(spark):
     queries = spark.createDataFrame([("q1", "one"), ("q2", "two"), ("q3", "three")], "query_id string, question string")
-    rows = spark.createDataFrame([("q1", 1, "c", "Diabetes", "s", "u", "q?", "Drink water.", 2.0), ("q1", 2, "d", None, "s", "u", "q?", "Rest.", 1.0), ("q2", 1, "e", "x", "s", "u", "q?", "No.", -0.5)], "query_id string, rank int, chunk_id string, focus string, source string, url string, question string, chunk_text string, score double")
+    rows = spark.createDataFrame([("q1", 1, "c", "Thirst", "s", "u", "q?", "Drink water.", 2.0), ("q1", 2, "d", None, "s", "u", "q?", "Rest.", 1.0), ("q2", 1, "e", "x", "s", "u", "q?", "No.", -0.5)], "query_id string, rank int, chunk_id string, focus string, source string, url string, question string, chunk_text string, score double")
     gate = {r.query_id: (r.confidence, r.refused) for r in answering.gate(queries, rows, "score").collect()}
     assert gate["q3"] == (0.0, True) and gate["q2"][1] and not gate["q1"][1]
-    assert answering.context(rows).where("query_id = 'q1'").first().context == "[1] (Topic: Diabetes) Drink water.\n\n[2] (Topic: unknown) Rest."
+    assert answering.context(rows).where("query_id = 'q1'").first().context == "[1] (Topic: Thirst) Drink water.\n\n[2] (Topic: unknown) Rest."
     said = {r.query_id: r.answer for r in answering.answers(queries, rows, "score").collect()}
     assert said == {"q1": "Drink water. [1]", "q2": answering.REFUSAL, "q3": answering.REFUSAL}
     array = answering.sources_array(rows, "score").where("query_id = 'q1'").first().sources
@@ -101,3 +131,89 @@ def test_rewrite_fails_open(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("c",)], "q string")
     model = lambda c: F.when(c == "a", "new").when(c == "b", "  ")
     assert [r[0] for r in rows.select(retrieval.rewritten(F.col("q"), model)).collect()] == ["new", "b", "c"]
+
+
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory):
+    rows = [(c, "topic", "s", "u", f"What of {c}?", t) for c, t in CHUNKS if t]
+    chunks = spark.createDataFrame(rows, "chunk_id string, focus string, source string, url string, question string, chunk_text string")
+    return retrieval.write_store(chunks, str(tmp_path_factory.mktemp("store")))
+
+
+def asked_of(spark):
+    rows = [("q1", "lava and water", "real", 1), ("q2", "owls", "real", 2), ("q3", "zzz qqq", "real", 3), ("q4", "copper", "borderline", 4)]
+    return spark.createDataFrame(rows, "query_id string, question string, item_type string, ordinal int")
+
+
+def test_models_reach_every_stage(spark, store):
+    """An embedder, a reranker, a rewriter and a generator from outside, each loaded in the workers."""
+    asked = asked_of(spark)
+    embedder = models.embedder("lengths", lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]))
+    last = models.pair_scorer("last", lambda: lambda queries, texts: [float(ord(t[-1])) for t in texts])
+    got = retrieval.hybrid(asked, store, k=2, reranker=last).collect()
+    best = {r.query_id: r.chunk_id for r in got if r["rank"] == 1}
+    assert all(dict(CHUNKS)[c][-1] == "t" for c in best.values())  # the last letter that scores most
+    assert all(r.rerank_score == float(ord(r.chunk_text[-1])) for r in got)
+    assert retrieval.dense_top_k(asked, retrieval.Store(store.chunks, embed(retrieval.with_texts(store.chunks), "chunk_id", "dense_text", embedder), store.sparse), 1, embedder).count() == 4
+    rewrite = models.text_model("rewrite", lambda: lambda texts: [t.replace("owls", "lava") for t in texts])
+    broken = models.text_model("broken", models.with_key("NO_SUCH_KEY_HERE", lambda key: None), fails_open=True)
+    plain, again, failed = (retrieval.hybrid(asked, store, k=1, rewrite=r) for r in (None, rewrite, broken))
+    of = lambda rows: {r.query_id: r.chunk_id for r in rows.collect()}
+    assert of(failed) == of(plain) and of(again)["q2"] != of(plain)["q2"]
+    shout = models.text_model("shout", lambda: lambda prompts: [p.upper()[:7] for p in prompts])
+    said = answering.answers(asked, retrieval.hybrid(asked, store), "rerank_score", shout).collect()
+    assert {r.answer for r in said if not r.refused} == {"SOURCES"} and {r.answer for r in said if r.refused} == {answering.REFUSAL}
+
+
+def test_client_needs_a_key(spark, monkeypatch):
+    monkeypatch.delenv("NO_SUCH_KEY_HERE", raising=False)
+    with pytest.raises(RuntimeError, match="NO_SUCH_KEY_HERE"):
+        models.with_key("NO_SUCH_KEY_HERE", str)()
+    monkeypatch.setenv("NO_SUCH_KEY_HERE", "k")
+    made = []
+    load = models.with_key("NO_SUCH_KEY_HERE", lambda key: made.append(key) or key)
+    assert [models.once_a_worker("client", load) for _ in range(3)] == ["k"] * 3 and made == ["k"]
+
+
+def test_judge_run(spark, store):
+    asked, ranked = asked_of(spark), retrieval.hybrid(asked_of(spark), store).cache()
+    got = {r.query_id: r for r in judging.judge_run(asked, ranked, "rerank_score", n=3).collect()}
+    assert "q4" not in got and "q3" not in got and got["q1"].groundedness == 5 and got["q1"].raw is None  # q3 is refused
+    odd = judging.judge_run(asked, ranked, "rerank_score", judge=lambda prompt: F.lit("no grade")).collect()
+    assert all(r.raw == "no grade" and r.groundedness is None for r in odd) and odd
+    assert judging.judge_run(asked, ranked, "rerank_score", n=0).count() == 0
+
+
+def test_calibration(spark, store):
+    asked, ranked = asked_of(spark), retrieval.hybrid(asked_of(spark), store).cache()
+    good = judging.calibration(asked, ranked, "rerank_score").collect()
+    assert good and all(r.calibrated and r.groundedness <= 2 for r in good)
+    lenient = judging.calibration(asked, ranked, "rerank_score", judge=lambda p: F.lit('{"groundedness": 5, "relevance": 5}')).collect()
+    silent = judging.calibration(asked, ranked, "rerank_score", judge=lambda p: F.lit(None).cast("string")).collect()
+    assert not any(r.calibrated for r in lenient + silent)
+
+
+def test_probe(spark, store):
+    asked = asked_of(spark)
+    got = {r.query_id: r for r in judging.probe(asked, retrieval.hybrid(asked, store), "rerank_score").collect()}
+    assert got["q1"].status == "ANSWERED" and got["q3"].status == "REFUSED" and got["q1"].top_focus == "topic" and len(got) == 4
+    none = judging.probe(asked, retrieval.hybrid(asked, store).limit(0), "rerank_score").collect()
+    assert all(r.status == "REFUSED" and r.top_focus is None and r.confidence == 0.0 for r in none)
+
+
+def test_timing_and_warm_up(spark, store):
+    retrieval.warm_up(store)
+    rows, took = retrieval.timed_hybrid(asked_of(spark), store)
+    assert set(took) == {"dense", "sparse", "fusion", "rerank"} and all(v > 0 for v in took.values())
+    key = lambda r: (r.query_id, r["rank"], r.chunk_id)
+    assert sorted(map(key, rows.collect())) == sorted(map(key, retrieval.hybrid(asked_of(spark), store).collect()))
+
+
+def test_shared_folder_of_a_cluster():
+    from types import SimpleNamespace as Fake
+
+    from tessella.session import shared_folder
+
+    context = Fake(getCheckpointDir=lambda: None, getConf=lambda: Fake(get=lambda key: None), master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Fake(sparkContext=context))
