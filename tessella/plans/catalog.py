@@ -171,6 +171,12 @@ def sources_struct(spark: SparkSession, folder: str) -> DataFrame:
     return answering.sources(R.hybrid(R.eval_queries(spark, folder), R.stored(spark, folder)), "rerank_score")
 
 
+def sources_array(spark: SparkSession, folder: str) -> DataFrame:
+    listed = answering.sources_array(R.hybrid(R.eval_queries(spark, folder), R.stored(spark, folder)), "rerank_score")
+    line = F.transform("sources", lambda s: F.concat(s["rank"].cast("string"), F.lit(". "), F.coalesce(s["source"], F.lit("")), F.lit(" "), s["question"]))
+    return listed.select("query_id", F.size("sources").cast("long").alias("n_sources"), F.array_join(line, "\n").alias("listed"))
+
+
 def context_block(spark: SparkSession, folder: str) -> DataFrame:
     return answering.context(R.hybrid(R.eval_queries(spark, folder), R.stored(spark, folder)))
 
@@ -371,7 +377,7 @@ def report_sink(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: tuple[Query, ...] = (
     clean_text, sentence_split, fixed_size_chunks, sentence_chunks, semantic_chunks, chunk_stats, tokenize, word_stats, qtype_top10, duplicate_qids, source_set, pair_uid_assign, extract_pair_uid, chunk_id_build,
     embed_text, hashed_embedding, dense_topk, label_recall, dense_chunk_topk, bm25_postings, bm25_idf, bm25_topk, bm25_no_match, rrf_fuse, hybrid_topk, rerank_dedup, rerank_topk, confidence_gate, gate_without_reranker,
-    sources_struct, context_block, generate_answer, query_rewrite, rewritten_topk, request_validation, request_stats, jsonl_read, stratified_sample, eval_set_union, eval_type_counts, recall_at_k, retrieval_report, find_rank,
+    sources_struct, sources_array, context_block, generate_answer, query_rewrite, rewritten_topk, request_validation, request_stats, jsonl_read, stratified_sample, eval_set_union, eval_type_counts, recall_at_k, retrieval_report, find_rank,
     diagnose, probe_summary, judge_parse, judge_averages, xml_roundtrip, judge_run, judge_calibration, probe_status, dense_single, index_build, index_count, missing_steps, xml_folder, jsonl_sink, csv_sink, report_sink,
 )
 

@@ -231,6 +231,7 @@ select query_label, count(*) as n, round(avg((label = query_label)::int::double)
         "confidence_gate": _with(*_TO_BEST, _gate("best", "rerank_score")) + "select * from gate",
         "gate_without_reranker": _with(*_TO_FUSED, _gate("fused", "rrf_score")) + "select * from gate",
         "sources_struct": best + 'select query_id, rank as "index", focus, source, url, question, round(rerank_score, 4) as score from best',
+        "sources_array": best + "select query_id, count(*) as n_sources, string_agg(rank || '. ' || coalesce(source, '') || ' ' || question, chr(10) order by rank) as listed from best group by query_id",
         "context_block": _with(*_TO_BEST, _CONTEXT) + "select query_id, context from context",
         "generate_answer": _with(*_TO_BEST, _CONTEXT, _gate("best", "rerank_score")) + f"""
 select query_id, case when refused then '{REFUSAL.replace("'", "''")}' else substr(b.chunk_text, 1, 200) || ' [1]' end as answer, confidence, refused

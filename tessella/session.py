@@ -64,15 +64,19 @@ def union_all(first: DataFrame, *others: DataFrame, missing: bool = False) -> Da
     return out
 
 
+#: Bytes of a partition by Spark's estimate of the input.
+PARTITION_BYTES = 1 << 26
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df in enough partitions for costly work on its rows.
 
-    With keys it is hash-partitioned by them in as many partitions as shuffles have, which adaptive execution, going
-    by bytes and not by work, would merge; what follows groups by these keys without another shuffle. Without keys only an
+    With keys it is hash-partitioned by them in as many partitions as the session has cores, or as Spark's estimate of its size needs, if that is more; adaptive execution, going
+    by bytes and not by work, would merge them. What follows groups by these keys without another shuffle. Without keys only an
     input of fewer partitions than the session has cores, such as one small file, is redistributed.
     """
-    session = df.sparkSession
+    cores = df.sparkSession.sparkContext.defaultParallelism
     if keys:
-        return df.repartition(int(session.conf.get("spark.sql.shuffle.partitions")), *keys)
-    cores = session.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return df.repartition(max(cores, min(size // PARTITION_BYTES, 100_000)), *keys)
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
