@@ -106,7 +106,7 @@ def test_histogram_in_bytes():
 def test_memory_bounds_change_nothing(monkeypatch):
     monkeypatch.setattr(near_dups, "TILE_ROWS", 2)
     monkeypatch.setattr(near_dups, "HELD", 3)
-    table = near_dups._compared(0.5)
+    table = near_dups._compared_kind(0.5)
     import numpy as np
     import pyarrow as pa
 
@@ -117,7 +117,7 @@ def test_memory_bounds_change_nothing(monkeypatch):
     given = pa.table({"kind": ["a"] * 40, "part": [0] * 40, "digest": pa.array([bytes([k]) * 16 for k in range(40)], pa.binary()), "size": pa.array([len(x) for x in sets], pa.int32()), "sketch": pa.array(sketches, pa.binary()), "runs": pa.array([x[:20].tobytes() for x in sets], pa.binary()), "places": pa.array([np.arange(20, dtype=np.int32).tobytes()] * 40, pa.binary())})
     small = set(zip(table(given)["low"].to_pylist(), table(given)["high"].to_pylist()))
     monkeypatch.setattr(near_dups, "TILE_ROWS", 64)
-    whole = set(zip(near_dups._compared(0.5)(given)["low"].to_pylist(), near_dups._compared(0.5)(given)["high"].to_pylist()))
+    whole = set(zip(near_dups._compared_kind(0.5)(given)["low"].to_pylist(), near_dups._compared_kind(0.5)(given)["high"].to_pylist()))
     assert small == whole and len(whole) > 10
 
 

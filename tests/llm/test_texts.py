@@ -68,6 +68,23 @@ def test_programme_against_all_sequences(text, monkeypatch):
     assert abs(worth([starts.index(at) for at in got]) - max(map(worth, every))) < 1e-9
 
 
+def test_scope_is_broadcast_only_below_the_threshold(spark, data):
+    from tessella.llm import queries
+
+    def joins():
+        plan = queries.p6_found(spark, data)._jdf.queryExecution().sparkPlan().toString()
+        return "BroadcastHashJoin" in plan, "SortMergeJoin" in plan
+
+    assert joins() == (True, False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rows = queries.p6_found(spark, data).count()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+        assert joins() == (False, True) and queries.p6_found(spark, data).count() == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_sentence_rows(spark):
     rows = spark.createDataFrame([(1, "One. Two.", "c"), (1, "One. Two.", "c"), (2, None, "c"), (3, "", "c"), (4, " ", "c"), (None, "It was so. " * 20_000, "c")], "k int, t string, start_char string")
     got = sentences.sentence_units(rows, "k", "t").collect()
