@@ -21,10 +21,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import salted_join, settle, union_all
+from tessella.llm.common import may_be_in, salted_join, settle, union_all
 from tessella.llm.shingles import mixed, run_sets
 
 #: Least and most counters of the histogram of runs (4 bytes each in a task that counts, 1 byte where it is read) and the slices it is summed in. There is one
@@ -33,7 +34,7 @@ FEWEST, MOST, SLICES, CHARS_A_COUNTER = 1 << 16, 1 << 24, 64, 8
 #: A run in more texts than this is split into a grid of tiles.
 TILE = 20_000
 #: Bytes a part should have, and those of a run with its share of the sketch.
-PART_BYTES, RUN_BYTES = 1 << 24, 48
+PART_BYTES, RUN_BYTES = 1 << 26, 48
 #: Rows of a tile in a part; runs with no more rows are one tile each and compared together.
 TILE_ROWS = 64
 #: Digests a task remembers and pairs it holds before it forgets or sorts them: bounds of its memory, without effect on the result.
@@ -65,6 +66,17 @@ def _person(kind: str | None) -> bytes:
     return hashlib.blake2b((kind or "").encode(), digest_size=16).digest()
 
 
+@lru_cache(maxsize=64)
+def _code(kind: str | None) -> int:
+    return int.from_bytes(_person(kind)[:8], "little")
+
+
+def _cells(runs: np.ndarray, owner: np.ndarray, kinds: list, counters: int) -> np.ndarray:
+    """The counter of each run among the texts of its kind; owner: of each run the place of its text's kind."""
+    codes = np.array([_code(kind) for kind in kinds], dtype=np.uint64)
+    return ((runs ^ codes[owner]) & np.uint64(counters - 1)).astype(np.int64)
+
+
 def _digests(kinds: list, values: np.ndarray, bounds: np.ndarray, chosen: np.ndarray) -> list[bytes]:
     """A digest of kind and set of runs of each chosen text."""
     raw = memoryview(values.tobytes())
@@ -119,9 +131,10 @@ def _survey(length: int, least: int, counters: int):  # noqa: ANN202
             if not len(chosen):
                 continue
             digests = _digests(kinds, values, bounds, chosen)
-            new, _ = _of(values, bounds, chosen[_unseen(digests, seen)])
+            fresh = chosen[_unseen(digests, seen)]
+            new, owner = _of(values, bounds, fresh)
             total += len(new)
-            counts += np.bincount((new & np.uint64(counters - 1)).astype(np.int64), minlength=counters).astype(np.int32)
+            counts += np.bincount(_cells(new, owner, [kinds[k] for k in fresh], counters), minlength=counters).astype(np.int32)
             size = len(chosen)
             yield pa.RecordBatch.from_pydict({"kind": [kinds[k] for k in chosen], "id": [ids[k] for k in chosen], "digest": digests, "runs": [None] * size, "slice": [None] * size, "counts": [None] * size}, schema=_SURVEY)
         if total:
@@ -187,7 +200,7 @@ def _parts(length: int, least: int, similarity: float, parts: int, tile: int, hi
             sizes = np.bincount(owner, minlength=len(chosen))
             bits = np.minimum(LARGEST, np.maximum(SMALLEST, 1 << np.ceil(np.log2(1.5 * sizes)).astype(np.int64)))
             sketches = parity_sketches(runs, owner, bits)
-            often = logs[(runs & np.uint64(len(logs) - 1)).astype(np.int64)]
+            often = logs[_cells(runs, owner, [kinds[k] for k in chosen], len(logs))]
             # by text, then count; runs of equal count stay in order of their hashes, the same for all texts
             order = np.argsort((owner.astype(np.uint64) << np.uint64(32)) | often.astype(np.uint64), kind="stable")
             runs, owner, often = runs[order], owner[order], often[order]
@@ -253,6 +266,20 @@ def _rows(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray, kind: type, w
 
 def _compared(similarity: float):  # noqa: ANN202
     """Pairs of classes of one part that share a run and whose sketches differ within the radius."""
+    one_kind = _compared_kind(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            for kind in table.column("kind").unique().to_pylist():
+                own = pc.is_null(table.column("kind")) if kind is None else pc.fill_null(pc.equal(table.column("kind"), kind), False)
+                yield from one_kind(table.filter(own)).to_batches()
+
+    return run
+
+
+def _compared_kind(similarity: float):  # noqa: ANN202
     share = similarity / (1.0 + similarity)  # least common runs, as part of both sizes together
 
     def run(table: pa.Table) -> pa.Table:
@@ -384,12 +411,12 @@ def _within(a: np.ndarray, b: np.ndarray, radius: np.ndarray, widths: np.ndarray
 
 
 def _sets(length: int):  # noqa: ANN202
-    schema = pa.schema([("kind", pa.string()), ("id", pa.string()), ("runs", pa.list_(pa.int64()))])
+    schema = pa.schema([("kind", pa.string()), ("id", pa.string()), ("runs", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kinds, ids, texts in _blocks(batches):
             values, bounds = run_sets(texts, length)
-            yield pa.RecordBatch.from_pydict({"kind": kinds, "id": ids, "runs": [values[bounds[k] : bounds[k + 1]].view(np.int64) for k in range(len(ids))]}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"kind": kinds, "id": ids, "runs": [values[bounds[k] : bounds[k + 1]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for k in range(len(ids))]}, schema=schema)
 
     return run
 
@@ -419,14 +446,16 @@ def near_duplicates(df: DataFrame, kind_col: str, id_col: str, text_col: str, *,
     heads = listed.groupBy("kind", "digest").agg(F.min("id").alias("class_id"))
     runs = survey.agg(F.coalesce(F.sum("runs"), F.lit(0))).first()[0]
     parts = int(max(session.sparkContext.defaultParallelism, runs * (1.0 - similarity) * RUN_BYTES // PART_BYTES + 1))
-    sent = texts.mapInArrow(_parts(length, least, similarity, parts, tile, histogram), _PART_DDL).repartition(parts, "kind", "part")
-    near = sent.groupBy("kind", "part").applyInArrow(_compared(similarity), "kind string, low binary, high binary").distinct()
+    sent = texts.mapInArrow(_parts(length, least, similarity, parts, tile, histogram), _PART_DDL).repartitionById(parts, "part")
+    near = sent.mapInArrow(_compared(similarity), "kind string, low binary, high binary").distinct()
     a = heads.select(F.col("kind").alias("kind_a"), F.col("digest").alias("low"), F.col("class_id").alias("first"))
     b = heads.select(F.col("kind").alias("kind_b"), F.col("digest").alias("high"), F.col("class_id").alias("second"))
     named = near.join(a, near["kind"].eqNullSafe(a["kind_a"]) & (near["low"] == a["low"])).drop(a["low"]).join(b, near["kind"].eqNullSafe(b["kind_b"]) & (near["high"] == b["high"]))
     pairs = settle(named.select("kind", F.least("first", "second").alias("class_a"), F.greatest("first", "second").alias("class_b")))
-    wanted = pairs.select("kind", F.explode(F.array("class_a", "class_b")).alias("id")).distinct().select(F.col("kind").alias("k"), F.col("id").alias("i"))
-    sets = texts.join(wanted, texts["kind"].eqNullSafe(wanted["k"]) & (texts["id"] == wanted["i"]), "left_semi").mapInArrow(_sets(length), "kind string, id string, runs array<long>").dropDuplicates(["kind", "id"])
+    asked = pairs.select("kind", F.explode(F.array("class_a", "class_b")).alias("id")).distinct()
+    wanted = asked.select(F.col("kind").alias("k"), F.col("id").alias("i"))
+    texts = may_be_in(texts, ["kind", "id"], asked)  # only texts that may be asked for are shuffled
+    sets = texts.join(wanted, texts["kind"].eqNullSafe(wanted["k"]) & (texts["id"] == wanted["i"]), "left_semi").mapInArrow(_sets(length), "kind string, id string, runs binary").dropDuplicates(["kind", "id"])
     left = sets.select(F.col("kind").alias("k"), F.col("id").alias("class_a"), F.col("runs").alias("runs_a"))
     right = sets.select(F.col("kind").alias("k"), F.col("id").alias("class_b"), F.col("runs").alias("runs_b"))
     both = pairs.join(left, pairs["kind"].eqNullSafe(left["k"]) & (pairs["class_a"] == left["class_a"])).drop("k").drop(left["class_a"])
@@ -437,13 +466,21 @@ def near_duplicates(df: DataFrame, kind_col: str, id_col: str, text_col: str, *,
     return members, links
 
 
+def _wide(raw: pa.Scalar) -> np.ndarray:
+    """Runs of 6 bytes each as numbers."""
+    packed = np.frombuffer(raw.as_buffer(), dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(packed), 8), dtype=np.uint8)
+    out[:, :6] = packed
+    return out.view(np.uint64).ravel()
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("kind", pa.string()), ("class_a", pa.string()), ("class_b", pa.string()), ("common", pa.int64()), ("total", pa.int64())])
     for batch in batches:
         columns = {name: batch.column(batch.schema.get_field_index(name)) for name in ("kind", "class_a", "class_b", "runs_a", "runs_b")}
         common, total = [], []
         for a, b in zip(columns["runs_a"], columns["runs_b"], strict=True):
-            x, y = a.values.to_numpy(), b.values.to_numpy()
+            x, y = _wide(a), _wide(b)
             both = len(np.intersect1d(x, y, assume_unique=True))
             common.append(both)
             total.append(len(x) + len(y) - both)
