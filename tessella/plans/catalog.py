@@ -108,7 +108,7 @@ def hashed_embedding(spark: SparkSession, folder: str) -> DataFrame:
 
 def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
-    best = dense.top_k(rows.where("vec_id % 20 = 0"), "vec_id", "embedding", rows, "vec_id", "embedding", 10)
+    best = dense.top_k_cells(R.stored_vectors(spark, folder), rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
     return best.select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("id").cast("long").alias("vec_id"), "score")
 
 
@@ -329,6 +329,7 @@ def missing_steps(spark: SparkSession, folder: str) -> DataFrame:
         ("table", _error_of(lambda: table(spark, none, "chunks", "chunking"))),
         ("vector index", _error_of(lambda: sinks.open_index(spark, none, "sentence"))),
         ("sparse index", _error_of(lambda: sparse.open_index(spark, none))),
+        ("cell index", _error_of(lambda: dense.open_cells(spark, none))),
     ]
     return spark.createDataFrame(rows, "step string, error string")
 

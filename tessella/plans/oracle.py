@@ -177,7 +177,7 @@ select row_number() over (order by score desc, vec_id::varchar)::int as rank, ve
 select t.chunk_id, 64::bigint as n_dimensions, round(coalesce(s.l, 0.0::double), 6) as squared_length, t.focus, t.source, t.url, t.question
 from texts t left join (select chunk_id, sum(v * v) as l from cv group by chunk_id) s using (chunk_id)""",
         "index_count": "select strategy, count(distinct chunk_id) as n_vectors from chunks group by strategy",
-        "missing_steps": "select * from (values ('table', 'MissingInput: run chunking first'), ('vector index', 'RuntimeError: build it first'), ('sparse index', 'RuntimeError: build it first')) as t(step, error)",
+        "missing_steps": "select * from (values ('table', 'MissingInput: run chunking first'), ('vector index', 'RuntimeError: build it first'), ('sparse index', 'RuntimeError: build it first'), ('cell index', 'RuntimeError: build it first')) as t(step, error)",
         "xml_folder": _with(_PAIRS) + f"""
 select doc_id, subset, coalesce(qid, doc_id || '-' || (row_number() over (partition by doc_id order by pair_uid) - 1)) as qid, coalesce(qtype, 'unknown') as qtype, question, answer, '' as url
 from (select pair_uid, subset || '-' || substr(pair_uid, 1, 5) as doc_id, subset, qid, qtype, {_clean('question')} as question, {_clean('answer')} as answer

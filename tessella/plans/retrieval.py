@@ -42,10 +42,11 @@ def eval_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 @dataclass
 class Store:
-    """The stored tables of one strategy: chunks, their vectors, and the BM25 index."""
+    """The stored tables of one strategy: chunks, their vectors, these by cells, and the BM25 index."""
 
     chunks: DataFrame
     vectors: DataFrame
+    cells: dense.CellIndex
     sparse: sparse.SparseIndex
 
 
@@ -59,6 +60,7 @@ def write_store(chunks: DataFrame, path: str, embedder: Embedder = hashed_bag_of
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     texts = with_texts(session.read.parquet(f"{path}/chunks"))
     embed(texts, "chunk_id", "dense_text", embedder).write.mode("overwrite").parquet(f"{path}/vectors")
+    dense.write_cells(session.read.parquet(f"{path}/vectors"), "chunk_id", "embedding", f"{path}/cells")
     sparse.write_index(texts, "chunk_id", "sparse_text", f"{path}/sparse")
     return open_store(session, path)
 
@@ -66,7 +68,7 @@ def write_store(chunks: DataFrame, path: str, embedder: Embedder = hashed_bag_of
 def open_store(spark: SparkSession, path: str) -> Store:
     """Stored tables; RuntimeError where they were never written."""
     index = sparse.open_index(spark, f"{path}/sparse")
-    return Store(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors"), index)
+    return Store(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors"), dense.open_cells(spark, f"{path}/cells"), index)
 
 
 def stored(spark: SparkSession, folder: str, strategy: str = "sentence", embedder: Embedder = hashed_bag_of_words, refresh: bool = False) -> Store:
@@ -79,10 +81,20 @@ def stored(spark: SparkSession, folder: str, strategy: str = "sentence", embedde
     return open_store(spark, _STORED[key])
 
 
+def stored_vectors(spark: SparkSession, folder: str) -> dense.CellIndex:
+    """The table of embeddings by cells, written once an application."""
+    key = (spark.sparkContext.applicationId, folder, "embeddings", "")
+    if key not in _STORED:
+        path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+        dense.write_cells(table(spark, folder, "embeddings"), "vec_id", "embedding", path)
+        _STORED[key] = path
+    return dense.open_cells(spark, _STORED[key])
+
+
 def dense_top_k(queries: DataFrame, store: Store, k: int, embedder: Embedder = hashed_bag_of_words) -> DataFrame:
     """(query_id, rank, chunk_id, cosine, score_l2) of the nearest chunks; score_l2 is one minus the squared distance of unit vectors."""
     asked = embed(queries.select("query_id", "question"), "query_id", "question", embedder)
-    near = dense.top_k(asked, "query_id", "embedding", store.vectors, "chunk_id", "embedding", k)
+    near = dense.top_k_cells(store.cells, asked, "query_id", "embedding", k)
     return near.select("query_id", "rank", F.col("id").alias("chunk_id"), F.col("score").alias("cosine"), F.round(2.0 * F.col("score") - 1.0, 6).alias("score_l2"))
 
 

@@ -14,7 +14,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get(
 def spark():
     from tessella.session import local_session
 
-    session = local_session(4, 4)
+    session = local_session(4, 2)
     yield session
     session.stop()
 

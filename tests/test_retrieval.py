@@ -62,6 +62,41 @@ def test_best_places():
         assert sparse._best(scores, k).tolist() == np.argsort(-scores, kind="stable")[:k].tolist()
 
 
+@pytest.mark.parametrize("norms", [False, True])
+def test_cells_lose_nothing(spark, tmp_path, monkeypatch, norms):
+    rng = np.random.default_rng(4)
+    groups = rng.normal(size=(6, 8))
+    vectors = np.concatenate([g + 0.2 * rng.normal(size=(60, 8)) for g in groups])
+    if not norms:
+        vectors /= np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+    vectors[7] = vectors[8]  # a tie
+    vectors[9] = 0.0
+    monkeypatch.setattr(dense, "PROBES", 1)
+    monkeypatch.setattr(dense, "CELL", 60)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)] + [(999, None)], "id int, v array<double>").repartition(3)
+    index = dense.write_cells(rows, "id", "v", str(tmp_path), block=25)
+    assert sum(len(r.ids) for r in index.blocks.collect()) == len(vectors) and index.bounds.count() > 4
+    asked = rows.where("id % 9 = 0")
+    for k in (1, 4, 70):
+        key = lambda r: (r.query_id, r["rank"], r.id, r.score)
+        assert sorted(map(key, dense.top_k_cells(index, asked, "id", "v", k).collect())) == sorted(map(key, dense.top_k(asked, "id", "v", rows, "id", "v", k).collect()))
+    # most cells are spared
+    table = index.bounds.orderBy("cell").collect()
+    most = dense.most_scores(vectors[::9], np.array([r.center for r in table]), *(np.array([r[c] for r in table]) for c in ("least_cosine", "least_norm", "most_norm")))
+    for n, k in enumerate(range(0, len(vectors), 9)):
+        for r in index.blocks.collect():
+            at = [x.cell for x in table].index(r.cell)
+            assert (vectors[[int(i) for i in r.ids]] @ vectors[k]).max() <= most[n, at]
+
+
+def test_cells_of_nothing(spark, tmp_path):
+    empty = spark.createDataFrame([], "id int, v array<double>")
+    index = dense.write_cells(empty, "id", "v", str(tmp_path))
+    assert dense.top_k_cells(index, empty, "id", "v", 3).count() == 0
+    with pytest.raises(RuntimeError, match="not found"):
+        dense.open_cells(spark, str(tmp_path / "none"))
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(30, 8))
@@ -145,7 +180,7 @@ def asked_of(spark):
     return spark.createDataFrame(rows, "query_id string, question string, item_type string, ordinal int")
 
 
-def test_models_reach_every_stage(spark, store):
+def test_models_reach_every_stage(spark, store, tmp_path):
     """An embedder, a reranker, a rewriter and a generator from outside, each loaded in the workers."""
     asked = asked_of(spark)
     embedder = models.embedder("lengths", lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]))
@@ -154,7 +189,7 @@ def test_models_reach_every_stage(spark, store):
     best = {r.query_id: r.chunk_id for r in got if r["rank"] == 1}
     assert all(dict(CHUNKS)[c][-1] == "t" for c in best.values())  # the last letter that scores most
     assert all(r.rerank_score == float(ord(r.chunk_text[-1])) for r in got)
-    assert retrieval.dense_top_k(asked, retrieval.Store(store.chunks, embed(retrieval.with_texts(store.chunks), "chunk_id", "dense_text", embedder), store.sparse), 1, embedder).count() == 4
+    assert retrieval.dense_top_k(asked, retrieval.write_store(store.chunks, str(tmp_path), embedder), 1, embedder).count() == 4
     rewrite = models.text_model("rewrite", lambda: lambda texts: [t.replace("owls", "lava") for t in texts])
     broken = models.text_model("broken", models.with_key("NO_SUCH_KEY_HERE", lambda key: None), fails_open=True)
     plain, again, failed = (retrieval.hybrid(asked, store, k=1, rewrite=r) for r in (None, rewrite, broken))
