@@ -445,7 +445,8 @@ def near_duplicates(df: DataFrame, kind_col: str, id_col: str, text_col: str, *,
     listed = survey.where(F.col("slice").isNull()).select("kind", "id", "digest")
     heads = listed.groupBy("kind", "digest").agg(F.min("id").alias("class_id"))
     runs = survey.agg(F.coalesce(F.sum("runs"), F.lit(0))).first()[0]
-    parts = int(max(session.sparkContext.defaultParallelism, runs * (1.0 - similarity) * RUN_BYTES // PART_BYTES + 1))
+    # two tasks a core at least, so that uneven parts balance
+    parts = int(max(2 * session.sparkContext.defaultParallelism, runs * (1.0 - similarity) * RUN_BYTES // PART_BYTES + 1))
     sent = texts.mapInArrow(_parts(length, least, similarity, parts, tile, histogram), _PART_DDL).repartitionById(parts, "part")
     near = sent.mapInArrow(_compared(similarity), "kind string, low binary, high binary").distinct()
     a = heads.select(F.col("kind").alias("kind_a"), F.col("digest").alias("low"), F.col("class_id").alias("first"))
