@@ -52,8 +52,17 @@ def filled(size: int, capacity: int, left: list[int], present: int) -> int:
 
 
 def best_fit(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[np.ndarray, list[int]]:
-    """The container of each item, and the final capacity of each container. No item may exceed the largest capacity; an empty item goes where there is room."""
+    """The container of each item, and the final capacity of each container. No item may exceed the largest capacity; an empty item goes where there is room.
+
+    A look ahead by one container may lose in the long run, so that opening only the largest is tried, too, and the packing that needs less is kept.
+    """
     capacities = tuple(sorted(capacities))
+    tried = [_packed(sizes, capacities, openers, overhead) for openers in dict.fromkeys((capacities, capacities[-1:]))]
+    return min(tried, key=lambda packing: sum(packing[1]) + overhead * len(packing[1]))
+
+
+def _packed(sizes: np.ndarray, capacities: tuple[int, ...], openers: tuple[int, ...], overhead: int) -> tuple[np.ndarray, list[int]]:
+    """Best fit, longest item first, in containers opened with one of ``openers`` and shrunk to one of ``capacities``."""
     largest = capacities[-1]
     order = np.argsort(-sizes, kind="stable")
     place = np.zeros(len(sizes), dtype=np.int64)
@@ -74,7 +83,7 @@ def best_fit(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhe
             if not free[room]:
                 open_rooms ^= 1 << room
         else:
-            bin_no, room = len(content), min((c for c in capacities if c >= size), key=lambda c: ((c + overhead) / max(1, filled(size, c, left, present)), -c))
+            bin_no, room = len(content), min((c for c in openers if c >= size), key=lambda c: ((c + overhead) / max(1, filled(size, c, left, present)), -c))
             content.append(0)
         content[bin_no] += size
         place[at] = bin_no
