@@ -1,7 +1,7 @@
 """Answers that decline and answers that stand in for a missing one: naive Bayes over hashed character 5-grams of whole texts.
 
-The classes ``declining`` and ``missing`` are fitted on seed sentences in ten languages, the class ``content`` on a bounded sample of
-the corpus; sample rows that the seeds already show to decline or to be missing go to those classes in a second round.
+The classes ``declining`` and ``missing`` are fitted on seed sentences in ten languages, the class ``content`` on all texts of
+the corpus; texts that the seeds already show to decline or to be missing go to those classes in a second round.
 """
 
 from __future__ import annotations
@@ -170,7 +170,7 @@ def _inner(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _counted(texts: list[str]) -> np.ndarray:
+def counted(texts: list[str]) -> np.ndarray:
     """How often each bucket of 5-grams, and of 3-grams after them, occurs in the texts."""
     out = np.zeros(2 << BITS)
     for low, high in steps(texts):
@@ -181,22 +181,19 @@ def _counted(texts: list[str]) -> np.ndarray:
     return out
 
 
-def fit(sample: list[str], rounds: int = 2) -> np.ndarray:
-    """Log odds of each bucket (5-grams, then 3-grams) for CLASSES against content, from a sample of the corpus's texts."""
-    seeds = [_counted(DECLINING) * SEED_WEIGHT, _counted(MISSING) * SEED_WEIGHT]
-    sample = [t for t in sample if t and t.strip()]
+def fit(content: np.ndarray, found: np.ndarray | None = None) -> np.ndarray:
+    """Log odds of each bucket (5-grams, then 3-grams) for CLASSES against content, from ``counted`` of the corpus and, in a second round, of the texts found of each class in the first."""
     odds = np.zeros((2 << BITS, len(CLASSES)), dtype=np.float32)
-    of = np.zeros(len(sample), dtype=np.int64)  # 0: content
-    for turn in range(rounds):
-        if turn:
-            of = classes(class_scores(sample, odds))
-        content = _counted([t for t, k in zip(sample, of, strict=True) if k == 0])
-        for k in range(len(CLASSES)):
-            own = seeds[k] + _counted([t for t, c in zip(sample, of, strict=True) if c == k + 1])
-            other = content
-            for part in (slice(0, 1 << BITS), slice(1 << BITS, None)):
-                kept = np.log((own[part] + 0.3) / (own[part].sum() + 3e4)) - np.log((other[part] + 0.3) / (other[part].sum() + 3e4))
-                odds[part, k] = np.where(own[part] + other[part] > 0, np.clip(kept, -CLIP, CLIP), 0.0)
+    if found is not None:
+        content = content - found.sum(axis=0)
+    for k, seeds in enumerate((DECLINING, MISSING)):
+        own = counted(seeds) * SEED_WEIGHT
+        if found is not None:
+            own = own + found[k]
+        for part in (slice(0, 1 << BITS), slice(1 << BITS, None)):
+            kept = np.log((own[part] + 0.3) / (own[part].sum() + 3e4)) - np.log((content[part] + 0.3) / (content[part].sum() + 3e4))
+            # what a class's few texts lack doesn't speak for it, however rare it is in the corpus
+            odds[part, k] = np.where(own[part] > 0, np.clip(kept, -CLIP, CLIP), np.where(content[part] > 0, np.clip(kept, -CLIP, 0.0), 0.0))
     return odds
 
 

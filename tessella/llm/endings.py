@@ -2,26 +2,31 @@
 
 The model is an interpolated n-gram likelihood. Contexts go from the general to the special: what kind of line the text ends in and
 the class of its last character, then an open bracket and, for short texts, their length, then the last 1, 2, 3, 4, 6 and 8 characters; each
-level's estimate is smoothed by the one before. Ends come from a bounded sample of texts and of their sentences, other places are cuts
-inside those sentences, some with a mark of omission added. Nothing else decides: without counts no text breaks off.
+level's estimate is smoothed by the one before. Ends are those of all texts and of their sentences, other places are all those
+inside these sentences, some with a mark of omission added. Nothing else decides: without counts no text breaks off.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
-from zlib import crc32
+from functools import lru_cache
 
 import numpy as np
 
+from tessella.llm.common import code_points
 from tessella.llm.quality import is_list, is_table
 from tessella.llm.sentences import boundaries
+from tessella.llm.shingles import mixed, steps
 
 #: Lengths of the suffixes; weight of the level before in each estimate.
 SUFFIXES, SMOOTH = (1, 2, 3, 4, 6, 8), 2.0
-#: Cuts taken within a sentence, their total weight beside its end's, and the weight of its end without the closing mark and with a mark of omission.
-CUTS, CUT_WEIGHT, UNMARKED, OMITTED = 8, 1.0, 0.005, 0.05
+#: Total weight of the places within a sentence beside its end's, of each abbreviation's besides, and of the sentence's end without the closing mark and with a mark of omission.
+CUT_WEIGHT, STOP_WEIGHT, UNMARKED, OMITTED = 1.0, 0.125, 0.005, 0.05
+#: Weights are counted in whole units, so that sums don't depend on their order.
+UNIT = 1 << 20
 #: Texts whose last characters are an end with less than this probability break off.
 LEAST = 0.5
 
@@ -36,7 +41,10 @@ _BULLET = re.compile(r"\s*(?:[-*•·‣▪◦–—+]|\[[ xX]?\]|\(?\d{1,3}[.)\
 _CELL = re.compile(r"[<>≤≥]?\d[\d.,/]*%?|n/a|\+/-|±|rare|rares|raro|selten|редко|罕见|まれ|दुर्लभ|نادر")
 
 
-_DIGITS = re.compile(r"\d")
+#: Kinds of lines, and of last characters besides letters, whose kind goes by their script; levels of contexts.
+LINES = ("prose", "list", "cells", "item", "link", "row")
+_KINDS = {"T": 1, "D": 2, "C": 3, "S": 4, "B": 5, "U": 6, "Lx": 7, "L": 8}
+LEVELS = 2 + len(SUFFIXES)
 
 
 @dataclass
@@ -77,13 +85,70 @@ def _line(text: str) -> str:
     return ""
 
 
-def _chain(line: str, kind: str, marked: bool, opened: bool, size: int, tail: str) -> list[str]:
-    """Contexts from what is known of an end: line, class of the last character, mark of omission, open bracket, length of the text, last characters."""
-    general = f"{line}{kind}{'m' if marked else ''}"
-    low = tail[-8:].lower()
-    if any("0" < c <= "9" for c in low):
-        low = _DIGITS.sub("0", low)
-    return [general, f"{general}|{'o' if opened else ''}{'' if kind == 'T' else min(size.bit_length(), 7)}", *(f"{general}|{low[-n:]}" for n in SUFFIXES)]
+def _kind(char: str) -> int:
+    name = _char_class(char)
+    return _KINDS.get(name) or 8 + (ord(char) >> 8)
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point its kind, its small letter (digits alike) and whether it wraps texts."""
+    kinds, low = np.full(0x110000, _KINDS["S"], dtype=np.int64), np.arange(0x110000, dtype=np.uint64)
+    for point in range(0x32000):  # the planes after that hold no letters
+        char = chr(point)
+        kinds[point] = _kind(char)
+        small = char.lower()
+        low[point] = ord(small) if len(small) == 1 else point
+    low[48:58] = 48
+    wraps = np.zeros(0x110000, dtype=bool)
+    wraps[[ord(c) for c in _WRAP]] = True
+    return kinds, low, wraps
+
+
+@dataclass
+class Places:
+    """Places in texts: what is known of each (see ``_general``), whether a bracket is open with the text's length up to it, where it and the text's first character are among the points."""
+
+    general: np.ndarray
+    second: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+def _general(line: int, kind, marked):  # noqa: ANN001, ANN202
+    """One number of the kind of line, the class of the last character and a mark of omission."""
+    return (line << 7 | kind) << 1 | marked
+
+
+def _second(kind, opened, size):  # noqa: ANN001, ANN202
+    """One number of an open bracket and, but for closed texts, the length."""
+    bits = np.minimum(np.frexp(np.asarray(size, dtype=np.float64))[1], 7)
+    return np.where(np.asarray(kind) == _KINDS["T"], 0, bits + 1) << 1 | opened
+
+
+def _levels(places: Places, points: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray] | None = None):  # noqa: ANN202
+    """Of each level, from the most general one on, which places have a wanted context and its hash; a place without a wanted one at some level has none after it."""
+    of = places.general << 5 | places.second
+    codes = np.arange(1 + of.max(initial=0))
+    first = mixed((codes >> 5).astype(np.uint64) + np.uint64(1))
+    second = mixed(first ^ mixed((codes & 31).astype(np.uint64) + np.uint64(1 << 32)))
+    at = np.arange(len(of)) if wanted is None else np.flatnonzero(wanted(first)[of])
+    first, second = first[of[at]], second[of[at]]
+    yield at, first
+    kept = slice(None) if wanted is None else wanted(second)
+    yield at[kept], second[kept]
+    _, low, _ = _tables()
+    keys, done = mixed(first ^ np.uint64(0x5A17)), 0
+    for size in SUFFIXES:
+        for back in range(done + 1, size + 1):
+            place = places.ends[at] - back
+            chars = low[points[np.maximum(place, 0)]]
+            keys = np.where(place >= places.starts[at], mixed(keys * np.uint64(31) + chars + np.uint64(7)), keys)
+        done = size
+        if wanted is not None:
+            kept = wanted(keys)
+            at, keys = at[kept], keys[kept]
+        yield at, keys
 
 
 def _open(tail: str) -> bool:
@@ -95,95 +160,164 @@ def _closed(text: str) -> bool:
     return text[-1:] in tuple(_TERMINAL + _CLOSERS) and not _MARK.search(text, max(0, len(text) - 60))
 
 
-def contexts(text: str) -> list[str]:
-    """The contexts of the end of a text, from the most general one on."""
+def _end(text: str) -> tuple[int, int, bool, int, str] | None:
+    """Of the end of a text what ``_general`` takes, an open bracket, its length and its last characters; None if there is no text."""
     text = text.strip(_WRAP)
     if not text:
-        return []
+        return None
     marked = _MARK.search(text, max(0, len(text) - 60))
     if marked and marked.start():
         text = text[: marked.start()].rstrip(_WRAP) or text
-    kind, line, opened = _char_class(text[-1]), _line(text), False
-    if kind == "T":
+    kind, line, opened = _kind(text[-1]), _line(text), False
+    if kind == _KINDS["T"]:
         line = line or "prose"
     elif not line:
         cuts = boundaries(text)
         tail = text[cuts[-1] :].strip() if cuts else text
         line = "cells" if _cells(tail) else "list" if is_list(tail) and len(tail) > 40 else "prose"
         if text[-1] in _CLOSERS:
-            kind = "B" if tail.count(_OPENERS[_CLOSERS.index(text[-1])]) >= tail.count(text[-1]) else "U"
+            kind = _KINDS["B" if tail.count(_OPENERS[_CLOSERS.index(text[-1])]) >= tail.count(text[-1]) else "U"]
         else:
             opened = _open(tail)
-    return _chain(line, kind, bool(marked), opened, len(text), text)
-
-
-def _hashed(key: str) -> int:
-    raw = key.encode("utf-8", "replace")
-    return crc32(raw) << 32 | crc32(raw, 0x5A17)
+    return _general(LINES.index(line), kind, bool(marked)), kind, opened, len(text), text[-SUFFIXES[-1] :]
+
+
+def chains(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the contexts of the end of each text, from the most general one on, and one of them together; all 0 for a text without characters."""
+    keys, whole = np.zeros((len(texts), LEVELS), dtype=np.uint64), np.zeros(len(texts), dtype=np.uint64)
+    found = [(k, end) for k, end in enumerate(map(_end, texts)) if end]
+    if found:
+        rows = np.array([k for k, _ in found])
+        general, kind, opened, size = (np.array([end[n] for _, end in found], dtype=np.int64) for n in range(4))
+        points, ends = code_points([end[4] for _, end in found])
+        for level, (_, own) in enumerate(_levels(Places(general, _second(kind, opened, size), ends[:-1], ends[1:]), points)):
+            keys[rows, level] = own
+            whole[rows] = mixed(whole[rows] * np.uint64(31) + own)
+    return keys, whole
+
+
+def _sentences(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Sentences that say where texts end, and of each its offset, its length without closing marks, and whether its text goes on."""
+    found: list[str] = []
+    rows: list[tuple[int, int, bool]] = []
+    for text in texts:
+        cuts = boundaries(text)
+        for a, b in zip(cuts, [*cuts, len(text)][1:], strict=True) if cuts else ():
+            sentence = text[a:b].strip(_WRAP)
+            size = len(sentence.rstrip(_TERMINAL + _WRAP + _CLOSERS))
+            if size < 8 or _BULLET.match(text[a:b]):
+                continue
+            if size == len(sentence) and not "฀" <= sentence[-1] <= "๿":
+                continue  # a head line or an item
+            found.append(sentence)
+            rows.append((a, size, b < len(text)))
+    return found, np.array(rows, dtype=np.int64).reshape(-1, 3)
+
+
+def _within(texts: list[str]) -> tuple[Places, np.ndarray, np.ndarray, np.ndarray]:
+    """The places in the sentences of texts, their units, whether each is an end, and the code points."""
+    kinds, _, wraps = _tables()
+    found, rows = _sentences(texts)
+    points, ends = code_points(found)
+    offsets, sizes, goes_on = rows.T
+    starts, whole = ends[:-1], np.diff(ends)
+    closers, terminal = np.array([ord(c) for c in _CLOSERS]), _KINDS["T"]
+    depth = np.zeros((3, len(points) + 1), dtype=np.int32)
+    for k, (a, b) in enumerate(zip(_OPENERS[:3], _CLOSERS[:3], strict=True)):
+        np.cumsum((points == ord(a)).astype(np.int8) - (points == ord(b)), out=depth[k, 1:], dtype=np.int32)
+    # the last character before each place that doesn't wrap
+    solid = np.r_[0, np.maximum.accumulate(np.where(wraps[points], 0, np.arange(1, len(points) + 1)))] if len(points) else np.zeros(1, dtype=np.int64)
+
+    # ends of sentences whose text goes on; of closed ones also without the closing mark and with a mark of omission
+    on, closed = np.flatnonzero(goes_on), np.flatnonzero(whole > sizes)
+    last, bare = points[ends[1:][on] - 1], kinds[points[starts[closed] + sizes[closed] - 1]]
+    of_on = np.where(np.isin(last, closers), _KINDS["B"], kinds[last])
+    bare_end = starts[closed] + sizes[closed]
+    bare_open = (depth[:, bare_end] > depth[:, starts[closed]]).any(axis=0)
+    # all places within sentences from their third character on
+    many = np.maximum(sizes - 3, 0)
+    of = np.repeat(np.arange(len(sizes)), many)
+    after = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + 2
+    at = starts[of] + after
+    place, before = solid[at], starts[of]
+    units = np.rint(CUT_WEIGHT * UNIT / np.maximum(many, 1)).astype(np.int64)[of]
+    units += np.where((points[at - 1] == 46) & (kinds[points[at]] != _KINDS["D"]) & (after > 2), int(STOP_WEIGHT * UNIT), 0)
+    char = points[place - 1]
+    bracket = np.isin(char, closers)  # an answer may end with a bracket
+    kind = np.where(bracket, _KINDS["B"], kinds[char])
+    opened = (depth[0, place] > depth[0, before]) | (depth[1, place] > depth[1, before]) | (depth[2, place] > depth[2, before])
+    opened &= ~bracket & (kind != terminal)
+
+    no, yes = np.zeros(len(closed), dtype=np.int64), np.ones(len(closed), dtype=np.int64)
+    all_of = Places(
+        np.concatenate([_general(0, of_on, 0), _general(0, bare, 0), _general(0, yes * terminal, 1), _general(0, kind, (after % 3 == 0) & ~bracket)]).astype(np.int64),
+        np.concatenate([_second(of_on, 0, (offsets + whole)[on]), _second(bare, bare_open, (offsets + sizes)[closed]), _second(yes * terminal, no, (offsets + whole)[closed]), _second(kind, opened, offsets[of] + after)]).astype(np.int64),
+        np.concatenate([starts[on], starts[closed], starts[closed], before]),
+        np.concatenate([ends[1:][on], bare_end, ends[1:][closed], place]),
+    )
+    weights = np.concatenate([np.full(len(on), UNIT), yes * int(UNMARKED * UNIT), yes * int(OMITTED * UNIT), units])
+    is_end = np.concatenate([np.ones(len(on) + 2 * len(closed), dtype=bool), bracket])
+    return all_of, weights, is_end, points
+
+
+def summed(keys: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, each once, and the sums of their rows of units."""
+    if not len(keys):
+        return keys, units
+    # a slot of a key's highest bits holds one key; the few rows of other keys of a slot are sorted
+    slots = (keys >> np.uint64(48)).astype(np.int64)
+    held = np.zeros(1 << 16, dtype=np.uint64)
+    held[slots] = keys
+    own = held[slots] == keys
+    used = np.flatnonzero(np.bincount(slots, minlength=1 << 16))
+    sums = np.stack([np.bincount(slots[own], weights=units[own, k], minlength=1 << 16)[used] for k in range(2)], axis=1)  # whole numbers below 2^53
+    out, totals = held[used], sums.astype(np.int64)
+    if not own.all():
+        keys, units = keys[~own], units[~own]
+        order = np.argsort(keys)
+        keys, units = keys[order], units[order]
+        firsts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        out, totals = np.r_[out, keys[firsts]], np.r_[totals, np.add.reduceat(units, firsts, axis=0)]
+    return out, totals
+
+
+def counted(answers: list[str], wanted: Callable[[np.ndarray], np.ndarray] | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the (wanted) contexts in texts, and units of ends and of all places of each; own: the texts' ``chains``, if known."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    if own is None:
+        own, _ = chains(answers)
+    # a text may itself break off: without a closing mark it says what lines texts end in, not which characters
+    closed = np.array([_closed(a) for a in answers], dtype=bool)
+    some = own[:, 0] != 0
+    ends = np.concatenate([own[some][:, :2].ravel(), own[some & closed][:, 2:].ravel()])
+    parts.append(summed(ends, np.full((len(ends), 2), UNIT, dtype=np.int64)))
+    for low, high in steps(answers):
+        places, weights, is_end, points = _within(answers[low:high])
+        for at, keys in _levels(places, points, wanted):
+            parts.append(summed(keys, np.stack([np.where(is_end[at], weights[at], 0), weights[at]], axis=1)))
+    return summed(np.concatenate([k for k, _ in parts]), np.concatenate([u for _, u in parts]))
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray, float]]) -> Counts:
+    """Counts of what ``counted`` gives for some groups of texts and what a text of each weighs."""
+    keys, at = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(k for k, _, _ in parts)]), return_inverse=True)
+    weights = np.concatenate([np.zeros((0, 2)), *(u * (weight / UNIT) for _, u, weight in parts)])
+    return Counts(keys, np.stack([np.bincount(at, weights=weights[:, k], minlength=len(keys)) for k in range(2)], axis=1))
 
 
 def fit(answers: list[str]) -> Counts:
-    """Weights of ends and of all places by context, from a sample of texts."""
-    counts: dict[str, list[float]] = {}
-
-    def add(keys: list[str], end: bool, weight: float) -> None:
-        for key in keys:
-            pair = counts.get(key)
-            if pair is None:
-                pair = counts[key] = [0.0, 0.0]
-            pair[1] += weight
-            if end:
-                pair[0] += weight
-
-    share = CUT_WEIGHT / CUTS
-    for answer in answers:
-        if not answer or not answer.strip(_WRAP):
-            continue
-        own = contexts(answer)
-        # a sampled text may itself break off: without a closing mark it says what lines texts end in, not which characters
-        add(own if _closed(answer) else own[:2], True, 1.0)
-        cuts = boundaries(answer)
-        for a, b in zip(cuts, [*cuts[1:], len(answer)], strict=True):
-            sentence = answer[a:b].strip(_WRAP)
-            bare = sentence.rstrip(_TERMINAL + _WRAP + _CLOSERS)
-            if len(bare) < 8 or _BULLET.match(answer[a:b]):
-                continue
-            ended = sentence[len(bare) :]
-            if not ended and not "฀" <= sentence[-1] <= "๿":
-                continue  # a head line or an item
-            if b < len(answer):
-                last = sentence[-1]
-                kind = _char_class(last) if last not in _CLOSERS else "B"
-                add(_chain("prose", kind, False, False, a + len(sentence), sentence), True, 1.0)
-            if ended:
-                add(_chain("prose", _char_class(bare[-1]), False, _open(bare), a + len(bare), bare), True, UNMARKED)
-                add(_chain("prose", "T", True, False, a + len(sentence), sentence), True, OMITTED)
-            step = max(1, len(bare) // CUTS)
-            first = 2 + crc32(bare[-24:].encode("utf-8", "replace")) % step
-            at = set(range(first, len(bare) - 1, step)) | {k for k in range(3, len(bare) - 1) if bare[k - 1] == "." and not bare[k].isdigit()}
-            for k in sorted(at):
-                part = bare[:k].rstrip(_WRAP)
-                if not part:
-                    continue
-                if part[-1] in _CLOSERS:  # an answer may end with a bracket
-                    add(_chain("prose", "B", False, False, a + k, part), True, share)
-                    continue
-                marked = k % 3 == 0
-                kind = _char_class(part[-1])
-                add(_chain("prose", kind, marked, kind != "T" and _open(part), a + k, part), False, share)
-    keys = np.array([_hashed(key) for key in counts], dtype=np.uint64)
-    order = np.argsort(keys)
-    return Counts(keys[order], np.array(list(counts.values()), dtype=np.float32).reshape(-1, 2)[order])
+    """Weights of ends and of all places by context, from texts."""
+    return merged([(*counted([a for a in answers if a and a.strip(_WRAP)]), 1.0)])
 
 
 def end_probability(text: str, counts: Counts) -> float:
     """The probability that a text ends where it does; LEAST without any counts."""
-    keys = np.array([_hashed(key) for key in contexts(text)], dtype=np.uint64)
+    keys, whole = chains([text])
     value = LEAST
-    if not len(keys) or not len(counts.keys):
+    if not whole[0] or not len(counts.keys):
         return value
-    places = np.minimum(np.searchsorted(counts.keys, keys), len(counts.keys) - 1)
-    for known, (end, total) in zip((counts.keys[places] == keys).tolist(), counts.weights[places].tolist(), strict=True):
+    places = np.minimum(np.searchsorted(counts.keys, keys[0]), len(counts.keys) - 1)
+    for known, (end, total) in zip((counts.keys[places] == keys[0]).tolist(), counts.weights[places].tolist(), strict=True):
         if known:
             value = (end + SMOOTH * value) / (total + SMOOTH)
     return value

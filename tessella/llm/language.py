@@ -31,18 +31,27 @@ def _padded(text: str) -> str:
     return "\n\n" + _NO_LANGUAGE.sub(" ", text)
 
 
-def fit_grams(rows: list[tuple[str, str]]) -> np.ndarray:
-    """Log likelihood of each bucket under each of LANGS, from (language, text) rows; relative to the likeliest language and clipped."""
-    index = {lang: k for k, lang in enumerate(LANGS)}
-    counts = np.full((len(LANGS), 1 << NB_BITS), 0.2, dtype=np.float64)
-    for lang, place in index.items():
-        own = [_padded(text) for of, text in rows if of == lang and text]
-        for low, high in steps(own):
-            counts[place] += np.bincount(hashes(code_points(own[low:high])[0]), minlength=1 << NB_BITS)
+def counted_grams(texts: list[str]) -> np.ndarray:
+    """How often each bucket occurs in the texts."""
+    out = np.zeros(1 << NB_BITS, dtype=np.int64)
+    own = [_padded(text) for text in texts if text]
+    for low, high in steps(own):
+        out += np.bincount(hashes(code_points(own[low:high])[0]), minlength=1 << NB_BITS)
+    return out
+
+
+def grams_of(counts: np.ndarray) -> np.ndarray:
+    """Log likelihood of each bucket under each of LANGS, from its counts in each; relative to the likeliest language and clipped."""
+    counts = counts + 0.2
     grams = np.log(counts / counts.sum(axis=1, keepdims=True))
     return np.ascontiguousarray(np.clip(grams - grams.max(axis=0, keepdims=True), -6.0, 0.0).T, dtype=np.float32)
 
 
+def fit_grams(rows: list[tuple[str, str]]) -> np.ndarray:
+    """``grams_of`` (language, text) rows."""
+    return grams_of(np.stack([counted_grams([text for of, text in rows if of == lang]) for lang in LANGS]))
+
+
 def language_scores(texts: list[str], grams: np.ndarray, block: int = 250_000) -> np.ndarray:
     """Log likelihood of each text under each language; overlong tokens and runs of one character say nothing."""
     texts = [_padded(t) for t in texts]

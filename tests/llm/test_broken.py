@@ -88,3 +88,22 @@ def test_pairs(spark, data):
     got = {r.pair_uid: r.defect for r in broken.broken_pairs(both.withColumn("defect", both.pair_uid), "pair_uid", "question", "answer", "lang").collect() if r.pair_uid[0] == "x"}
     assert got == {"x1": "empty", "x2": "language", "x3": "truncated"}
     assert broken.broken_pairs(table.limit(0), "pair_uid", "question", "answer", "lang").count() == 0
+
+
+def test_models_from_all_rows(spark):
+    # of 700 Spanish rows the 400 whose ids have the smallest hashes hold no Spanish word: models of a bounded sample by hash would see no other
+    from pyspark.sql import functions as F
+
+    ids = [r.id for r in spark.range(700).select(F.col("id").cast("string").alias("id")).orderBy(F.xxhash64("id"), "id").collect()]
+    spanish = [f"Los médicos relacionan la dosis {k} con los riñones y muchas personas mejoran en {k % 9 + 2} semanas con reposo y agua." for k in range(300)]
+    rows = [(i, f"{k}?", f"{k}, {k + 1}.", "es") for k, i in enumerate(ids[:400])] + [(i, "¿Qué es la gota y cómo se trata?", a, "es") for i, a in zip(ids[400:], spanish, strict=True)]
+    rows += [(f"e{k}", "What is gout and how do doctors treat it?", text, "en") for k, text in enumerate(PROSE)]
+    rows += [("x1", "What is gout and how do doctors treat it?", "Muchas personas mejoran en tres semanas con reposo y agua, y los médicos relacionan la dosis con los riñones.", "en"), (None, "What is gout?", PROSE[0][:-6], "en")]
+    table = spark.createDataFrame(rows, "id string, question string, answer string, lang string").repartition(5)
+    got = {r.id: r.defect for r in broken.broken_pairs(table, "id", "question", "answer", "lang").collect()}
+    assert got["x1"] == "language" and got[None] == "truncated" and len(got) < 30
+    # the sums of the tasks give the models of the rows at hand, however the rows are cut
+    local = broken.defects([r[1] for r in rows], [r[2] for r in rows], broken.fit([(r[3], r[1], r[2]) for r in rows]))
+    assert {r[0]: defect for r, defect in zip(rows, local, strict=True) if defect} == got
+    again = broken.broken_pairs(table.coalesce(1), "id", "question", "answer", "lang")
+    assert {r.id: r.defect for r in again.collect()} == got
