@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import declining, endings
-from tessella.llm.common import LANGS, arrow_rows, clean_lang, settle
+from tessella.llm.common import LANGS, arrow_rows, clean_lang, settle, union_all
 from tessella.llm.language import NB_BITS, counted_grams, fit_grams, grams_of, language_scores  # noqa: F401
 
 #: Counts of a language's texts are scaled to so many rows if it has more, so that languages weigh alike and smoothing and seeds hold at any size.
@@ -157,7 +157,7 @@ def fit(rows: list[tuple[str, str | None, str | None]]) -> Models:
     units = weights({lang: langs.count(lang) for lang in set(langs)})
     prompts, grams, content = _split(counted(langs, questions, answers, units), units)
     found = found_counts(langs, answers, declining.fit(content), units) / UNIT
-    ends = endings.merged([(*endings.counted(texts), units[lang] / UNIT) for lang, texts in _by_language(langs, answers).items()])
+    ends = endings.merged([(*of(texts), units[lang] / UNIT) for lang, texts in _by_language(langs, answers).items() for of in (endings.counted, endings.own_ends)])
     return Models(prompts, grams, declining.fit(content, found.reshape(len(declining.CLASSES), -1)), ends)
 
 
@@ -231,26 +231,32 @@ def _signed(keys: np.ndarray) -> np.ndarray:
 
 
 def _first_scan(units: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of (lang, question, answer): arrays of ``counted`` and the chains of the answers' ends."""
+    """Of (lang, question, answer): arrays of ``counted``, and the chains of the answers' ends with how many answers and closed answers of a language have each."""
+
+    def send(held: dict[tuple[str, int], list]) -> pa.RecordBatch:
+        return _batch(len(held), lang=[lang for lang, _ in held], key=[chain for _, chain in held], keys=[own[0] for own in held.values()], places=[own[1] for own in held.values()], ends=[own[2] for own in held.values()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
-        held: dict[int, list[int]] = {}
+        held: dict[tuple[str, int], list] = {}
         for batch in batches:
             langs, questions, answers = (batch.column(k).to_pylist() for k in range(3))
-            own = counted(langs, questions, answers, units)
-            sums = own if sums is None else sums + own
+            part = counted(langs, questions, answers, units)
+            sums = part if sums is None else sums + part
             keys, whole = endings.chains([a or "" for a in answers])
-            whole, rows = np.unique(whole, return_index=True)
-            for chain, row in zip(_signed(whole).tolist(), _signed(keys[rows]).tolist(), strict=True):
+            for lang, answer, chain, row in zip(langs, answers, _signed(whole).tolist(), _signed(keys), strict=True):
                 if chain:
-                    held[chain] = row
+                    own = held.get((lang, chain))
+                    if own is None:
+                        own = held[lang, chain] = [row.tolist(), 0, 0]
+                    own[1] += 1
+                    own[2] += endings.closed(answer)
             if len(held) > HELD:
-                yield _batch(len(held), key=list(held), keys=list(held.values()))
+                yield send(held)
                 held = {}
         if sums is not None:
             yield _sent(sums)
-            yield _batch(len(held), key=list(held), keys=list(held.values()))
+            yield send(held)
 
     return run
 
@@ -276,8 +282,7 @@ def _second_scan(units: dict[str, int], odds, wanted) -> Callable[[Iterator[pa.R
             own = found_counts(langs, answers, odds.value, units)
             sums = own if sums is None else sums + own
             for lang, texts in _by_language(langs, answers).items():
-                both = [endings.counted(texts, is_wanted), *([held[lang]] if lang in held else [])]
-                held[lang] = endings.summed(np.concatenate([k for k, _ in both]), np.concatenate([u for _, u in both]))
+                held[lang] = endings.joined([endings.counted(texts, is_wanted), *([held[lang]] if lang in held else [])])
                 if len(held[lang][0]) > HELD:
                     yield send(lang, *held.pop(lang))
         if sums is not None:
@@ -300,9 +305,12 @@ def _map(chains: DataFrame) -> np.ndarray:
     return out
 
 
-def _breaking(chains: DataFrame, counts: DataFrame, units: dict[str, int]) -> DataFrame:
-    """The chains (chain) whose contexts are no end of a text, by the sums of counts; as ``endings.breaks_off``."""
-    sums = counts.where("key is not null").groupBy("lang", F.col("key").alias("k")).agg(F.sum("ends").alias("ends"), F.sum("places").alias("places"))
+def _breaking(first: DataFrame, chains: DataFrame, second: DataFrame, units: dict[str, int]) -> DataFrame:
+    """The chains (chain) whose contexts are no end of a text, by the counts of both scans; as ``endings.breaks_off``."""
+    own = first.where("keys is not null").select("lang", "ends", "places", F.posexplode("keys").alias("level", "k"))
+    number = F.when(F.col("level") < endings.FIRST, F.col("places")).otherwise(F.col("ends")) * F.lit(endings.UNIT)
+    counts = union_all(second.where("key is not null").select("lang", F.col("key").alias("k"), "ends", "places"), own.select("lang", "k", number.alias("ends"), number.alias("places")))
+    sums = counts.groupBy("lang", "k").agg(F.sum("ends").alias("ends"), F.sum("places").alias("places"))
     weight = F.create_map(*(F.lit(x) for lang, own in units.items() for x in (lang, own / UNIT / endings.UNIT)))[F.col("lang")] if units else F.lit(1.0)
     weights = sums.groupBy("k").agg(F.sum(F.col("ends") * weight).alias("ends"), F.sum(F.col("places") * weight).alias("places"))
     levels = chains.select("chain", F.posexplode("keys").alias("level", "k")).join(weights, "k")
@@ -332,7 +340,7 @@ def broken_pairs(df: DataFrame, id_col: str, question_col: str, answer_col: str,
     odds, wanted = context.broadcast(declining.fit(content)), context.broadcast(_map(chains))
     second = settle(texts.mapInArrow(_second_scan(units, odds, wanted), _COUNTS_DDL))
     found = _received(second, len(declining.CLASSES) * (2 << declining.BITS)) / UNIT
-    breaking = settle(_breaking(chains, second, units))
+    breaking = settle(_breaking(first, chains, second, units))
     models = context.broadcast(Models(prompts, grams, declining.fit(content, found.reshape(len(declining.CLASSES), -1)), None))
     schema = pa.schema([("id", to_arrow_type(kind)), ("defect", pa.string()), ("chain", pa.int64())])
 

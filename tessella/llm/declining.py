@@ -142,10 +142,14 @@ keine angabe; keine angaben; keine antwort; nicht verfügbar; ausstehend; entfä
 """.strip().replace("\n", "; ").split("; ")
 
 
-def _grams(points: np.ndarray, size: int = 5) -> np.ndarray:
-    """Hash buckets of the ``size`` characters that end at each character; capitals of Latin and Cyrillic as small letters, digits alike."""
+def _low(points: np.ndarray) -> np.ndarray:
+    """Code points with capitals of Latin and Cyrillic as small letters, digits alike."""
     low = np.where(((points >= 65) & (points <= 90)) | ((points >= 0x410) & (points <= 0x42F)), points + 32, points)
-    low = np.where((low >= 48) & (low <= 57), 48, np.where(low == 0x2019, 39, low)).astype(np.uint32)
+    return np.where((low >= 48) & (low <= 57), 48, np.where(low == 0x2019, 39, low)).astype(np.uint32)
+
+
+def _grams(low: np.ndarray, size: int = 5) -> np.ndarray:
+    """Hash buckets of the ``size`` characters that end at each character."""
     mixed = low * np.uint32(2654435761)
     for back, factor in zip(range(1, size), (2246822519, 3266489917, 668265263, 374761393), strict=False):
         mixed[back:] += low[:-back] * np.uint32(factor)
@@ -175,9 +179,9 @@ def counted(texts: list[str]) -> np.ndarray:
     out = np.zeros(2 << BITS)
     for low, high in steps(texts):
         points, ends = code_points([_padded(t) for t in texts[low:high]])
-        inner = _inner(points, ends)
-        out[: 1 << BITS] += np.bincount(_grams(points)[inner], minlength=1 << BITS)
-        out[1 << BITS :] += np.bincount(_grams(points, 3)[inner], minlength=1 << BITS)
+        inner, chars = _inner(points, ends), _low(points)
+        out[: 1 << BITS] += np.bincount(_grams(chars)[inner], minlength=1 << BITS)
+        out[1 << BITS :] += np.bincount(_grams(chars, 3)[inner], minlength=1 << BITS)
     return out
 
 
@@ -206,6 +210,7 @@ def classes(scores: np.ndarray) -> np.ndarray:
 def class_scores(texts: list[str], odds: np.ndarray, block: int = 200_000) -> np.ndarray:
     """Mean log odds a character of each text, over its whole length, for CLASSES; very low for empty texts."""
     out = np.full((len(texts), odds.shape[1]), -CLIP)
+    columns = [(np.ascontiguousarray(odds[: 1 << BITS, k]), np.ascontiguousarray(odds[1 << BITS :, k])) for k in range(odds.shape[1])]
     start = 0
     while start < len(texts):
         end, held = start, 0
@@ -214,9 +219,11 @@ def class_scores(texts: list[str], odds: np.ndarray, block: int = 200_000) -> np
             end += 1
         padded = [_padded(t) for t in texts[start:end]]
         points, ends = code_points(padded)
-        values = odds[_grams(points)] + odds[_grams(points, 3) + (1 << BITS)]
-        values[~_inner(points, ends)] = 0.0
-        sums = np.add.reduceat(values, ends[:-1], axis=0)
-        out[start:end] = sums / (np.diff(ends) - _PAD)[:, None]
+        chars = _low(points)
+        fives, threes, padding = _grams(chars), _grams(chars, 3), ~_inner(points, ends)
+        for k, (of_fives, of_threes) in enumerate(columns):
+            values = of_fives.take(fives) + of_threes.take(threes)
+            values[padding] = 0.0
+            out[start:end, k] = np.add.reduceat(values, ends[:-1]) / (np.diff(ends) - _PAD)
         start = end
     return out

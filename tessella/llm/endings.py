@@ -41,10 +41,11 @@ _BULLET = re.compile(r"\s*(?:[-*•·‣▪◦–—+]|\[[ xX]?\]|\(?\d{1,3}[.)\
 _CELL = re.compile(r"[<>≤≥]?\d[\d.,/]*%?|n/a|\+/-|±|rare|rares|raro|selten|редко|罕见|まれ|दुर्लभ|نادر")
 
 
-#: Kinds of lines, and of last characters besides letters, whose kind goes by their script; levels of contexts.
+#: Kinds of lines, and of last characters besides letters, whose kind goes by their script.
 LINES = ("prose", "list", "cells", "item", "link", "row")
 _KINDS = {"T": 1, "D": 2, "C": 3, "S": 4, "B": 5, "U": 6, "Lx": 7, "L": 8}
-LEVELS = 2 + len(SUFFIXES)
+#: Levels of contexts, and those before the last characters.
+FIRST, LEVELS = 2, 2 + len(SUFFIXES)
 
 
 @dataclass
@@ -126,28 +127,37 @@ def _second(kind, opened, size):  # noqa: ANN001, ANN202
     return np.where(np.asarray(kind) == _KINDS["T"], 0, bits + 1) << 1 | opened
 
 
+def _codes(places: Places) -> np.ndarray:
+    return places.general << 5 | places.second
+
+
+def _first_keys(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first and second level of each of ``_codes``."""
+    codes = np.arange(1 + most)
+    first = mixed((codes >> 5).astype(np.uint64) + np.uint64(1))
+    return first, mixed(first ^ mixed((codes & 31).astype(np.uint64) + np.uint64(1 << 32)))
+
+
 def _levels(places: Places, points: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray] | None = None):  # noqa: ANN202
     """Of each level, from the most general one on, which places have a wanted context and its hash; a place without a wanted one at some level has none after it."""
-    of = places.general << 5 | places.second
-    codes = np.arange(1 + of.max(initial=0))
-    first = mixed((codes >> 5).astype(np.uint64) + np.uint64(1))
-    second = mixed(first ^ mixed((codes & 31).astype(np.uint64) + np.uint64(1 << 32)))
+    of = _codes(places)
+    first, second = _first_keys(of.max(initial=0))
     at = np.arange(len(of)) if wanted is None else np.flatnonzero(wanted(first)[of])
     first, second = first[of[at]], second[of[at]]
     yield at, first
     kept = slice(None) if wanted is None else wanted(second)
     yield at[kept], second[kept]
-    _, low, _ = _tables()
+    low = _tables()[1][points]
     keys, done = mixed(first ^ np.uint64(0x5A17)), 0
+    starts, ends = places.starts[at], places.ends[at]
     for size in SUFFIXES:
         for back in range(done + 1, size + 1):
-            place = places.ends[at] - back
-            chars = low[points[np.maximum(place, 0)]]
-            keys = np.where(place >= places.starts[at], mixed(keys * np.uint64(31) + chars + np.uint64(7)), keys)
+            place = ends - back
+            keys = np.where(place >= starts, mixed(keys * np.uint64(31) + low[np.maximum(place, 0)] + np.uint64(7)), keys)
         done = size
         if wanted is not None:
             kept = wanted(keys)
-            at, keys = at[kept], keys[kept]
+            at, keys, starts, ends = at[kept], keys[kept], starts[kept], ends[kept]
         yield at, keys
 
 
@@ -155,9 +165,16 @@ def _open(tail: str) -> bool:
     return any(tail.count(a) > tail.count(b) for a, b in zip(_OPENERS[:3], _CLOSERS[:3], strict=True))
 
 
-def _closed(text: str) -> bool:
+def _mark(text: str) -> re.Match[str] | None:
+    """The mark of omission at the end of a stripped text."""
+    if text[-1] not in ".…])>»eE" or text[-1] == "." and text[-3:] != "...":  # no mark ends so
+        return None
+    return _MARK.search(text, max(0, len(text) - 60))
+
+
+def closed(text: str) -> bool:
     text = text.strip(_WRAP)
-    return text[-1:] in tuple(_TERMINAL + _CLOSERS) and not _MARK.search(text, max(0, len(text) - 60))
+    return text[-1:] in tuple(_TERMINAL + _CLOSERS) and not _mark(text)
 
 
 def _end(text: str) -> tuple[int, int, bool, int, str] | None:
@@ -165,7 +182,7 @@ def _end(text: str) -> tuple[int, int, bool, int, str] | None:
     text = text.strip(_WRAP)
     if not text:
         return None
-    marked = _MARK.search(text, max(0, len(text) - 60))
+    marked = _mark(text)
     if marked and marked.start():
         text = text[: marked.start()].rstrip(_WRAP) or text
     kind, line, opened = _kind(text[-1]), _line(text), False
@@ -222,18 +239,19 @@ def _within(texts: list[str]) -> tuple[Places, np.ndarray, np.ndarray, np.ndarra
     offsets, sizes, goes_on = rows.T
     starts, whole = ends[:-1], np.diff(ends)
     closers, terminal = np.array([ord(c) for c in _CLOSERS]), _KINDS["T"]
-    depth = np.zeros((3, len(points) + 1), dtype=np.int32)
+    depth, opens = np.zeros((3, len(points) + 1), dtype=np.int32), np.zeros(len(points) + 1, dtype=np.int32)
+    np.cumsum(np.isin(points, [ord(c) for c in _OPENERS[:3]]), out=opens[1:])
     for k, (a, b) in enumerate(zip(_OPENERS[:3], _CLOSERS[:3], strict=True)):
         np.cumsum((points == ord(a)).astype(np.int8) - (points == ord(b)), out=depth[k, 1:], dtype=np.int32)
     # the last character before each place that doesn't wrap
     solid = np.r_[0, np.maximum.accumulate(np.where(wraps[points], 0, np.arange(1, len(points) + 1)))] if len(points) else np.zeros(1, dtype=np.int64)
 
     # ends of sentences whose text goes on; of closed ones also without the closing mark and with a mark of omission
-    on, closed = np.flatnonzero(goes_on), np.flatnonzero(whole > sizes)
-    last, bare = points[ends[1:][on] - 1], kinds[points[starts[closed] + sizes[closed] - 1]]
+    on, shut = np.flatnonzero(goes_on), np.flatnonzero(whole > sizes)
+    last, bare = points[ends[1:][on] - 1], kinds[points[starts[shut] + sizes[shut] - 1]]
     of_on = np.where(np.isin(last, closers), _KINDS["B"], kinds[last])
-    bare_end = starts[closed] + sizes[closed]
-    bare_open = (depth[:, bare_end] > depth[:, starts[closed]]).any(axis=0)
+    bare_end = starts[shut] + sizes[shut]
+    bare_open = (depth[:, bare_end] > depth[:, starts[shut]]).any(axis=0)
     # all places within sentences from their third character on
     many = np.maximum(sizes - 3, 0)
     of = np.repeat(np.arange(len(sizes)), many)
@@ -243,59 +261,74 @@ def _within(texts: list[str]) -> tuple[Places, np.ndarray, np.ndarray, np.ndarra
     units = np.rint(CUT_WEIGHT * UNIT / np.maximum(many, 1)).astype(np.int64)[of]
     units += np.where((points[at - 1] == 46) & (kinds[points[at]] != _KINDS["D"]) & (after > 2), int(STOP_WEIGHT * UNIT), 0)
     char = points[place - 1]
-    bracket = np.isin(char, closers)  # an answer may end with a bracket
+    bracket = np.isin(np.arange(0x10000), closers)[np.minimum(char, 0xFFFF)]  # an answer may end with a bracket
     kind = np.where(bracket, _KINDS["B"], kinds[char])
-    opened = (depth[0, place] > depth[0, before]) | (depth[1, place] > depth[1, before]) | (depth[2, place] > depth[2, before])
-    opened &= ~bracket & (kind != terminal)
+    opened = np.zeros(len(of), dtype=bool)
+    some = np.flatnonzero((opens[ends[1:]] > opens[starts])[of] & ~bracket & (kind != terminal))
+    opened[some] = (depth[:, place[some]] > depth[:, before[some]]).any(axis=0)
 
-    no, yes = np.zeros(len(closed), dtype=np.int64), np.ones(len(closed), dtype=np.int64)
+    no, yes = np.zeros(len(shut), dtype=np.int64), np.ones(len(shut), dtype=np.int64)
     all_of = Places(
         np.concatenate([_general(0, of_on, 0), _general(0, bare, 0), _general(0, yes * terminal, 1), _general(0, kind, (after % 3 == 0) & ~bracket)]).astype(np.int64),
-        np.concatenate([_second(of_on, 0, (offsets + whole)[on]), _second(bare, bare_open, (offsets + sizes)[closed]), _second(yes * terminal, no, (offsets + whole)[closed]), _second(kind, opened, offsets[of] + after)]).astype(np.int64),
-        np.concatenate([starts[on], starts[closed], starts[closed], before]),
-        np.concatenate([ends[1:][on], bare_end, ends[1:][closed], place]),
+        np.concatenate([_second(of_on, 0, (offsets + whole)[on]), _second(bare, bare_open, (offsets + sizes)[shut]), _second(yes * terminal, no, (offsets + whole)[shut]), _second(kind, opened, offsets[of] + after)]).astype(np.int64),
+        np.concatenate([starts[on], starts[shut], starts[shut], before]),
+        np.concatenate([ends[1:][on], bare_end, ends[1:][shut], place]),
     )
     weights = np.concatenate([np.full(len(on), UNIT), yes * int(UNMARKED * UNIT), yes * int(OMITTED * UNIT), units])
-    is_end = np.concatenate([np.ones(len(on) + 2 * len(closed), dtype=bool), bracket])
+    is_end = np.concatenate([np.ones(len(on) + 2 * len(shut), dtype=bool), bracket])
     return all_of, weights, is_end, points
 
 
-def summed(keys: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys, each once, and the sums of their rows of units."""
-    if not len(keys):
-        return keys, units
+def summed(keys: np.ndarray, ends: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, each once, and the sums of their units of ends and of all places."""
     # a slot of a key's highest bits holds one key; the few rows of other keys of a slot are sorted
     slots = (keys >> np.uint64(48)).astype(np.int64)
     held = np.zeros(1 << 16, dtype=np.uint64)
     held[slots] = keys
     own = held[slots] == keys
+    other = np.flatnonzero(~own)
+    if len(other):
+        rest = keys[other], ends[other], places[other]
+        slots, ends, places = slots[own], ends[own], places[own]
     used = np.flatnonzero(np.bincount(slots, minlength=1 << 16))
-    sums = np.stack([np.bincount(slots[own], weights=units[own, k], minlength=1 << 16)[used] for k in range(2)], axis=1)  # whole numbers below 2^53
+    sums = np.stack([np.bincount(slots, weights=units, minlength=1 << 16)[used] for units in (ends, places)], axis=1)  # whole numbers below 2^53
     out, totals = held[used], sums.astype(np.int64)
-    if not own.all():
-        keys, units = keys[~own], units[~own]
-        order = np.argsort(keys)
-        keys, units = keys[order], units[order]
+    if len(other):
+        order = np.argsort(rest[0])
+        keys, units = rest[0][order], np.stack(rest[1:], axis=1)[order]
         firsts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         out, totals = np.r_[out, keys[firsts]], np.r_[totals, np.add.reduceat(units, firsts, axis=0)]
     return out, totals
 
 
-def counted(answers: list[str], wanted: Callable[[np.ndarray], np.ndarray] | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the (wanted) contexts in texts, and units of ends and of all places of each; own: the texts' ``chains``, if known."""
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    if own is None:
-        own, _ = chains(answers)
-    # a text may itself break off: without a closing mark it says what lines texts end in, not which characters
-    closed = np.array([_closed(a) for a in answers], dtype=bool)
-    some = own[:, 0] != 0
-    ends = np.concatenate([own[some][:, :2].ravel(), own[some & closed][:, 2:].ravel()])
-    parts.append(summed(ends, np.full((len(ends), 2), UNIT, dtype=np.int64)))
-    for low, high in steps(answers):
+def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of several of ``summed``."""
+    units = np.concatenate([u for _, u in parts])
+    return summed(np.concatenate([k for k, _ in parts]), units[:, 0], units[:, 1])
+
+
+def counted(answers: list[str], wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the (wanted) contexts of the places in the sentences of texts, and units of ends and of all places of each."""
+    parts = [(np.zeros(0, dtype=np.uint64), np.zeros((0, 2), dtype=np.int64))]
+    for low, high in steps(answers, 250_000):
         places, weights, is_end, points = _within(answers[low:high])
-        for at, keys in _levels(places, points, wanted):
-            parts.append(summed(keys, np.stack([np.where(is_end[at], weights[at], 0), weights[at]], axis=1)))
-    return summed(np.concatenate([k for k, _ in parts]), np.concatenate([u for _, u in parts]))
+        ends, codes = np.where(is_end, weights, 0), _codes(places)
+        sums = [np.bincount(codes, weights=units).astype(np.int64) for units in (ends, weights)]
+        used = np.flatnonzero(sums[1])
+        parts += [summed(keys[used], sums[0][used], sums[1][used]) for keys in _first_keys(len(sums[1]) - 1)]
+        for at, keys in list(_levels(places, points, wanted))[FIRST:]:
+            parts.append(summed(keys, ends[at], weights[at]))
+    return joined(parts)
+
+
+def own_ends(answers: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``counted``, of the ends of texts."""
+    own, whole = chains(answers)
+    # a text may itself break off: without a closing mark it says what lines texts end in, not which characters
+    ended = np.array([bool(chain) and closed(a) for a, chain in zip(answers, whole, strict=True)], dtype=bool)
+    keys = np.concatenate([own[whole != 0][:, :FIRST].ravel(), own[ended][:, FIRST:].ravel()])
+    units = np.full(len(keys), UNIT, dtype=np.int64)
+    return summed(keys, units, units)
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray, float]]) -> Counts:
@@ -307,7 +340,7 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray, float]]) -> Counts:
 
 def fit(answers: list[str]) -> Counts:
     """Weights of ends and of all places by context, from texts."""
-    return merged([(*counted([a for a in answers if a and a.strip(_WRAP)]), 1.0)])
+    return merged([(*counted(answers), 1.0), (*own_ends(answers), 1.0)])
 
 
 def end_probability(text: str, counts: Counts) -> float:

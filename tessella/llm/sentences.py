@@ -27,12 +27,14 @@ USUAL, USUAL_DENSE, STRETCH = 85.0, 40.0, 0.12
 
 _CLOSE = "\"'”’“»)\\]」』）】》"
 _CANDIDATE = re.compile(
+    r"(?=[.!?…؟。！？｡।॥۔\s])(?:"  # what all begin with, so that other characters are passed fast
     rf"(?:[.!?…؟]+[{_CLOSE}]*)+(?:[   ]»)?(?:\s+|(?=[^\W\d_])|(?=[\"“„«(¿¡\[])|$)"
     rf"|(?:[。！？｡।॥۔]+[{_CLOSE}]*)+\s*"
     r"|(?<=[฀-๿])\s+(?=[฀-๿])"
-    r"|\s*\n\s*"
+    r"|\s*\n\s*)"
 )
 _TOKEN = re.compile(r"[^\s\"'“”„«»(\[（「]*$")
+_BREAK = re.compile(r"[\s\"'“”„«»(\[（「]")
 
 # Abbreviations after which a sentence goes on, in lower case and without their last full stop.
 ABBREVIATIONS = frozenset(
@@ -117,8 +119,11 @@ def _closing(text: str, start: int, end: int, opens: str) -> float:
         return 1.2
     if len(marks) > 1 and marks[0] == "." and marks[1:2] not in ("\"", "'", "”", "“", "»", "") and "." in marks[1:]:
         return 3.0  # as in "ff.)."
-    token = _TOKEN.search(text, max(0, start - 40), start)
-    word = token.group() if token else ""
+    if text[start - 1 : start] == "\n":
+        token = _TOKEN.search(text, max(0, start - 40), start)
+        word = token.group() if token else ""
+    else:
+        word = _BREAK.split(text[max(0, start - 40) : start])[-1]
     low = word.lower().lstrip("¿¡-–—")
     if low in MAY_END:
         return 1.5
