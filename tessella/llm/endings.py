@@ -231,10 +231,9 @@ def _sentences(texts: list[str]) -> tuple[list[str], np.ndarray]:
     return found, np.array(rows, dtype=np.int64).reshape(-1, 3)
 
 
-def _within(texts: list[str]) -> tuple[Places, np.ndarray, np.ndarray, np.ndarray]:
-    """The places in the sentences of texts, their units, whether each is an end, and the code points."""
+def _within(found: list[str], rows: np.ndarray) -> tuple[Places, np.ndarray, np.ndarray, np.ndarray]:
+    """The places in ``_sentences``, their units, whether each is an end, and the code points."""
     kinds, _, wraps = _tables()
-    found, rows = _sentences(texts)
     points, ends = code_points(found)
     offsets, sizes, goes_on = rows.T
     starts, whole = ends[:-1], np.diff(ends)
@@ -310,8 +309,9 @@ def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def counted(answers: list[str], wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the (wanted) contexts of the places in the sentences of texts, and units of ends and of all places of each."""
     parts = [(np.zeros(0, dtype=np.uint64), np.zeros((0, 2), dtype=np.int64))]
-    for low, high in steps(answers, 250_000):
-        places, weights, is_end, points = _within(answers[low:high])
+    found, rows = _sentences(answers)
+    for low, high in steps(found, 250_000):
+        places, weights, is_end, points = _within(found[low:high], rows[low:high])
         ends, codes = np.where(is_end, weights, 0), _codes(places)
         sums = [np.bincount(codes, weights=units).astype(np.int64) for units in (ends, weights)]
         used = np.flatnonzero(sums[1])
