@@ -56,18 +56,24 @@ def letters(text: str | None) -> str:
     return "".join(c for c in plain(text) if c.isalnum() or unicodedata.category(c)[0] == "M")
 
 
+def _begins(text: str) -> str | None:
+    """``plain`` of a text's beginning up to a space, which no character before it is joined with; None if that isn't what ``plain`` of the text begins with."""
+    cut = text.find(" ", 200)
+    return plain(text[:cut]) if cut > 0 and "&" not in text and "<" not in text else None
+
+
 def has_letters(text: str | None) -> bool:
     """Whether a text has a letter or digit besides markup."""
-    return any(c.isalnum() for c in plain(text))
+    return any(c.isalnum() for c in _begins(text or "") or "") or any(c.isalnum() for c in plain(text))
 
 
 def is_copied(question: str | None, answer: str) -> bool:
     """Whether an answer only gives the question back, in any case, markup, spacing, with a label or several times; a question of fewer than four letters isn't compared."""
     if not question:
         return False
-    asked, given = plain(question), plain(answer)
-    known = set(asked) | _LABEL_LETTERS
-    if any(c.isalnum() for c in set(given) - known):
+    known = set(plain(question)) | _LABEL_LETTERS
+    begins = _begins(answer)
+    if begins and any(c.isalnum() for c in set(begins) - known) or any(c.isalnum() for c in set(plain(answer)) - known):
         return False
     asked, given = letters(question), letters(answer)
     if len(asked) < 4 or asked not in given:
@@ -87,11 +93,15 @@ def asked_for(question: str | None) -> str:
 def without_names(question: str | None, answer: str) -> str:
     """An answer without the words of Latin letters and digits that its question has, too, so that a subject's name says nothing of how it is treated."""
     words = [w for w in _NAME.findall(question or "") if w.isascii()]
-    foreign = any(ord(c) >= 0x370 and c.isalpha() for c in question or "")  # then every Latin word is a name
+    foreign = not (question or "").isascii() and any(ord(c) >= 0x370 and c.isalpha() for c in question)  # then every Latin word is a name
     names = {w for w in words if foreign or not w.islower()}
-    if not any(n in answer for n in names):
+    names = [n for n in names if n in answer]
+    if not names:
         return answer
-    left = re.sub("|".join(sorted(map(re.escape, names), key=len, reverse=True)), " ", answer)
+    if len(names) == 1:
+        left = answer.replace(names[0], " ")
+    else:
+        left = re.sub("|".join(sorted(map(re.escape, names), key=len, reverse=True)), " ", answer)
     return left if has_letters(left) else answer
 
 

@@ -36,7 +36,8 @@ _OPENERS, _CLOSERS = "([（「『【{<", ")]）」』】}>"
 #: Marks of omission, those added to cuts first.
 MARKS = ("...", "…", " (more)", " [...]", " […]")
 _MARK = re.compile(r"\s*(?:\.{3,}|…+|[\[(](?:\.{2,}|…|more|cont(?:inued|\.|'d)?|cut|truncated|read more|mehr|suite|más|ещё|更多|続き)[\])]|read more|>>+|»»)\s*$", re.I)
-_LINK = re.compile(r"(?:https?://|www\.)\S+$|\S+@\S+\.\w+$")
+_LINK = re.compile(r"(?:https?://|www\.)\S")
+_WORD = re.compile(r"\w+")
 _BULLET = re.compile(r"\s*(?:[-*•·‣▪◦–—+]|\[[ xX]?\]|\(?\d{1,3}[.)\]]|\(?[a-zA-Z][.)])\s+\S")
 _CELL = re.compile(r"[<>≤≥]?\d[\d.,/]*%?|n/a|\+/-|±|rare|rares|raro|selten|редко|罕见|まれ|दुर्लभ|نادر")
 
@@ -73,17 +74,25 @@ def _cells(tail: str) -> bool:
     return cells >= 3 and len(tokens) <= 6 * cells and bool(_CELL.fullmatch(tokens[-1].lower()))
 
 
+def _is_link(token: str) -> bool:
+    """Whether a token ends in a link or an address; in one pass, as in scripts without spaces a token may be a long text."""
+    if "@" in token:
+        stop = token.rfind(".")
+        if _WORD.fullmatch(token, stop + 1) and token.find("@", 1, max(0, stop - 1)) > 0:
+            return True
+    return ("://" in token or "www." in token) and bool(_LINK.search(token))
+
+
 def _line(text: str) -> str:
     """The kind of line a text ends in, as far as its last line shows it: item, link, row, or ''."""
-    lines = [line for line in text.split("\n") if line.strip()]
-    last = lines[-1].strip()
-    if _LINK.search(last.rsplit(None, 1)[-1]):
+    text = text.rstrip()
+    cut = text.rfind("\n") + 1
+    last = text[cut:].strip()
+    if _is_link(last.rsplit(None, 1)[-1]):
         return "link"
-    if _BULLET.match(last) and len(lines) > 1:
-        return "item"
-    if len(lines) > 1 and is_table(last):
-        return "row"
-    return ""
+    if not text[:cut].strip():
+        return ""
+    return "item" if _BULLET.match(last) else "row" if is_table(last) else ""
 
 
 def _kind(char: str) -> int:
@@ -95,11 +104,15 @@ def _kind(char: str) -> int:
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each code point its kind, its small letter (digits alike) and whether it wraps texts."""
     kinds, low = np.full(0x110000, _KINDS["S"], dtype=np.int64), np.arange(0x110000, dtype=np.uint64)
-    for point in range(0x32000):  # the planes after that hold no letters
-        char = chr(point)
-        kinds[point] = _kind(char)
-        small = char.lower()
-        low[point] = ord(small) if len(small) == 1 else point
+    for start in range(0, 0x32000, 256):  # the planes after that hold no letters
+        chars = [chr(point) for point in range(start, start + 256)]
+        block = "".join(chars)
+        if start >= 0x3000 and block.isalpha():
+            kinds[start : start + 256] = _KINDS["Lx"]
+        else:
+            kinds[start : start + 256] = list(map(_kind, chars))
+        if block.lower() != block:
+            low[start : start + 256] = [ord(c) if len(c) == 1 else start + k for k, c in enumerate(map(str.lower, chars))]
     low[48:58] = 48
     wraps = np.zeros(0x110000, dtype=bool)
     wraps[[ord(c) for c in _WRAP]] = True
@@ -138,29 +151,45 @@ def _first_keys(most: int) -> tuple[np.ndarray, np.ndarray]:
     return first, mixed(first ^ mixed((codes & 31).astype(np.uint64) + np.uint64(1 << 32)))
 
 
-def _levels(places: Places, points: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray] | None = None):  # noqa: ANN202
-    """Of each level, from the most general one on, which places have a wanted context and its hash; a place without a wanted one at some level has none after it."""
-    of = _codes(places)
-    first, second = _first_keys(of.max(initial=0))
-    at = np.arange(len(of)) if wanted is None else np.flatnonzero(wanted(first)[of])
-    first, second = first[of[at]], second[of[at]]
-    yield at, first
-    kept = slice(None) if wanted is None else wanted(second)
-    yield at[kept], second[kept]
-    low = _tables()[1][points]
+def _suffixes(places: Places, of: np.ndarray, points: np.ndarray, first: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray] | None = None):  # noqa: ANN202
+    """Of each level of last characters, which places have a wanted context and its hash; a place without a wanted one at some level, the first included, has none after it. of: ``_codes``, first: the hashes of their first level."""
     keys, done = mixed(first ^ np.uint64(0x5A17)), 0
-    starts, ends = places.starts[at], places.ends[at]
+    starts, ends = places.starts, places.ends
+    if wanted is None:
+        at, keys = np.arange(len(of)), keys[of]
+    else:
+        at = np.flatnonzero(wanted(first)[of])
+        keys = keys.take(of.take(at))
+        starts, ends = starts.take(at), ends.take(at)
+    low = _tables()[1].take(points)
     for size in SUFFIXES:
         for back in range(done + 1, size + 1):
             place = ends - back
-            keys = np.where(place >= starts, mixed(keys * np.uint64(31) + low[np.maximum(place, 0)] + np.uint64(7)), keys)
+            inside = place >= starts
+            if inside.all():
+                keys = mixed(keys * np.uint64(31) + low.take(place) + np.uint64(7))
+            else:
+                inside = np.flatnonzero(inside)
+                own = mixed(keys.take(inside) * np.uint64(31) + low.take(place.take(inside)) + np.uint64(7))
+                keys = keys.copy()
+                keys[inside] = own
         done = size
         if wanted is not None:
-            kept = wanted(keys)
-            at, keys, starts, ends = at[kept], keys[kept], starts[kept], ends[kept]
+            kept = np.flatnonzero(wanted(keys))
+            at, keys, starts, ends = at.take(kept), keys.take(kept), starts.take(kept), ends.take(kept)
         yield at, keys
 
 
+def _levels(places: Places, points: np.ndarray):  # noqa: ANN202
+    """Of each level, from the most general one on, the hashes of the contexts of places."""
+    of = _codes(places)
+    first, second = _first_keys(of.max(initial=0))
+    yield first[of]
+    yield second[of]
+    for _, keys in _suffixes(places, of, points, first):
+        yield keys
+
+
 def _open(tail: str) -> bool:
     return any(tail.count(a) > tail.count(b) for a, b in zip(_OPENERS[:3], _CLOSERS[:3], strict=True))
 
@@ -207,7 +236,7 @@ def chains(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rows = np.array([k for k, _ in found])
         general, kind, opened, size = (np.array([end[n] for _, end in found], dtype=np.int64) for n in range(4))
         points, ends = code_points([end[4] for _, end in found])
-        for level, (_, own) in enumerate(_levels(Places(general, _second(kind, opened, size), ends[:-1], ends[1:]), points)):
+        for level, own in enumerate(_levels(Places(general, _second(kind, opened, size), ends[:-1], ends[1:]), points)):
             keys[rows, level] = own
             whole[rows] = mixed(whole[rows] * np.uint64(31) + own)
     return keys, whole
@@ -217,12 +246,13 @@ def _sentences(texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Sentences that say where texts end, and of each its offset, its length without closing marks, and whether its text goes on."""
     found: list[str] = []
     rows: list[tuple[int, int, bool]] = []
+    marks = _TERMINAL + _WRAP + _CLOSERS
     for text in texts:
         cuts = boundaries(text)
         for a, b in zip(cuts, [*cuts, len(text)][1:], strict=True) if cuts else ():
             sentence = text[a:b].strip(_WRAP)
-            size = len(sentence.rstrip(_TERMINAL + _WRAP + _CLOSERS))
-            if size < 8 or _BULLET.match(text[a:b]):
+            size = len(sentence.rstrip(marks))
+            if size < 8 or _BULLET.match(text, a, b):
                 continue
             if size == len(sentence) and not "฀" <= sentence[-1] <= "๿":
                 continue  # a head line or an item
@@ -239,11 +269,13 @@ def _within(found: list[str], rows: np.ndarray) -> tuple[Places, np.ndarray, np.
     starts, whole = ends[:-1], np.diff(ends)
     closers, terminal = np.array([ord(c) for c in _CLOSERS]), _KINDS["T"]
     depth, opens = np.zeros((3, len(points) + 1), dtype=np.int32), np.zeros(len(points) + 1, dtype=np.int32)
-    np.cumsum(np.isin(points, [ord(c) for c in _OPENERS[:3]]), out=opens[1:])
     for k, (a, b) in enumerate(zip(_OPENERS[:3], _CLOSERS[:3], strict=True)):
-        np.cumsum((points == ord(a)).astype(np.int8) - (points == ord(b)), out=depth[k, 1:], dtype=np.int32)
+        opening = points == ord(a)
+        opens[1:] += opening
+        np.cumsum(opening.view(np.int8) - (points == ord(b)).view(np.int8), out=depth[k, 1:], dtype=np.int32)
+    np.cumsum(opens, out=opens)
     # the last character before each place that doesn't wrap
-    solid = np.r_[0, np.maximum.accumulate(np.where(wraps[points], 0, np.arange(1, len(points) + 1)))] if len(points) else np.zeros(1, dtype=np.int64)
+    solid = np.r_[0, np.maximum.accumulate(np.where(wraps.take(points), 0, np.arange(1, len(points) + 1)))] if len(points) else np.zeros(1, dtype=np.int64)
 
     # ends of sentences whose text goes on; of closed ones also without the closing mark and with a mark of omission
     on, shut = np.flatnonzero(goes_on), np.flatnonzero(whole > sizes)
@@ -254,22 +286,26 @@ def _within(found: list[str], rows: np.ndarray) -> tuple[Places, np.ndarray, np.
     # all places within sentences from their third character on
     many = np.maximum(sizes - 3, 0)
     of = np.repeat(np.arange(len(sizes)), many)
-    after = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + 2
-    at = starts[of] + after
-    place, before = solid[at], starts[of]
-    units = np.rint(CUT_WEIGHT * UNIT / np.maximum(many, 1)).astype(np.int64)[of]
-    units += np.where((points[at - 1] == 46) & (kinds[points[at]] != _KINDS["D"]) & (after > 2), int(STOP_WEIGHT * UNIT), 0)
-    char = points[place - 1]
-    bracket = np.isin(np.arange(0x10000), closers)[np.minimum(char, 0xFFFF)]  # an answer may end with a bracket
-    kind = np.where(bracket, _KINDS["B"], kinds[char])
+    after = np.arange(2, len(of) + 2) - np.repeat(np.cumsum(many) - many, many)
+    before = np.repeat(starts, many)
+    at = before + after
+    place = solid.take(at)
+    units = np.repeat(np.rint(CUT_WEIGHT * UNIT / np.maximum(many, 1)).astype(np.int64), many)
+    stops = np.flatnonzero(points.take(at - 1) == 46)
+    stops = stops[(kinds[points[at[stops]]] != _KINDS["D"]) & (after[stops] > 2)]
+    units[stops] += int(STOP_WEIGHT * UNIT)
+    char = points.take(place - 1)
+    bracket = np.isin(np.arange(0x10000), closers).take(np.minimum(char, 0xFFFF))  # an answer may end with a bracket
+    kind = kinds.take(char)
+    kind[bracket] = _KINDS["B"]
     opened = np.zeros(len(of), dtype=bool)
-    some = np.flatnonzero((opens[ends[1:]] > opens[starts])[of] & ~bracket & (kind != terminal))
+    some = np.flatnonzero(np.repeat(opens[ends[1:]] > opens[starts], many) & ~bracket & (kind != terminal))
     opened[some] = (depth[:, place[some]] > depth[:, before[some]]).any(axis=0)
 
     no, yes = np.zeros(len(shut), dtype=np.int64), np.ones(len(shut), dtype=np.int64)
     all_of = Places(
         np.concatenate([_general(0, of_on, 0), _general(0, bare, 0), _general(0, yes * terminal, 1), _general(0, kind, (after % 3 == 0) & ~bracket)]).astype(np.int64),
-        np.concatenate([_second(of_on, 0, (offsets + whole)[on]), _second(bare, bare_open, (offsets + sizes)[shut]), _second(yes * terminal, no, (offsets + whole)[shut]), _second(kind, opened, offsets[of] + after)]).astype(np.int64),
+        np.concatenate([_second(of_on, 0, (offsets + whole)[on]), _second(bare, bare_open, (offsets + sizes)[shut]), _second(yes * terminal, no, (offsets + whole)[shut]), _second(kind, opened, np.repeat(offsets, many) + after)]).astype(np.int64),
         np.concatenate([starts[on], starts[shut], starts[shut], before]),
         np.concatenate([ends[1:][on], bare_end, ends[1:][shut], place]),
     )
@@ -314,10 +350,10 @@ def counted(answers: list[str], wanted: Callable[[np.ndarray], np.ndarray] | Non
         places, weights, is_end, points = _within(found[low:high], rows[low:high])
         ends, codes = np.where(is_end, weights, 0), _codes(places)
         sums = [np.bincount(codes, weights=units).astype(np.int64) for units in (ends, weights)]
-        used = np.flatnonzero(sums[1])
-        parts += [summed(keys[used], sums[0][used], sums[1][used]) for keys in _first_keys(len(sums[1]) - 1)]
-        for at, keys in list(_levels(places, points, wanted))[FIRST:]:
-            parts.append(summed(keys, ends[at], weights[at]))
+        used, firsts = np.flatnonzero(sums[1]), _first_keys(len(sums[1]) - 1)
+        parts += [summed(keys[used], sums[0][used], sums[1][used]) for keys in firsts]
+        for at, keys in _suffixes(places, codes, points, firsts[0], wanted):
+            parts.append(summed(keys, ends.take(at), weights.take(at)))
     return joined(parts)
 
 

@@ -26,13 +26,16 @@ UNANSWERED = 7.0
 USUAL, USUAL_DENSE, STRETCH = 85.0, 40.0, 0.12
 
 _CLOSE = "\"'”’“»)\\]」』）】》"
-_CANDIDATE = re.compile(
-    r"(?=[.!?…؟。！？｡।॥۔\s])(?:"  # what all begin with, so that other characters are passed fast
-    rf"(?:[.!?…؟]+[{_CLOSE}]*)+(?:[   ]»)?(?:\s+|(?=[^\W\d_])|(?=[\"“„«(¿¡\[])|$)"
-    rf"|(?:[。！？｡।॥۔]+[{_CLOSE}]*)+\s*"
-    r"|(?<=[฀-๿])\s+(?=[฀-๿])"
-    r"|\s*\n\s*)"
+_DOTS, _FULL = ".!?…؟", "。！？｡।॥۔"
+# Patterns begin with one class, so that other characters are passed fast, and a run of marks is taken whole, so that none is tried in parts.
+_MARKED = (
+    rf"(?<=[{_DOTS}])[{_DOTS}]*+[{_CLOSE}]*(?:[{_DOTS}]++[{_CLOSE}]*)*(?:[   ]»)?(?:\s+|(?=[^\W\d_])|(?=[\"“„«(¿¡\[])|$)"
+    rf"|(?<=[{_FULL}])[{_FULL}]*+[{_CLOSE}]*(?:[{_FULL}]++[{_CLOSE}]*)*\s*"
 )
+#: Without Thai characters white space is a candidate only by a line break; what stands before the break belongs to it.
+_CANDIDATE = re.compile(rf"[{_DOTS}{_FULL}\n](?:{_MARKED}|(?<=\n)\s*)")
+_THAI_CANDIDATE = re.compile(rf"[{_DOTS}{_FULL}\s](?:{_MARKED}|(?<=[฀-๿]\s)\s*(?=[฀-๿])|(?<=\n)\s*|(?<=[^\S\n])[^\S\n]*+\n\s*)")
+_THAI = re.compile("[฀-๿]")
 _TOKEN = re.compile(r"[^\s\"'“”„«»(\[（「]*$")
 _BREAK = re.compile(r"[\s\"'“”„«»(\[（「]")
 
@@ -53,8 +56,10 @@ MAY_END = frozenset("etc usw a.m p.m f ff al jr inc co ltd u.s и.др т.д т.
 #: Words before a single capital letter that isn't an initial.
 BEFORE_LETTERS = frozenset("vitamin vitamine vitamina vitamins type typ tipo hepatitis hépatite group groupe gruppe grupo grade stage factor class plan stadium stade".split())
 
-_MARKS = re.compile(r"[()\[\]（）「」『』«»„“”\"《》【】]|\n\s*\n")
-_DENSE = re.compile("[぀-ヿ㐀-鿿฀-๿]")
+_MARKS = re.compile(r"[()\[\]（）「」『』«»„“”\"《》【】\n](?:(?<!\n)|\s*\n)")
+_LETTERS_STOPPED = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
+_ABBREVIATED = ABBREVIATIONS | BEFORE_NUMBERS | MAY_END
+_DENSE = re.compile("[぀-ヿ㐀-鿿฀-๿]+")
 _OPEN_PAIRS = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "«": "»", "„": "“", "“": "”", "《": "》", "【": "】"}
 
 
@@ -109,6 +114,8 @@ def _opening(text: str, at: int) -> float:
 def _closing(text: str, start: int, end: int, opens: str) -> float:
     """How well a sentence closes with text[start:end], the candidate's marks without white space; opens: the next character that is no mark, or ''."""
     marks = text[start:end]
+    if marks == ".":
+        return _stopped(text, start, opens)
     if not marks:
         return 0.0
     if marks[0] in "。！？｡।॥۔":
@@ -119,11 +126,22 @@ def _closing(text: str, start: int, end: int, opens: str) -> float:
         return 1.2
     if len(marks) > 1 and marks[0] == "." and marks[1:2] not in ("\"", "'", "”", "“", "»", "") and "." in marks[1:]:
         return 3.0  # as in "ff.)."
+    return _stopped(text, start, opens)
+
+
+def _stopped(text: str, start: int, opens: str) -> float:
+    """``_closing`` of a full stop."""
     if text[start - 1 : start] == "\n":
         token = _TOKEN.search(text, max(0, start - 40), start)
         word = token.group() if token else ""
     else:
-        word = _BREAK.split(text[max(0, start - 40) : start])[-1]
+        window = text[max(0, start - 40) : start]
+        word = "" if not window or window[-1].isspace() else window.rsplit(None, 1)[-1]
+        if word.isalpha():
+            if len(word) > 1 and word.isascii() and word.lower() not in _ABBREVIATED:
+                return 3.0
+        else:
+            word = _BREAK.split(word)[-1]
     low = word.lower().lstrip("¿¡-–—")
     if low in MAY_END:
         return 1.5
@@ -138,7 +156,7 @@ def _closing(text: str, start: int, end: int, opens: str) -> float:
             before = text[max(0, start - 24) : start - 1].split()
             return 3.0 if before and before[-1].lower().strip("(\"“„«") in BEFORE_LETTERS else -6.0
         return -4.0
-    if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word):
+    if "." in word and _LETTERS_STOPPED.fullmatch(word):
         return -2.5
     if word.isdigit() and len(word) <= 2 and opens.isupper():
         return _ordinal(text, start - len(word))
@@ -164,11 +182,15 @@ def boundaries(text: str) -> list[int]:
     if first >= last:
         return []
     starts, ends, closes, opens = [first], [first], [0.0], [0.0]
-    for found in _CANDIDATE.finditer(text, first, last):
-        at = found.end()
+    thai = not text.isascii() and _THAI.search(text)
+    for found in (_THAI_CANDIDATE if thai else _CANDIDATE).finditer(text, first, last):
+        start, at = found.span()
         if at >= last or at <= starts[-1]:
             continue
-        raw = found.group()
+        if text[start] == "\n":
+            while text[start - 1].isspace():
+                start -= 1
+        raw = text[start:at]
         core = raw.rstrip()
         blank = raw[len(core) :]
         after = text[at]
@@ -178,7 +200,7 @@ def boundaries(text: str) -> list[int]:
         opening = 0.0
         if not core:
             if "\n" in blank:
-                prior = text[found.start() - 1]
+                prior = text[start - 1]
                 score = 4.0 if blank.count("\n") > 1 else 1.5 if _opening(text, at) > 0.4 and not prior.isalnum() and prior not in ",;、，" else -1.0
                 if "฀" <= prior <= "๿" and "฀" <= after <= "๿":
                     score = 4.0
@@ -189,19 +211,19 @@ def boundaries(text: str) -> list[int]:
         else:
             if not blank and core[-1] not in "。！？｡।॥۔" and core[0] not in "。！？｡।॥۔":
                 # a full stop without white space: only between a word and a capital
-                prior = text[found.start() - 1 : found.start()]
+                prior = text[start - 1 : start]
                 if not (text[k].isupper() or text[k].isalpha() and not text[k].islower()) or not (prior.islower() or prior.isdigit() or prior in ")%”\"»" or prior.isalpha() and not prior.isupper()) or (len(core) == 1 and core == "." and prior.isdigit() and text[k].isdigit()):
                     continue
                 if "." in text[at : at + 3] and text[at : at + 1].isupper():
                     continue
-            opening = min(_opening(text, at), 2.0)
-            if core[0] in "。！？｡।॥۔" and text[at].isalnum():
+            opening = 2.0 if after.isupper() else min(_opening(text, at), 2.0)
+            if core[0] in "。！？｡।॥۔" and after.isalnum():
                 opening = max(opening, 0.0)
-            score = _closing(text, found.start(), found.start() + len(core), text[k])
+            score = _closing(text, start, start + len(core), text[k])
             if "\n" in blank and blank.count("\n") > 1:
                 score += 4.0  # a new paragraph
         starts.append(at)
-        ends.append(found.start() + len(core))
+        ends.append(start + len(core))
         closes.append(score)
         opens.append(opening)
     if len(starts) == 1:
@@ -228,7 +250,7 @@ def _best_spans(text: str, starts: list[int], ends: list[int], closes: list[floa
             asked[k + 1] = part.count("¿") - part.count("?") + part.count("¡") - part.count("!")
         for k in range(count):
             asked[k + 1] += asked[k]
-    usual = math.log(USUAL_DENSE if len(_DENSE.findall(text)) * 3 > len(text) else USUAL)
+    usual = math.log(USUAL_DENSE if not text.isascii() and sum(map(len, _DENSE.findall(text))) * 3 > len(text) else USUAL)
     logs: dict[int, float] = {}
     best, origin = [0.0] * (count + 1), [0] * (count + 1)
     # the most that a span from a candidate or one before can bring

@@ -107,3 +107,28 @@ def test_models_from_all_rows(spark):
     assert {r[0]: defect for r, defect in zip(rows, local, strict=True) if defect} == got
     again = broken.broken_pairs(table.coalesce(1), "id", "question", "answer", "lang")
     assert {r.id: r.defect for r in again.collect()} == got
+
+
+def test_costs_grow_with_the_text():
+    # before, ends of texts without spaces cost the square of their length, and a row of dots doubled the time of its sentence with each
+    import time
+
+    from tessella.llm import sentences
+
+    began = time.process_time()
+    long = "尿酸过高会引起关节发炎，" * 4_000
+    assert endings.chains([long + "并且"])[1][0] and not endings._line(long) and endings._line(long + "a@b.org") == "link"
+    assert sentences.boundaries("See chapter" + "." * 24 + "5 for it. Yes.") == [0, 45]
+    assert time.process_time() - began < 5
+    assert sentences.boundaries("See chapter" + "." * 5_000 + "5 for it. Yes.") == [0, 5_021]
+
+
+def test_faster_steps_give_the_same():
+    assert [endings._is_link(t) for t in ("https://a", "x(www.a", "a@b.org", "@a@b.c", "www.", "@b.org", "a@.org", "a@b.", "a@b.o-g", "a.b")] == [True] * 4 + [False] * 6
+    # several names, one in another: the longest goes first; one alone; none
+    assert broken.without_names("Is ABC or ABCDEF bad?", "No ABCDEF and ABC.") == "No   and  ."
+    assert broken.without_names("Is Aspirin bad?", "No, Aspirin helps.") == "No,   helps." and broken.without_names("Is it?", "No.") == "No."
+    # a letter that stands only behind the beginning, and markup and marks that are joined there
+    assert broken.has_letters("- " * 150 + "a") and not broken.has_letters("- " * 150) and not broken.has_letters("<b> " * 100) and not broken.has_letters("&nbsp; " * 60)
+    question = "Why did the café close its doors to its guests in winter? " * 5
+    assert broken.is_copied(question, question.replace("\u00e9", "e\u0301")) and not broken.is_copied(question, question + " Because.")
